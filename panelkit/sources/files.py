@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ def profile_files(spark: SparkSession, root: str, pattern: str = "*",
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(root)
              .select("path", "length"))
-    parent = F.element_at(F.split(F.regexp_replace("path", "/[^/]*$", ""), "/"), -1)
-    out = (files.groupBy(parent.alias("dataset"))
+    # Dataset = the top-level entry under root (a file or a folder of parts).
+    base = root.rstrip("/").rsplit("/", 1)[-1]
+    dataset = F.regexp_extract("path", "/" + re.escape(base) + "/([^/]+)", 1)
+    out = (files.groupBy(dataset.alias("dataset"))
            .agg(F.count(F.lit(1)).alias("n_files"),
                 F.sum("length").alias("total_bytes"))
            .withColumn("total_gb", F.col("total_bytes") / F.lit(1024 ** 3))
