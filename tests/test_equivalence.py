@@ -121,6 +121,25 @@ def test_asof_equals_brute_force(spark, lrows, rrows, chunk):
     assert _set(got, ["lid", "rid"]) == _set(best, ["lid", "rid"])
 
 
+@SETTINGS
+@given(vals=st.lists(st.tuples(st.sampled_from([None, 1, 2]),
+                               st.one_of(st.none(), st.integers(-50, 50), st.floats(-1e6, 1e6))),
+                     min_size=1, max_size=80),
+       rounds=st.integers(0, 2), buckets=st.sampled_from([2, 3, 16]))
+def test_refined_quantiles_equal_percentile(spark, vals, rounds, buckets):
+    from panelkit.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in vals],
+                               "g int, x double")
+    probs = {"p0": 0.0, "p10": 0.1, "med": 0.5, "p90": 0.9, "p100": 1.0}
+    got = exact_quantiles(df, ["g"], "x", probs, rounds=rounds, buckets=buckets)
+    ref = df.where(F.col("x").isNotNull()).groupBy("g").agg(
+        *[F.percentile("x", F.lit(p)).alias(k) for k, p in probs.items()])
+    def rows(d):
+        return sorted((r["g"] if r["g"] is not None else -1,
+                       *[round(r[k], 6) for k in probs]) for r in d.collect())
+    assert rows(got) == rows(ref)
+
+
 def test_semi_plus_anti_is_left(spark):
     a = spark.range(0, 50).withColumn("k", F.col("id") % 7)
     b = spark.range(0, 10).withColumn("k", F.col("id") % 5).select("k")
