@@ -42,6 +42,33 @@ def time_chunk(col, days: int = 366) -> Column:
         .cast("long")
 
 
+# Most rows one task may receive for one key in an ordered window.
+MAX_ROWS_PER_KEY_TASK = 5_000_000
+
+
+def auto_chunk(df: DataFrame, key, time_col: str,
+               max_rows: int = MAX_ROWS_PER_KEY_TASK) -> Column | None:
+    """Chunk column for the ordered operators, chosen from measured data.
+
+    One aggregate job (per-key count and time span, map-side combined,
+    then the largest key only) decides: if no key has more than
+    ``max_rows`` rows, ``None`` (one window per key is bounded); otherwise a
+    :func:`time_chunk` whose width puts about ``max_rows`` rows of the
+    hottest key in each chunk.
+    """
+    keys = _cols(key)
+    t = F.col(time_col).cast("date")
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"),
+                                F.max(t).alias("_t1"))
+    top = per.orderBy(F.col("_n").desc()).select(
+        "_n", F.datediff("_t1", "_t0").alias("_span")).first()
+    if top is None or top["_n"] <= max_rows:
+        return None
+    span = max(int(top["_span"] or 0), 1)
+    days = max(1, int(span * max_rows / top["_n"]))
+    return time_chunk(time_col, days)
+
+
 # ---------------------------------------------------------------- first / last
 
 def _extreme_per_key(df: DataFrame, keys, order: Sequence[str], fn) -> DataFrame:
