@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     (file listing and footer schema are driver work; the returned
     DataFrame is lazy, so reuse does not pin any data)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
+    key = (id(spark), path)
     df = _SCANS.get(key)
     if df is None:
         df = _SCANS[key] = spark.read.parquet(path)

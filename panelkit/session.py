@@ -37,9 +37,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("PANELKIT_DRIVER_MEMORY", "8g")
     if master.startswith("local"):
+        # Tests keep catalog metadata out of the working directory.  The
+        # checkpoint folder is not set here: shared_root() reads it from the
+        # session (spark-defaults) and only invents one when it is unset.
         scratch = tempfile.mkdtemp(prefix="panelkit-")
         conf["spark.sql.warehouse.dir"] = os.path.join(scratch, "warehouse")
-        conf.setdefault("spark.checkpoint.dir", os.path.join(scratch, "checkpoint"))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -63,6 +65,9 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+_ROOTS: dict[int, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -70,6 +75,9 @@ def shared_root(spark: SparkSession) -> str:
     scratch folder of its own (tests).  A cluster session without it is an
     error: a machine-local folder would not survive executor loss.
     """
+    cached = _ROOTS.get(id(spark))
+    if cached:
+        return cached
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
@@ -81,6 +89,7 @@ def shared_root(spark: SparkSession) -> str:
         path = path[len("file:"):]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
+    _ROOTS[id(spark)] = path.rstrip("/")
     # setCheckpointDir appends a per-application uuid folder; keep our own
     # files next to it so every run of every app stays separate.
     return path.rstrip("/")
