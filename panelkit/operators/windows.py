@@ -6,9 +6,11 @@ person to one task, so a person holding a third of all rows would pin a
 third of the data on one executor.  The ordered operators here therefore
 take an optional ``chunk`` column (a coarse, order-compatible time bucket,
 see :func:`time_chunk`).  Rows are windowed per ``(person, chunk)`` and the
-value crossing a chunk boundary is taken from a per-chunk summary that is
-pre-aggregated map-side, so one person's rows spread over as many tasks as
-they have chunks.  The result is identical to the unchunked window.
+value crossing a chunk boundary is taken from a per-chunk summary (one row
+per chunk, filtered from the same window output, so the input is shuffled
+once), so one person's rows spread over as many tasks as they have chunks.
+The result is identical to the unchunked window.  :func:`auto_chunk` picks
+the chunk width from measured data, or no chunking when no key is hot.
 
 First/last row per person uses ``min_by``/``max_by`` aggregates instead of
 ``row_number() == 1``: a hash aggregate with partial (map-side)
@@ -104,29 +106,44 @@ def lead_value(df: DataFrame, key, order: Sequence[str], value: str, out: str,
     return _neighbour(df, key, order, value, out, chunk, forward=True)
 
 
+def _split(df, keys, order, chunk):
+    """Rows keyed by (key, chunk) with in-chunk position flags, from one
+    window sort; the summaries below are filtered from this same output, so
+    the input is shuffled (and computed) once."""
+    ck = "_chunk"
+    d = df.withColumn(ck, chunk)
+    w_in = Window.partitionBy(*keys, ck).orderBy(*_order(order))
+    return d, w_in, ck
+
+
+def _join_back(inner, summ, keys, ck):
+    """Attach the per-chunk carry to every row of its chunk.  ``inner`` is
+    already hash-partitioned by (key, chunk), so only the small summary
+    moves (or is broadcast when its measured size allows)."""
+    return inner.join(summ, [*keys, ck], "left")
+
+
 def _neighbour(df, key, order, value, out, chunk, forward):
     keys = _cols(key)
     fn = F.lead if forward else F.lag
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
         return df.withColumn(out, fn(value).over(w))
-    ck = "_chunk"
-    d = df.withColumn(ck, chunk)
-    w_in = Window.partitionBy(*keys, ck).orderBy(*_order(order))
-    # First (lag) or last (lead) row of its chunk, from the same window sort.
-    edge = fn(F.lit(1)).over(w_in).isNull()
-    inner = d.withColumn(out, fn(value).over(w_in)).withColumn("_edge", edge)
-    # Boundary value of every (key, chunk): its first row (for lead) or its
-    # last row (for lag).  Partial aggregation keeps this one row per map
-    # task per (key, chunk).
-    rank = F.struct(*[F.col(o) for o in order])
-    pick = F.min_by(F.col(value), rank) if forward else F.max_by(F.col(value), rank)
-    summ = d.groupBy(*keys, ck).agg(pick.alias("_bnd"))
+    d, w_in, ck = _split(df, keys, order, chunk)
+    inner = d.select(
+        "*", fn(value).over(w_in).alias(out),
+        F.lag(F.lit(1)).over(w_in).isNull().alias("_first"),
+        F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
+    # Boundary value of every (key, chunk): its last row's value (for lag)
+    # or its first row's (for lead); the neighbouring chunk's boundary is the
+    # value that crosses into this chunk.
+    edge_here, edge_cross = ("_first", "_last") if not forward else ("_last", "_first")
+    summ = inner.where(F.col(edge_cross)).select(*keys, ck, F.col(value).alias("_bnd"))
     carry = fn("_bnd").over(Window.partitionBy(*keys).orderBy(ck))
     summ = summ.select(*keys, ck, carry.alias("_carry"))
-    res = inner.join(summ, [*keys, ck], "left")
-    return (res.withColumn(out, F.when(F.col("_edge"), F.col("_carry")).otherwise(F.col(out)))
-            .drop(ck, "_edge", "_carry"))
+    res = _join_back(inner, summ, keys, ck)
+    return (res.withColumn(out, F.when(F.col(edge_here), F.col("_carry")).otherwise(F.col(out)))
+            .drop(ck, "_first", "_last", "_carry"))
 
 
 def change_points(df: DataFrame, key, order: Sequence[str], value: str,
@@ -143,24 +160,23 @@ def row_index(df: DataFrame, key, order: Sequence[str], out: str,
     """Chronological index ``row_number()`` per key (1-based).
 
     With ``chunk`` the index is the in-chunk number plus the row count of all
-    earlier chunks of the key.
+    earlier chunks of the key (each chunk's count is its last row's number).
     """
     keys = _cols(key)
     if chunk is None:
         return df.withColumn(out, F.row_number().over(
             Window.partitionBy(*keys).orderBy(*_order(order))))
-    ck = "_chunk"
-    d = df.withColumn(ck, chunk)
-    inner = d.withColumn(out, F.row_number().over(
-        Window.partitionBy(*keys, ck).orderBy(*_order(order))))
-    counts = d.groupBy(*keys, ck).agg(F.count(F.lit(1)).alias("_n"))
+    d, w_in, ck = _split(df, keys, order, chunk)
+    inner = d.select("*", F.row_number().over(w_in).alias(out),
+                     F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
+    counts = inner.where(F.col("_last")).select(*keys, ck, F.col(out).alias("_n"))
     before = F.coalesce(F.sum("_n").over(
         Window.partitionBy(*keys).orderBy(ck)
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*keys, ck, before.alias("_off"))
-    return (inner.join(counts, [*keys, ck], "left")
+    return (_join_back(inner, counts, keys, ck)
             .withColumn(out, (F.col(out) + F.col("_off")).cast("int"))
-            .drop(ck, "_off"))
+            .drop(ck, "_off", "_last"))
 
 
 def carry_last_before(df: DataFrame, key, order: Sequence[str], value: str, out: str,
@@ -172,19 +188,19 @@ def carry_last_before(df: DataFrame, key, order: Sequence[str], value: str, out:
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(*frame)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    ck = "_chunk"
-    d = df.withColumn(ck, chunk)
-    w_in = Window.partitionBy(*keys, ck).orderBy(*_order(order)).rowsBetween(*frame)
-    inner = d.withColumn(out, F.last(value, ignorenulls=True).over(w_in))
-    v = F.col(value)
-    rank = F.when(v.isNotNull(), F.struct(*[F.col(o) for o in order]))
-    summ = d.groupBy(*keys, ck).agg(F.max_by(v, rank).alias("_bnd"))
+    d, w_in, ck = _split(df, keys, order, chunk)
+    upto = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = d.select("*", F.last(value, ignorenulls=True).over(w_in.rowsBetween(*frame)).alias(out),
+                     F.last(value, ignorenulls=True).over(upto).alias("_upto"),
+                     F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
+    # last non-NULL value of each chunk = the running value at its last row
+    summ = inner.where(F.col("_last")).select(*keys, ck, F.col("_upto").alias("_bnd"))
     carry = F.last("_bnd", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy(ck).rowsBetween(*frame))
     summ = summ.select(*keys, ck, carry.alias("_carry"))
-    return (inner.join(summ, [*keys, ck], "left")
+    return (_join_back(inner, summ, keys, ck)
             .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
-            .drop(ck, "_carry"))
+            .drop(ck, "_carry", "_upto", "_last"))
 
 
 # -------------------------------------------------------------- framed windows
