@@ -14,7 +14,8 @@ nothing but counting aggregates:
    ``[min, max]`` becomes the new candidate range;
 3. after ``rounds`` passes the candidate range has shrunk by a factor of
    ``buckets ** rounds``; a range with ``min == max`` is the answer, any
-   other is resolved by sorting its (few) remaining values.
+   other is resolved by one more histogram whose buckets are the range's
+   distinct values (counted, never collected).
 
 The bucket index is a monotone function of the value, so the candidate set
 is always exactly the rows whose value lies in the candidate range, and
@@ -106,17 +107,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     ranges = rest.select(*keys, "_lo", "_hi").distinct()
     rows = _cond_join(base, ranges, keys,
                       (F.col("_l._x") >= F.col("_r._lo")) & (F.col("_l._x") <= F.col("_r._hi")))
+    # Final step: a histogram whose buckets are the distinct values of the
+    # (narrow) remaining range, so tied rows are counted, never collected.
     vals = rows.groupBy(*[F.col(f"_r.{k}").alias(k) for k in keys],
-                        F.col("_r._lo").alias("_lo"), F.col("_r._hi").alias("_hi")) \
-        .agg(F.sort_array(F.collect_list(F.col("_l._x"))).alias("_vals"))
+                        F.col("_r._lo").alias("_lo"), F.col("_r._hi").alias("_hi"),
+                        F.col("_l._x").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    vals = vals.withColumn("_before", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(*keys, "_lo", "_hi").orderBy("_x")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.col("_l._rank") - F.col("_l._base")
     picked = _cond_join(rest, vals, keys,
-                        (F.col("_l._lo") == F.col("_r._lo")) & (F.col("_l._hi") == F.col("_r._hi")))
+                        (F.col("_l._lo") == F.col("_r._lo")) & (F.col("_l._hi") == F.col("_r._hi"))
+                        & (local >= F.col("_r._before"))
+                        & (local < F.col("_r._before") + F.col("_r._c")))
     picked = picked.select(*[F.col(f"_l.{k}").alias(k) for k in keys],
                            F.col("_l._name").alias("_name"), F.col("_l._frac").alias("_frac"),
-                           F.col("_l._which").alias("_which"),
-                           F.element_at(F.col("_r._vals"),
-                                        (F.col("_l._rank") - F.col("_l._base") + 1).cast("int"))
-                           .alias("_v"))
+                           F.col("_l._which").alias("_which"), F.col("_r._x").alias("_v"))
     vals_ab = done.unionByName(picked)
     pair = vals_ab.groupBy(*keys, "_name").agg(
         F.max(F.when(F.col("_which") == 0, F.col("_v"))).alias("_va"),
