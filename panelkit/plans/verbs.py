@@ -13,7 +13,6 @@ from panelkit.functions import (
 )
 from panelkit.functions.expr import order_position
 from panelkit.operators.aggregates import group_count, loglog_fit, pivot_wider
-from panelkit.operators.bucketed import bucketed_apply
 from panelkit.operators.sort import arrange, arrange_levels, top_k
 from panelkit.operators.windows import first_per_key, last_per_key
 from panelkit.plans.registry import query
@@ -356,11 +355,32 @@ def latest_per_key(spark, sf):
     return last_per_key(s, ["synthetic_aeuid"], ["week_ending", "rec_id"])
 
 
-@query("union_all_n", views=("itr",), sql="""
-SELECT incm_yr, count(*) AS n FROM itr GROUP BY 1""")
+@query("union_all_n", views=("itr", "itr_inc", "stp"), sql="""
+SELECT incm_yr, source, n FROM (
+  SELECT incm_yr, 'itr' AS source, count(*) AS n FROM itr GROUP BY 1
+  UNION ALL SELECT incm_yr, 'itr_inc' AS source, count(*) AS n FROM itr_inc WHERE ti_or_lss_amt IS NOT NULL GROUP BY 1
+  UNION ALL SELECT CAST(year(week_ending) AS INTEGER) AS incm_yr, 'stp' AS source, count(*) AS n
+            FROM stp WHERE abn_hash_trunc IS NOT NULL GROUP BY 1)
+UNION ALL
+SELECT incm_yr, 'all' AS source, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT incm_yr, count(*) AS n FROM itr GROUP BY 1
+  UNION ALL SELECT incm_yr, count(*) AS n FROM itr_inc WHERE ti_or_lss_amt IS NOT NULL GROUP BY 1
+  UNION ALL SELECT CAST(year(week_ending) AS INTEGER) AS incm_yr, count(*) AS n
+            FROM stp WHERE abn_hash_trunc IS NOT NULL GROUP BY 1) GROUP BY 1""")
 def union_all_n(spark, sf):
-    """Per-bucket counts stacked with ``union_all`` then re-aggregated
-    (``map(buckets, f) |> reduce(union_all)`` + a second group-by)."""
-    parts = bucketed_apply(fx.itr(spark, sf), "synthetic_aeuid", 4,
-                           lambda b: group_count(b, "incm_yr"))
-    return parts.groupBy("incm_yr").agg(F.sum("n").cast("long").alias("n"))
+    """Per-source yearly counts stacked with an n-ary ``union_all`` (no
+    shuffle), plus their re-aggregation across sources."""
+    from panelkit.operators.sets import union_all
+    parts = [
+        group_count(fx.itr(spark, sf), "incm_yr").withColumn("source", F.lit("itr")),
+        group_count(fx.itr_inc(spark, sf).where(F.col("ti_or_lss_amt").isNotNull()), "incm_yr")
+        .withColumn("source", F.lit("itr_inc")),
+        group_count(fx.stp(spark, sf).where(F.col("abn_hash_trunc").isNotNull())
+                    .select(F.year("week_ending").cast("int").alias("incm_yr")), "incm_yr")
+        .withColumn("source", F.lit("stp")),
+    ]
+    stacked = union_all(parts)
+    total = stacked.groupBy("incm_yr").agg(F.sum("n").cast("long").alias("n")) \
+        .withColumn("source", F.lit("all"))
+    return union_all([stacked.select("incm_yr", "source", "n"),
+                      total.select("incm_yr", "source", "n")])

@@ -68,13 +68,15 @@ def append_sorted(df: DataFrame, path: str, sort_cols: Sequence[str], **kw) -> s
 
 
 def save_bucketed_table(df: DataFrame, name: str, path: str, key: str, n: int,
-                        sort: bool = True, compression: str = "zstd") -> str:
+                        sort: bool = True, compression: str = "zstd",
+                        sort_cols: Sequence[str] | None = None) -> str:
     """Persistent table bucketed (and sorted) on ``key`` into ``n`` buckets,
     stored at ``path`` in the shared folder.  Joins/aggregations/windows on
     ``key`` between tables with the same bucketing need no exchange."""
     w = (df.write.mode("overwrite").format("parquet").option("compression", compression)
          .option("path", path).bucketBy(n, key))
     if sort:
-        w = w.sortBy(key)
+        cols = list(sort_cols or [key])
+        w = w.sortBy(cols[0], *cols[1:])
     w.saveAsTable(name)
     return name

@@ -104,3 +104,9 @@ def test_every_query_has_oracle_or_reason():
     no_sql = set(Q) - set(registry.ORACLE)
     assert no_sql == {"hash_key_values", "profile_sources"}
     assert F is not None
+
+
+def test_bucketed_switches_window_needs_no_exchange(spark):
+    p = plan(Q["bucketed_switches"](spark, SF_SMALL))
+    tree = p[:p.index("\n\n")]
+    assert "Window" in tree and "Exchange" not in tree
