@@ -212,25 +212,52 @@ def rows_frame(key, order: Sequence[str], start: int, end: int) -> Window:
 
 
 def framed(df: DataFrame, key, order: Sequence[str], start: int, end: int,
-           aggs: dict[str, Column]) -> DataFrame:
+           aggs: dict[str, Column], chunk: Column | None = None,
+           block_rows: int = MAX_ROWS_PER_KEY_TASK) -> DataFrame:
     """Add framed aggregates, e.g. ``{"trailing_avg": F.avg("services")}``.
 
-    Frames are bounded row windows over data that should already be
-    collapsed to one row per person-period, so a person's partition is
-    bounded by the calendar, not by raw row volume.
+    Without ``chunk`` this is one window per key: right for data collapsed
+    to one row per person-period, whose partitions the calendar bounds.
+    With ``chunk`` (a time bucket, as for :func:`lag_value`) a long history
+    is split exactly: a chunked :func:`row_index` numbers every row, the
+    numbers are cut into blocks of ``block_rows``, and the rows within frame
+    reach of a block edge are copied into the neighbouring block as halo.
+    Each block then evaluates its frames alone and keeps its own rows.
     """
-    w = rows_frame(key, order, start, end)
-    for name, agg in aggs.items():
-        df = df.withColumn(name, agg.over(w))
-    return df
+    if chunk is None:
+        w = rows_frame(key, order, start, end)
+        for name, agg in aggs.items():
+            df = df.withColumn(name, agg.over(w))
+        return df
+    keys = _cols(key)
+    before, after = max(0, -start), max(0, end)
+    if max(before, after) >= block_rows:
+        raise ValueError("frame reaches further than one block")
+    pos = row_index(df, keys, order, "_pos", chunk=chunk)
+    i0 = F.col("_pos") - 1
+    own = F.floor(i0 / block_rows).cast("long")
+    off = i0 - own * block_rows
+    copies = F.array(
+        F.struct(own.alias("b"), F.lit(True).alias("own")),
+        # first `after` rows of a block are needed by the previous block
+        F.when(off < after, F.struct((own - 1).alias("b"), F.lit(False).alias("own"))),
+        # last `before` rows of a block are needed by the next block
+        F.when(off >= block_rows - before,
+               F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
+    rows = (pos.withColumn("_copy", F.explode(F.filter(copies, lambda c: c.isNotNull())))
+            .select("*", F.col("_copy.b").alias("_blk"), F.col("_copy.own").alias("_own"))
+            .drop("_copy"))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(start, end)
+    out = rows.select("*", *[agg.over(w).alias(name) for name, agg in aggs.items()])
+    return out.where(F.col("_own")).drop("_pos", "_blk", "_own")
 
 
 def shock_flags(monthly: DataFrame, key: str, period: str, measure: str,
-                lookback: int = 3, factor: float = 2.0) -> DataFrame:
+                lookback: int = 3, factor: float = 2.0, chunk: Column | None = None,
+                block_rows: int = MAX_ROWS_PER_KEY_TASK) -> DataFrame:
     """Periods where ``measure >= factor * mean(previous lookback rows)`` and
     that trailing mean is positive; first rows (empty frame) never flag."""
-    w = rows_frame(key, [period], -lookback, -1)
-    t = F.avg(measure).over(w)
-    return (monthly.withColumn("trailing_avg", t)
-            .where(F.col("trailing_avg").isNotNull() & (F.col("trailing_avg") > 0)
-                   & (F.col(measure) >= F.lit(factor) * F.col("trailing_avg"))))
+    f = framed(monthly, key, [period], -lookback, -1, {"trailing_avg": F.avg(measure)},
+               chunk=chunk, block_rows=block_rows)
+    return f.where(F.col("trailing_avg").isNotNull() & (F.col("trailing_avg") > 0)
+                   & (F.col(measure) >= F.lit(factor) * F.col("trailing_avg")))

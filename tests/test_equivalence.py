@@ -140,6 +140,25 @@ def test_refined_quantiles_equal_percentile(spark, vals, rounds, buckets):
     assert rows(got) == rows(ref)
 
 
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 200), st.integers(0, 9)),
+                     min_size=1, max_size=60),
+       frame=st.sampled_from([(-3, -1), (-1, 1), (0, 2), (-2, 0), (-4, 3)]),
+       block=st.sampled_from([5, 7, 50]), days=st.sampled_from([1, 20]))
+def test_split_frames_equal_plain(spark, rows, frame, block, days):
+    from panelkit.operators.windows import framed
+    data = [(p, BASE + dt.timedelta(days=d), i, float(v)) for i, (p, d, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "p int, t date, tb long, x double")
+    aggs = {"s": F.sum("x"), "m": F.avg("x"), "mx": F.max("x"), "n": F.count("x")}
+    plain = framed(df, "p", ["t", "tb"], *frame, aggs)
+    split = framed(df, "p", ["t", "tb"], *frame, aggs, chunk=time_chunk("t", days),
+                   block_rows=block)
+    cols = ["tb", "s", "m", "mx", "n"]
+    norm = lambda d: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float)
+                                  else v for v in r) for r in d.select(*cols).collect())
+    assert norm(plain) == norm(split)
+
+
 def test_semi_plus_anti_is_left(spark):
     a = spark.range(0, 50).withColumn("k", F.col("id") % 7)
     b = spark.range(0, 10).withColumn("k", F.col("id") % 5).select("k")
