@@ -179,6 +179,43 @@ def row_index(df: DataFrame, key, order: Sequence[str], out: str,
             .drop(ck, "_off", "_last"))
 
 
+def rank_values(df: DataFrame, key, order: Sequence[str], rank_name: str | None = "rank",
+                dense_name: str | None = "dense_rank", chunk: Column | None = None) -> DataFrame:
+    """``rank()`` / ``dense_rank()`` per key.
+
+    With ``chunk`` the ranks are in-chunk ranks plus, respectively, the row
+    count and the distinct-order-value count of all earlier chunks.  The
+    chunk must be a function of the ordering value (e.g. a time bucket of
+    the first order column), so tied rows never straddle a chunk boundary.
+    """
+    keys = _cols(key)
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(*_order(order))
+        out = df
+        if rank_name:
+            out = out.withColumn(rank_name, F.rank().over(w))
+        if dense_name:
+            out = out.withColumn(dense_name, F.dense_rank().over(w))
+        return out
+    d, w_in, ck = _split(df, keys, order, chunk)
+    inner = d.select("*", F.rank().over(w_in).alias("_r"), F.dense_rank().over(w_in).alias("_d"),
+                     F.row_number().over(w_in).alias("_i"),
+                     F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
+    # a chunk's row count is its last row number; its distinct values, the
+    # last dense rank
+    summ = inner.where(F.col("_last")).select(*keys, ck, F.col("_i").alias("_n"),
+                                              F.col("_d").alias("_nd"))
+    prior = Window.partitionBy(*keys).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*keys, ck, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
+                       F.coalesce(F.sum("_nd").over(prior), F.lit(0)).alias("_doff"))
+    res = _join_back(inner, summ, keys, ck)
+    if rank_name:
+        res = res.withColumn(rank_name, (F.col("_r") + F.col("_off")).cast("int"))
+    if dense_name:
+        res = res.withColumn(dense_name, (F.col("_d") + F.col("_doff")).cast("int"))
+    return res.drop(ck, "_r", "_d", "_i", "_last", "_off", "_doff")
+
+
 def carry_last_before(df: DataFrame, key, order: Sequence[str], value: str, out: str,
                       chunk: Column | None = None) -> DataFrame:
     """Last non-NULL ``value`` strictly before each row (``last(ignorenulls)``

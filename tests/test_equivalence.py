@@ -159,6 +159,17 @@ def test_split_frames_equal_plain(spark, rows, frame, block, days):
     assert norm(plain) == norm(split)
 
 
+@SETTINGS
+@given(rows=rows_st, days=st.sampled_from([1, 15, 90]))
+def test_chunked_ranks_equal_plain(spark, rows, days):
+    from panelkit.operators.windows import rank_values
+    df = _frame(spark, rows)
+    cols = ["tb", "r", "d"]
+    plain = rank_values(df, "p", ["t"], "r", "d")
+    split = rank_values(df, "p", ["t"], "r", "d", chunk=time_chunk("t", days))
+    assert _set(plain, cols) == _set(split, cols)
+
+
 def test_semi_plus_anti_is_left(spark):
     a = spark.range(0, 50).withColumn("k", F.col("id") % 7)
     b = spark.range(0, 10).withColumn("k", F.col("id") % 5).select("k")
