@@ -96,7 +96,8 @@ def layout_ratios(spark, sf_dir: str, times: dict) -> dict:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=2 * cpus,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts,
                           app_name="panelkit-bench")
     registry.load_all()
     times: dict[str, float] = {}
