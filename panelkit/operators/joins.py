@@ -18,18 +18,43 @@ from pyspark.sql import functions as F
 from panelkit.functions.expr import hash_key, month_start
 
 
+def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
+               how: str = "left") -> DataFrame:
+    """Left or full outer equi-join on named keys with NULL-key rows kept
+    out of the shuffle.
+
+    A row with a NULL key part can never match, but an outer join must still
+    emit it, and Spark hashes all such rows to one partition: a key column
+    that is NULL for a third of the rows would put that third in one task
+    (and AQE cannot split skew in a full outer join).  Those rows are routed
+    around the join and added back with the other side's columns NULL.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    has_null = None
+    for k in keys:
+        c = F.col(k).isNull()
+        has_null = c if has_null is None else (has_null | c)
+    out = left.where(~has_null).join(
+        right.where(~has_null) if how == "full" else right, keys, how)
+    out = out.unionByName(left.where(has_null), allowMissingColumns=True)
+    if how == "full":
+        out = out.unionByName(right.where(has_null), allowMissingColumns=True)
+    return out
+
+
 def join_flag(left: DataFrame, right: DataFrame, on, flag: str, probe: str) -> DataFrame:
     """``left_join`` + ``mutate(flag = !is.na(probe))``."""
-    return left.join(right, on, "left").withColumn(flag, F.col(probe).isNotNull())
+    return outer_join(left, right, on, "left").withColumn(flag, F.col(probe).isNotNull())
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str,
              left_flag: str, right_flag: str) -> DataFrame:
     """Full outer join of two key sets with presence flags, then the 2x2
-    coverage count.  Duplicate keys multiply exactly as in SQL."""
+    coverage count.  Duplicate keys multiply exactly as in SQL; NULL keys
+    appear unmatched on their own side."""
     lft = left.select(key, F.lit(True).alias(left_flag))
     rgt = right.select(key, F.lit(True).alias(right_flag))
-    return (lft.join(rgt, key, "full")
+    return (outer_join(lft, rgt, key, "full")
             .select(F.coalesce(left_flag, F.lit(False)).alias(left_flag),
                     F.coalesce(right_flag, F.lit(False)).alias(right_flag))
             .groupBy(left_flag, right_flag).agg(F.count(F.lit(1)).alias("n")))

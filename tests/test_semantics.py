@@ -88,6 +88,11 @@ def test_null_key_joins(spark):
     anti = J.in_table(a, b, "k", negate=True).collect()
     assert len(anti) == 1 and anti[0]["k"] is None
     assert a.join(b, "k", "full").count() == 3
+    assert J.outer_join(a, b, "k", "left").count() == 2
+    full = J.outer_join(a, b, "k", "full")
+    assert full.count() == 3
+    assert {(r["va"], r["vb"]) for r in full.collect() if r["k"] is None} == \
+        {(None, "b2"), ("a2", None)}
 
 
 def test_interval_join_bounds(spark):
