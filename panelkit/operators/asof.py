@@ -24,6 +24,11 @@ def asof_last_before(left: DataFrame, right: DataFrame, key: str, left_time: str
     """Left rows with the ``payload`` columns of the latest right row whose
     time is strictly before the left row's (NULL when none)."""
     lcols = left.columns
+    # Left rows with a NULL key match nothing; they skip the shuffle (all of
+    # them would otherwise share one window partition) and are added back.
+    unkeyed = left.where(F.col(key).isNull())
+    left = left.where(F.col(key).isNotNull())
+    right = right.where(F.col(key).isNotNull())
     packed = F.struct(*[F.col(c) for c in payload])
     l_side = left.select(
         F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"),
@@ -41,5 +46,6 @@ def asof_last_before(left: DataFrame, right: DataFrame, key: str, left_time: str
         from panelkit.operators.windows import time_chunk
         chunk = time_chunk("_t", chunk_days)
     carried = carry_last_before(both, "_k", ["_t", "_side", "_tb"], "_right", "_match", chunk)
-    return (carried.where(F.col("_side") == 0)
-            .select("_left.*", *[F.col(f"_match.{c}").alias(c) for c in payload]))
+    matched = (carried.where(F.col("_side") == 0)
+               .select("_left.*", *[F.col(f"_match.{c}").alias(c) for c in payload]))
+    return matched.unionByName(unkeyed, allowMissingColumns=True)

@@ -149,8 +149,17 @@ def star_join(dim: DataFrame, bridge: DataFrame, fact: DataFrame,
 
 def in_table(df: DataFrame, keys: DataFrame, on, negate: bool = False) -> DataFrame:
     """``filter(x %in% table$key)`` rewritten as a semi (or anti) join so the
-    key set never reaches the driver."""
-    return df.join(keys, on, "left_anti" if negate else "left_semi")
+    key set never reaches the driver.  For the anti join, rows with a NULL
+    key (always kept: they match nothing) bypass the shuffle, as in
+    :func:`outer_join`."""
+    if not negate:
+        return df.join(keys, on, "left_semi")
+    cols = [on] if isinstance(on, str) else list(on)
+    has_null = None
+    for k in cols:
+        c = F.col(k).isNull()
+        has_null = c if has_null is None else (has_null | c)
+    return df.where(~has_null).join(keys, cols, "left_anti").unionByName(df.where(has_null))
 
 
 def range_cond(col: Column, lo, hi) -> Column:
