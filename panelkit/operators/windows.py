@@ -13,8 +13,9 @@ The result is identical to the unchunked window.  :func:`auto_chunk` picks
 the chunk width from measured data, or no chunking when no key is hot.
 
 First/last row per person uses ``min_by``/``max_by`` aggregates instead of
-``row_number() == 1``: a hash aggregate with partial (map-side)
-aggregation, so a hot person costs one row per map task in the shuffle.
+``row_number() == 1``: an aggregate with partial (map-side) aggregation
+(sort-based, as its buffer is a struct, so it spills rather than fails), so
+a hot person costs one row per map task in the shuffle.
 """
 
 from __future__ import annotations

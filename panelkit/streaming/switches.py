@@ -6,8 +6,9 @@ tie-break, value)`` and emit a row whenever the value changes.
 sorted by (time, tie-break) and compared with their predecessor, the first
 one with the stored last value.  Contract:
 
-* rows at or before the stored last (time, tie-break) are late and are
-  dropped (an ordered-stream operator cannot revise emitted switches);
+* rows at or before the stored last (time, tie-break) are late: they do
+  not change state or emit switches (an ordered-stream operator cannot
+  revise what it emitted) and are output once flagged ``late`` for counting;
 * NULL values neither emit nor update the state (filter them in the source
   view, as the batch job does);
 * per-person memory is bounded by the micro-batch size
@@ -41,6 +42,9 @@ def _detector(key_col: str, time_col: str, tb_col: str, value_col: str, prev_col
         if state.exists:
             last_t, last_tb, last_v = state.get
             late = (pdf[time_col] < last_t) | ((pdf[time_col] == last_t) & (pdf[tb_col] <= last_tb))
+            if late.any():
+                # counted, not applied: emitted once with late = True
+                yield pdf[late].assign(**{prev_col: None, "late": True})[out_cols]
             pdf = pdf[~late]
         else:
             last_v = None
@@ -54,15 +58,18 @@ def _detector(key_col: str, time_col: str, tb_col: str, value_col: str, prev_col
         state.update((tail[time_col], int(tail[tb_col]), tail[value_col]))
         out = pdf[pdf[prev_col].notna() & (pdf[value_col] != pdf[prev_col])]
         if not out.empty:
-            yield out[out_cols]
+            yield out.assign(late=False)[out_cols]
     return fn
 
 
 def stream_change_points(stream: DataFrame, key: str, time_col: str, tb_col: str,
                          value_col: str, prev_col: str) -> DataFrame:
     """Streaming change points of ``value_col`` per ``key``; output has the
-    input columns plus ``prev_col``."""
-    out_fields = list(stream.schema.fields) + [T.StructField(prev_col, T.StringType())]
+    input columns plus ``prev_col`` and ``late``.  Late rows (at or before
+    the person's last processed row) are emitted once with ``late = True``
+    so they can be counted; switches have ``late = False``."""
+    out_fields = list(stream.schema.fields) + [T.StructField(prev_col, T.StringType()),
+                                               T.StructField("late", T.BooleanType())]
     out_schema = T.StructType(out_fields)
     fn = _detector(key, time_col, tb_col, value_col, prev_col, [f.name for f in out_fields])
     return stream.groupBy(key).applyInPandasWithState(

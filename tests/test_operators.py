@@ -39,7 +39,7 @@ def _batch(rows):
 
 
 def test_stream_detector_carries_state_and_drops_late_rows():
-    fn = _detector("p", "t", "tb", "v", "prev", ["p", "t", "tb", "v", "prev"])
+    fn = _detector("p", "t", "tb", "v", "prev", ["p", "t", "tb", "v", "prev", "late"])
     st = _State()
     out1 = pd.concat(fn("x", iter([_batch([("x", D(2021, 1, 3), 3, "B"),
                                            ("x", D(2021, 1, 1), 1, "A"),
@@ -50,7 +50,8 @@ def test_stream_detector_carries_state_and_drops_late_rows():
                             ("x", D(2021, 1, 4), 4, None),     # NULL: ignored
                             ("x", D(2021, 1, 5), 5, "A")])]
     out2 = pd.concat(list(fn("x", iter(late_and_new), st)))
-    assert list(out2["v"]) == ["A"] and list(out2["prev"]) == ["B"]
+    assert list(out2["late"]) == [True, False]
+    assert list(out2["v"]) == ["C", "A"] and list(out2["prev"]) == [None, "B"]
     assert st.get == (D(2021, 1, 5), 5, "A")
 
 
