@@ -18,7 +18,7 @@ from panelkit.plans.storage import MBS_SCHEMA
 from panelkit.session import scratch_path
 from panelkit.streaming.ingest import ingest_new_files
 from panelkit.streaming.rollup import read_rollup, run_rollup
-from panelkit.streaming.switches import stream_change_points
+from panelkit.streaming.switches import run_change_points_tables, stream_change_points
 
 
 def _two_drops(df, time_col, cut, write):
@@ -75,6 +75,32 @@ def stream_switches(spark, sf):
                       "gross_pay", "rec_id")
 
 
+@query("stream_switches_tables", views=("stp",), sql="WITH " + _STP_SQL + """
+SELECT synthetic_aeuid, week_ending, new_employer, prev_employer, gross_pay, rec_id FROM stp_switches""")
+def stream_switches_tables(spark, sf):
+    """The switch stream with its per-person state kept as a versioned
+    table and every step a DataFrame operation (no per-person Python)."""
+    root = scratch_path(spark, "stream-switches-tables")
+    landing, out = f"{root}/landing", f"{root}/switches"
+    src = stp_filtered(spark, sf).select(
+        "synthetic_aeuid", "week_ending", "rec_id", "abn_hash_trunc",
+        F.col("pmt_sumry_totl_grs_pmt_amt").alias("gross_pay"))
+
+    def write(part):
+        part.write.mode("append").parquet(landing)
+
+    for drop in _two_drops(src, "week_ending", "1998-01-01", write):
+        drop()
+        stream = spark.readStream.schema(src.schema).parquet(landing)
+        run_change_points_tables(stream, "synthetic_aeuid", "week_ending", "rec_id",
+                                 "abn_hash_trunc", "prev_employer", out, f"{root}/state",
+                                 f"{root}/_checkpoint")
+    res = spark.read.parquet(out).where(~F.col("late"))
+    return res.select("synthetic_aeuid", "week_ending",
+                      F.col("abn_hash_trunc").alias("new_employer"), "prev_employer",
+                      "gross_pay", "rec_id")
+
+
 @query("stream_daily_rollup", views=(), sql="""
 SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total
 FROM events GROUP BY 1, 2""")

@@ -34,31 +34,49 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
+def _missing(x) -> bool:
+    return x is None or x != x  # None or NaN
+
+
 def _detector(key_col: str, time_col: str, tb_col: str, value_col: str, prev_col: str,
               out_cols: list[str]):
+    """The per-person step.  A person's rows in one micro-batch are few, so
+    the comparison is a plain pass over lists; pandas frames are built only
+    for the rows that are emitted."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf[pdf[value_col].notna()]
+        chunks = list(pdfs)
+        pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        t = pdf[time_col].tolist()
+        tb = pdf[tb_col].tolist()
+        v = pdf[value_col].tolist()
         if state.exists:
-            last_t, last_tb, last_v = state.get
-            late = (pdf[time_col] < last_t) | ((pdf[time_col] == last_t) & (pdf[tb_col] <= last_tb))
-            if late.any():
-                # counted, not applied: emitted once with late = True
-                yield pdf[late].assign(**{prev_col: None, "late": True})[out_cols]
-            pdf = pdf[~late]
+            last_t, last_tb, prev = state.get
+            last = (last_t, last_tb)
         else:
-            last_v = None
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values([time_col, tb_col], kind="mergesort")
-        prev = pdf[value_col].shift(1)
-        prev.iloc[0] = last_v
-        pdf = pdf.assign(**{prev_col: prev})
-        tail = pdf.iloc[-1]
-        state.update((tail[time_col], int(tail[tb_col]), tail[value_col]))
-        out = pdf[pdf[prev_col].notna() & (pdf[value_col] != pdf[prev_col])]
-        if not out.empty:
-            yield out.assign(late=False)[out_cols]
+            last, prev = None, None
+        live, late = [], []
+        for i in range(len(v)):
+            if _missing(v[i]):
+                continue
+            if last is not None and (t[i], tb[i]) <= last:
+                late.append(i)
+            else:
+                live.append(i)
+        live.sort(key=lambda i: (t[i], tb[i]))
+        switch, switch_prev = [], []
+        for i in live:
+            if prev is not None and v[i] != prev:
+                switch.append(i)
+                switch_prev.append(prev)
+            prev = v[i]
+        if live:
+            j = live[-1]
+            state.update((t[j], int(tb[j]), v[j]))
+        if late:
+            # counted, not applied: emitted once with late = True
+            yield pdf.iloc[late].assign(**{prev_col: None, "late": True})[out_cols]
+        if switch:
+            yield pdf.iloc[switch].assign(**{prev_col: switch_prev, "late": False})[out_cols]
     return fn
 
 
@@ -74,3 +92,70 @@ def stream_change_points(stream: DataFrame, key: str, time_col: str, tb_col: str
     fn = _detector(key, time_col, tb_col, value_col, prev_col, [f.name for f in out_fields])
     return stream.groupBy(key).applyInPandasWithState(
         fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+# --------------------------------------------------- state kept as a table
+
+def _state_path(root: str, batch_id: int) -> str:
+    return f"{root}/batch_id={batch_id}"
+
+
+def _path_exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def run_change_points_tables(stream: DataFrame, key: str, time_col: str, tb_col: str,
+                             value_col: str, prev_col: str, out: str, state_root: str,
+                             checkpoint: str) -> None:
+    """The same contract as :func:`stream_change_points`, evaluated with
+    DataFrame operations only (no per-person Python).
+
+    The state is a table (person, last time, last tie-break, last value)
+    with one version per micro-batch.  Each ``foreachBatch`` call joins the
+    batch with the previous version, orders each person's new rows with a
+    window, takes the stored value as the first row's predecessor, writes
+    the switches (and the late rows, flagged) to ``out/batch_id=<id>`` and
+    the new state to ``state_root/batch_id=<id>``.  Both writes overwrite
+    their batch folder, so a replayed batch is idempotent.  Runs until the
+    available input is processed (``availableNow``).
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    schema = T.StructType([T.StructField(key, stream.schema[key].dataType),
+                           T.StructField("_lt", stream.schema[time_col].dataType),
+                           T.StructField("_ltb", stream.schema[tb_col].dataType),
+                           T.StructField("_lv", stream.schema[value_col].dataType)])
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prev_path = _state_path(state_root, batch_id - 1)
+        if batch_id > 0 and _path_exists(spark, prev_path):
+            old = spark.read.schema(schema).parquet(prev_path)
+        else:
+            old = spark.createDataFrame([], schema)
+        rows = batch.where(F.col(value_col).isNotNull()).join(old, key, "left")
+        is_late = F.col("_lt").isNotNull() & (
+            (F.col(time_col) < F.col("_lt"))
+            | ((F.col(time_col) == F.col("_lt")) & (F.col(tb_col) <= F.col("_ltb"))))
+        rows = rows.withColumn("late", F.coalesce(is_late, F.lit(False)))
+        live = rows.where(~F.col("late"))
+        w = Window.partitionBy(key).orderBy(F.col(time_col).asc(), F.col(tb_col).asc())
+        live = live.withColumn(prev_col, F.coalesce(F.lag(value_col).over(w), F.col("_lv")))
+        switches = live.where(F.col(prev_col).isNotNull() & (F.col(value_col) != F.col(prev_col)))
+        late = rows.where(F.col("late")).withColumn(prev_col, F.lit(None).cast("string"))
+        cols = [*batch.columns, prev_col, "late"]
+        (switches.select(*cols).unionByName(late.select(*cols))
+         .write.mode("overwrite").parquet(_state_path(out, batch_id)))
+        tail = live.groupBy(key).agg(F.max_by(F.struct(F.col(time_col).alias("_lt"),
+                                                       F.col(tb_col).alias("_ltb"),
+                                                       F.col(value_col).alias("_lv")),
+                                              F.struct(time_col, tb_col)).alias("_s"))
+        new = tail.select(key, "_s.*").unionByName(old.join(tail.select(key), key, "left_anti"))
+        new.write.mode("overwrite").parquet(_state_path(state_root, batch_id))
+
+    q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()

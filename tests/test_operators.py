@@ -119,3 +119,33 @@ def test_key_profile_counts(spark):
 def test_shared_root_is_the_session_checkpoint_dir(spark):
     root = shared_root(spark)
     assert root and scratch_path(spark, "x").startswith(root)
+
+
+def test_stream_implementations_agree_on_out_of_order_drops(spark):
+    from panelkit.streaming.switches import run_change_points_tables, stream_change_points
+    rows = [("a", D(2021, 1, d), d, v) for d, v in [(1, "X"), (2, "X"), (3, "Y"), (8, "Z"), (9, "Z")]]
+    rows += [("b", D(2021, 1, d), 10 + d, v) for d, v in [(2, "P"), (6, "Q")]]
+    df = spark.createDataFrame(rows, "p string, t date, tb long, v string")
+    late_first = [df.where(F.col("t") >= D(2021, 1, 5)), df.where(F.col("t") < D(2021, 1, 5))]
+    results = []
+    for impl in ("state", "tables"):
+        root = scratch_path(spark, f"ooo-{impl}")
+        for part in late_first:
+            part.write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(df.schema).parquet(f"{root}/in")
+            if impl == "state":
+                q = (stream_change_points(stream, "p", "t", "tb", "v", "prev").writeStream
+                     .format("parquet").option("path", f"{root}/out")
+                     .option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start())
+                q.awaitTermination()
+            else:
+                run_change_points_tables(stream, "p", "t", "tb", "v", "prev", f"{root}/out",
+                                         f"{root}/state", f"{root}/chk")
+        out = spark.read.parquet(f"{root}/out")
+        results.append(sorted((r["p"], r["tb"], r["prev"], r["late"]) for r in out.collect()))
+    # drop 1 (days >= 5): a: Z after nothing -> no switch, b: Q alone -> none;
+    # drop 2 (days < 5): a's and b's rows are all late (before the stored day)
+    assert results[0] == results[1]
+    assert [r for r in results[0] if r[3]] == [("a", 1, None, True), ("a", 2, None, True),
+                                                ("a", 3, None, True), ("b", 12, None, True)]
+    assert [r for r in results[0] if not r[3]] == []
