@@ -110,3 +110,9 @@ def test_bucketed_switches_window_needs_no_exchange(spark):
     p = plan(Q["bucketed_switches"](spark, SF_SMALL))
     tree = p[:p.index("\n\n")]
     assert "Window" in tree and "Exchange" not in tree
+
+
+def test_switches_lag_single_exchange(spark):
+    p = plan(Q["switches_lag"](spark, SF_SMALL))
+    tree = p[:p.index("\n\n")]
+    assert tree.count("Exchange") == 1 and "Window" in tree
