@@ -20,9 +20,11 @@ from panelkit.operators.windows import carry_last_before
 
 def asof_last_before(left: DataFrame, right: DataFrame, key: str, left_time: str,
                      right_time: str, left_tiebreak: str, right_tiebreak: str,
-                     payload: list[str], chunk_days: int | None = None) -> DataFrame:
+                     payload: list[str], chunk_days: int | str | None = None) -> DataFrame:
     """Left rows with the ``payload`` columns of the latest right row whose
-    time is strictly before the left row's (NULL when none)."""
+    time is strictly before the left row's (NULL when none).  ``chunk_days``
+    splits long per-key histories into time chunks: an int width, "auto"
+    (measured, see :func:`panelkit.operators.windows.auto_chunk`) or None."""
     lcols = left.columns
     # Left rows with a NULL key match nothing; they skip the shuffle (all of
     # them would otherwise share one window partition) and are added back.
@@ -41,8 +43,10 @@ def asof_last_before(left: DataFrame, right: DataFrame, key: str, left_time: str
         F.lit(None).cast(l_side.schema["_left"].dataType).alias("_left"),
         packed.alias("_right"))
     both = l_side.unionByName(r_side)
-    chunk: Column | None = None
-    if chunk_days:
+    chunk: Column | str | None = None
+    if chunk_days == "auto":
+        chunk = "auto"
+    elif chunk_days:
         from panelkit.operators.windows import time_chunk
         chunk = time_chunk("_t", chunk_days)
     carried = carry_last_before(both, "_k", ["_t", "_side", "_tb"], "_right", "_match", chunk)

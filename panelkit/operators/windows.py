@@ -72,6 +72,25 @@ def auto_chunk(df: DataFrame, key, time_col: str,
     return time_chunk(time_col, days)
 
 
+Chunk = Column | str | None
+
+
+def _resolve(df: DataFrame, keys, order: Sequence, chunk: Chunk) -> Column | None:
+    """``chunk="auto"``: measure with :func:`auto_chunk` on the first order
+    column when it is a date or timestamp (other orderings are not split)."""
+    if not isinstance(chunk, str):
+        return chunk
+    if chunk != "auto":
+        raise ValueError(f"chunk must be a Column, None or 'auto', not {chunk!r}")
+    first = order[0]
+    if not isinstance(first, str):
+        return None
+    kind = df.schema[first].dataType.typeName()
+    if kind not in ("date", "timestamp", "timestamp_ntz"):
+        return None
+    return auto_chunk(df, keys, first, max_rows=MAX_ROWS_PER_KEY_TASK)
+
+
 # ---------------------------------------------------------------- first / last
 
 def _extreme_per_key(df: DataFrame, keys, order: Sequence[str], fn) -> DataFrame:
@@ -96,13 +115,13 @@ def last_per_key(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------------ lag / lead
 
 def lag_value(df: DataFrame, key, order: Sequence[str], value: str, out: str,
-              chunk: Column | None = None) -> DataFrame:
+              chunk: Chunk = None) -> DataFrame:
     """``mutate(out = lag(value))`` within ``key`` ordered by ``order``."""
     return _neighbour(df, key, order, value, out, chunk, forward=False)
 
 
 def lead_value(df: DataFrame, key, order: Sequence[str], value: str, out: str,
-               chunk: Column | None = None) -> DataFrame:
+               chunk: Chunk = None) -> DataFrame:
     """``mutate(out = lead(value))``."""
     return _neighbour(df, key, order, value, out, chunk, forward=True)
 
@@ -126,6 +145,7 @@ def _join_back(inner, summ, keys, ck):
 
 def _neighbour(df, key, order, value, out, chunk, forward):
     keys = _cols(key)
+    chunk = _resolve(df, keys, order, chunk)
     fn = F.lead if forward else F.lag
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
@@ -148,7 +168,7 @@ def _neighbour(df, key, order, value, out, chunk, forward):
 
 
 def change_points(df: DataFrame, key, order: Sequence[str], value: str,
-                  prev_name: str, chunk: Column | None = None) -> DataFrame:
+                  prev_name: str, chunk: Chunk = None) -> DataFrame:
     """Rows whose ``value`` differs from the previous row's (both non-NULL):
     ``lag`` + ``filter(!is.na(prev), cur != prev)``.  A change to or from
     NULL is not a change."""
@@ -157,13 +177,14 @@ def change_points(df: DataFrame, key, order: Sequence[str], value: str,
 
 
 def row_index(df: DataFrame, key, order: Sequence[str], out: str,
-              chunk: Column | None = None) -> DataFrame:
+              chunk: Chunk = None) -> DataFrame:
     """Chronological index ``row_number()`` per key (1-based).
 
     With ``chunk`` the index is the in-chunk number plus the row count of all
     earlier chunks of the key (each chunk's count is its last row's number).
     """
     keys = _cols(key)
+    chunk = _resolve(df, keys, order, chunk)
     if chunk is None:
         return df.withColumn(out, F.row_number().over(
             Window.partitionBy(*keys).orderBy(*_order(order))))
@@ -181,7 +202,7 @@ def row_index(df: DataFrame, key, order: Sequence[str], out: str,
 
 
 def rank_values(df: DataFrame, key, order: Sequence[str], rank_name: str | None = "rank",
-                dense_name: str | None = "dense_rank", chunk: Column | None = None) -> DataFrame:
+                dense_name: str | None = "dense_rank", chunk: Chunk = None) -> DataFrame:
     """``rank()`` / ``dense_rank()`` per key.
 
     With ``chunk`` the ranks are in-chunk ranks plus, respectively, the row
@@ -190,6 +211,7 @@ def rank_values(df: DataFrame, key, order: Sequence[str], rank_name: str | None
     the first order column), so tied rows never straddle a chunk boundary.
     """
     keys = _cols(key)
+    chunk = _resolve(df, keys, order, chunk)
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
         out = df
@@ -218,10 +240,11 @@ def rank_values(df: DataFrame, key, order: Sequence[str], rank_name: str | None
 
 
 def carry_last_before(df: DataFrame, key, order: Sequence[str], value: str, out: str,
-                      chunk: Column | None = None) -> DataFrame:
+                      chunk: Chunk = None) -> DataFrame:
     """Last non-NULL ``value`` strictly before each row (``last(ignorenulls)``
     over ``ROWS UNBOUNDED PRECEDING .. 1 PRECEDING``), chunk-split like lag."""
     keys = _cols(key)
+    chunk = _resolve(df, keys, order, chunk)
     frame = Window.unboundedPreceding, -1
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(*frame)
@@ -250,7 +273,7 @@ def rows_frame(key, order: Sequence[str], start: int, end: int) -> Window:
 
 
 def framed(df: DataFrame, key, order: Sequence[str], start: int, end: int,
-           aggs: dict[str, Column], chunk: Column | None = None,
+           aggs: dict[str, Column], chunk: Chunk = None,
            block_rows: int = MAX_ROWS_PER_KEY_TASK) -> DataFrame:
     """Add framed aggregates, e.g. ``{"trailing_avg": F.avg("services")}``.
 
@@ -262,6 +285,7 @@ def framed(df: DataFrame, key, order: Sequence[str], start: int, end: int,
     reach of a block edge are copied into the neighbouring block as halo.
     Each block then evaluates its frames alone and keeps its own rows.
     """
+    chunk = _resolve(df, _cols(key), order, chunk)
     if chunk is None:
         w = rows_frame(key, order, start, end)
         for name, agg in aggs.items():
@@ -291,7 +315,7 @@ def framed(df: DataFrame, key, order: Sequence[str], start: int, end: int,
 
 
 def shock_flags(monthly: DataFrame, key: str, period: str, measure: str,
-                lookback: int = 3, factor: float = 2.0, chunk: Column | None = None,
+                lookback: int = 3, factor: float = 2.0, chunk: Chunk = None,
                 block_rows: int = MAX_ROWS_PER_KEY_TASK) -> DataFrame:
     """Periods where ``measure >= factor * mean(previous lookback rows)`` and
     that trailing mean is positive; first rows (empty frame) never flag."""

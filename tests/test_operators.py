@@ -149,3 +149,41 @@ def test_stream_implementations_agree_on_out_of_order_drops(spark):
     assert [r for r in results[0] if r[3]] == [("a", 1, None, True), ("a", 2, None, True),
                                                 ("a", 3, None, True), ("b", 12, None, True)]
     assert [r for r in results[0] if not r[3]] == []
+
+
+def test_auto_chunk_option_on_every_ordered_operator(spark, monkeypatch):
+    from panelkit.operators import windows as W
+    from panelkit.operators.asof import asof_last_before
+    rows = [("hot", D(2020, 1, 1) + dt.timedelta(days=i // 2), i, "ABC"[(i // 4) % 3], float(i % 7))
+            for i in range(60)]
+    rows += [("cold", D(2020, 3, 1), 100, "A", 1.0), ("cold", D(2020, 3, 9), 101, "B", 2.0)]
+    df = spark.createDataFrame(rows, "p string, t date, tb long, v string, x double")
+    order = ["t", "tb"]
+
+    def runs():
+        return [
+            sorted(tuple(r) for r in W.lag_value(df, "p", order, "v", "o", chunk=c)
+                   .select("tb", "o").collect()),
+            sorted(tuple(r) for r in W.lead_value(df, "p", order, "v", "o", chunk=c)
+                   .select("tb", "o").collect()),
+            sorted(tuple(r) for r in W.row_index(df, "p", order, "i", chunk=c)
+                   .select("tb", "i").collect()),
+            sorted(tuple(r) for r in W.rank_values(df, "p", ["t"], "r", "d", chunk=c)
+                   .select("tb", "r", "d").collect()),
+            sorted(tuple(r) for r in W.framed(df, "p", order, -3, -1, {"m": F.avg("x")}, chunk=c)
+                   .select("tb", "m").collect()),
+        ]
+
+    c = None
+    plain = runs()
+    monkeypatch.setattr(W, "MAX_ROWS_PER_KEY_TASK", 8)
+    assert W._resolve(df, ["p"], order, "auto") is not None
+    c = "auto"
+    assert runs() == plain
+    left = df.select(F.col("tb").alias("lid"), "p", F.col("t").cast("timestamp_ntz").alias("lt"))
+    right = df.select(F.col("tb").alias("rid"), "p",
+                      (F.col("t").cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")).alias("rt"))
+    a = asof_last_before(left, right, "p", "lt", "rt", "lid", "rid", ["rid"], chunk_days="auto")
+    b = asof_last_before(left, right, "p", "lt", "rt", "lid", "rid", ["rid"])
+    assert sorted(tuple(r) for r in a.select("lid", "rid").collect()) == \
+        sorted(tuple(r) for r in b.select("lid", "rid").collect())
