@@ -29,6 +29,8 @@ def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
     (and AQE cannot split skew in a full outer join).  Those rows are routed
     around the join and added back with the other side's columns NULL.
     """
+    if how not in ("left", "full"):
+        raise ValueError(f"outer_join supports how='left' or 'full', not {how!r}")
     keys = [on] if isinstance(on, str) else list(on)
     has_null = None
     for k in keys:
