@@ -44,6 +44,12 @@ def _bytes(spark, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+def _timed_write(fn) -> float:
+    t0 = time.perf_counter()
+    fn()
+    return time.perf_counter() - t0
+
+
 def _best(fn, n: int = 3) -> float:
     fn()
     return min(fn() for _ in range(n))
@@ -80,6 +86,18 @@ def layout_ratios(spark, sf_dir: str, times: dict) -> dict:
         "lag_over_self_join": round(
             times["switches_daily_lag"] / max(times["switches_self_join"], 1e-3), 2),
     }
+    # CSV -> parquet conversion rate on four landed copies of the claims
+    from panelkit.plans.storage import MBS_SCHEMA
+    from panelkit.sources import readers
+    landing = scratch_path(spark, "bench-csv")
+    for _ in range(4):
+        fx.mbs(spark, sf_dir).write.mode("append").option("header", True).csv(landing)
+    gb = _bytes(spark, landing) / 1e9
+    convert = lambda: _timed_write(
+        lambda: layout.write_parquet(readers.read_csv(spark, f"{landing}/*.csv", MBS_SCHEMA),
+                                     scratch_path(spark, "bench-csv-out")))
+    out["csv_to_parquet_sec_per_gb"] = round(_best(convert, 2) / gb, 2)
+    out["csv_input_gb"] = round(gb, 3)
     # integer-hash key vs string key on the narrow three-way join
     from panelkit.operators import joins as J
     d = fx.demo(spark, sf_dir).where(F.col("year_of_birth").between(1960, 1979)).select("spine_id")
