@@ -170,6 +170,24 @@ def test_chunked_ranks_equal_plain(spark, rows, days):
     assert _set(plain, cols) == _set(split, cols)
 
 
+@SETTINGS
+@given(hist=st.lists(st.tuples(st.integers(1, 12), st.lists(st.sampled_from("ABC"), min_size=1,
+                                                             max_size=8)), min_size=1, max_size=4),
+       step=st.sampled_from([1, 7]))
+def test_lag_equals_fixed_offset_self_join_without_gaps(spark, hist, step):
+    """On a gap-free grid with one row per (person, period) the row-order
+    lag and the time-offset self-join find the same changes."""
+    rows, tb = [], 0
+    for p, (start, values) in enumerate(hist):
+        for i, v in enumerate(values):
+            rows.append((p, BASE + dt.timedelta(days=step * (start + i)), tb, v))
+            tb += 1
+    df = spark.createDataFrame(rows, "p int, t date, tb long, v string")
+    by_lag = change_points(df, "p", ["t", "tb"], "v", "prev")
+    by_join = J.shifted_self_join(df, "p", "t", "v", step, "prev").where(F.col("v") != F.col("prev"))
+    assert _set(by_lag, ["p", "t", "prev", "v"]) == _set(by_join, ["p", "t", "prev", "v"])
+
+
 def test_semi_plus_anti_is_left(spark):
     a = spark.range(0, 50).withColumn("k", F.col("id") % 7)
     b = spark.range(0, 10).withColumn("k", F.col("id") % 5).select("k")
