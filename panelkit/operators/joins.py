@@ -149,6 +149,27 @@ def star_join(dim: DataFrame, bridge: DataFrame, fact: DataFrame,
     return dim.join(bridge, dim_key, "inner").join(fact, fact_key, "inner")
 
 
+def star_rollup(dim: DataFrame, bridge: DataFrame, fact: DataFrame, dim_key: str,
+                fact_key: str, group_by: Sequence, sums: dict[str, str],
+                count_name: str = "n", fact_group: Sequence[str] = ()) -> DataFrame:
+    """Three-table star join followed by sums and a row count per group,
+    with the fact table aggregated per join key *before* the join.
+
+    Sums and counts decompose: per (person[, fact_group]) subtotals from a
+    map-side-combined aggregation, joined to the person's attributes and
+    summed again.  The fact side that reaches the join shuffle is one row
+    per person instead of one per claim, and a person holding a third of
+    all claims is one row there -- no skewed join partition at all.
+    ``group_by`` may reference columns of ``dim``/``bridge`` and
+    ``fact_group`` columns.
+    """
+    sub = fact.groupBy(fact_key, *fact_group).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias(count_name))
+    j = dim.join(bridge, dim_key, "inner").join(sub, fact_key, "inner")
+    return j.groupBy(*group_by).agg(*[F.sum(n).alias(n) for n in sums],
+                                    F.sum(count_name).cast("long").alias(count_name))
+
+
 def in_table(df: DataFrame, keys: DataFrame, on, negate: bool = False) -> DataFrame:
     """``filter(x %in% table$key)`` rewritten as a semi (or anti) join so the
     key set never reaches the driver.  For the anti join, rows with a NULL

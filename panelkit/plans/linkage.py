@@ -111,12 +111,18 @@ def join_composite(spark, sf):
                                     F.round(F.sum("ti"), 2).alias("ti_total"))
 
 
-def _people_claims(spark, sf, fact_cols):
+def _people(spark, sf):
+    """People aged 0-99 in the reference year, with their age."""
     d = fx.demo(spark, sf).select("spine_id", "year_of_birth", "core_gender")
-    m = fx.mbs(spark, sf).select("synthetic_aeuid", *fact_cols)
-    j = J.star_join(d, fx.dhda_spine(spark, sf), m, "spine_id", "synthetic_aeuid")
-    age = F.lit(REF_YEAR) - F.col("year_of_birth")
-    return j.withColumn("age_2015", age).where((F.col("age_2015") >= 0) & (F.col("age_2015") < 100))
+    d = d.withColumn("age_2015", F.lit(REF_YEAR) - F.col("year_of_birth"))
+    return d.where((F.col("age_2015") >= 0) & (F.col("age_2015") < 100))
+
+
+def _claims_rollup(spark, sf, group_by, sums, fact_group=()):
+    """people x health spine x claims, claims pre-aggregated per person."""
+    m = fx.mbs(spark, sf).select("synthetic_aeuid", *sums.values(), *fact_group)
+    return J.star_rollup(_people(spark, sf), fx.dhda_spine(spark, sf), m, "spine_id",
+                         "synthetic_aeuid", group_by, sums, "claims", fact_group)
 
 
 _STAR_SQL = """
@@ -130,11 +136,10 @@ SELECT CAST(floor((2015 - d.year_of_birth) / 10.0) * 10 AS INTEGER) AS age_decad
        round(sum(m.numserv), 2) AS services, round(sum(m.feecharged), 2) AS fees, count(*) AS claims
 {_STAR_SQL} GROUP BY 1, 2""")
 def three_way_age_decade(spark, sf):
-    j = _people_claims(spark, sf, ["numserv", "feecharged"])
-    return (j.groupBy(bucket_floor("age_2015", 10).alias("age_decade"), "core_gender")
-            .agg(F.round(F.sum("numserv"), 2).alias("services"),
-                 F.round(F.sum("feecharged"), 2).alias("fees"),
-                 F.count(F.lit(1)).alias("claims")))
+    r = _claims_rollup(spark, sf, [bucket_floor("age_2015", 10).alias("age_decade"), "core_gender"],
+                       {"services": "numserv", "fees": "feecharged"})
+    return r.select("age_decade", "core_gender", F.round("services", 2).alias("services"),
+                    F.round("fees", 2).alias("fees"), "claims")
 
 
 @query("three_way_age_5yr", views=("demo", "dhda_spine", "mbs"), sql=f"""
@@ -143,11 +148,10 @@ SELECT d.core_gender, CAST(floor((2015 - d.year_of_birth) / 5.0) * 5 AS INTEGER)
        count(*) AS claims
 {_STAR_SQL} GROUP BY 1, 2""")
 def three_way_age_5yr(spark, sf):
-    j = _people_claims(spark, sf, ["numserv", "feecharged"])
-    return (j.groupBy("core_gender", bucket_floor("age_2015", 5).alias("age_group"))
-            .agg(F.round(F.sum("numserv"), 2).alias("services"),
-                 F.round(F.sum("feecharged"), 2).alias("fee_charged"),
-                 F.count(F.lit(1)).alias("claims")))
+    r = _claims_rollup(spark, sf, ["core_gender", bucket_floor("age_2015", 5).alias("age_group")],
+                       {"services": "numserv", "fee_charged": "feecharged"})
+    return r.select("core_gender", "age_group", F.round("services", 2).alias("services"),
+                    F.round("fee_charged", 2).alias("fee_charged"), "claims")
 
 
 @query("three_way_by_type", views=("demo", "dhda_spine", "mbs"), sql=f"""
@@ -155,11 +159,11 @@ SELECT d.core_gender, CAST(floor((2015 - d.year_of_birth) / 10.0) * 10 AS INTEGE
        m.btos, round(sum(m.numserv), 2) AS services, count(*) AS claims
 {_STAR_SQL} GROUP BY 1, 2, 3""")
 def three_way_by_type(spark, sf):
-    j = _people_claims(spark, sf, ["numserv", "btos"])
     age_group = (F.floor(F.col("age_2015") / 10) * 10).cast("int")  # %/% then * 10
-    return (j.groupBy("core_gender", age_group.alias("age_group"), "btos")
-            .agg(F.round(F.sum("numserv"), 2).alias("services"),
-                 F.count(F.lit(1)).alias("claims")))
+    r = _claims_rollup(spark, sf, ["core_gender", age_group.alias("age_group"), "btos"],
+                       {"services": "numserv"}, fact_group=["btos"])
+    return r.select("core_gender", "age_group", "btos",
+                    F.round("services", 2).alias("services"), "claims")
 
 
 @query("t3_three_way", views=("demo", "dhda_spine", "mbs"), headline=True, sql="""
@@ -169,15 +173,14 @@ FROM demo d JOIN dhda_spine s ON d.spine_id = s.spine_id
 JOIN mbs m ON s.synthetic_aeuid = m.synthetic_aeuid GROUP BY 1, 2""")
 def t3_three_way(spark, sf):
     """T3: the three-table join with no age filter, grouped by an
-    expression (decade of age)."""
+    expression (decade of age); spine key renamed on both sides first."""
     d = fx.demo(spark, sf).withColumnRenamed("spine_id", "SPINE_ID")
     s = fx.dhda_spine(spark, sf).withColumnRenamed("spine_id", "SPINE_ID")
     m = fx.mbs(spark, sf).select("synthetic_aeuid", "numserv")
-    j = d.join(s, "SPINE_ID").join(m, "synthetic_aeuid")
     decade = bucket_floor(F.lit(REF_YEAR) - F.col("year_of_birth"), 10)
-    return (j.groupBy(decade.alias("age_decade"), "core_gender")
-            .agg(F.round(F.sum("numserv"), 2).alias("services"),
-                 F.count(F.lit(1)).alias("claims")))
+    r = J.star_rollup(d, s, m, "SPINE_ID", "synthetic_aeuid",
+                      [decade.alias("age_decade"), "core_gender"], {"services": "numserv"}, "claims")
+    return r.select("age_decade", "core_gender", F.round("services", 2).alias("services"), "claims")
 
 
 @query("narrow_three_way", views=("demo", "dhda_spine", "mbs"), headline=True, sql="""
