@@ -125,10 +125,13 @@ def catalog_view(spark, sf):
     fx.demo(spark, sf).createOrReplaceTempView("pk_demo")
     fx.dhda_spine(spark, sf).createOrReplaceTempView("pk_dhda_spine")
     fx.mbs(spark, sf).createOrReplaceTempView("pk_mbs")
+    # claims are summed per person before the join (see star_rollup)
     return spark.sql("""
-        SELECT d.core_gender, count(*) AS claims, round(sum(m.numserv), 2) AS services
+        SELECT d.core_gender, CAST(sum(m.c) AS BIGINT) AS claims, round(sum(m.s), 2) AS services
         FROM pk_demo d JOIN pk_dhda_spine s ON d.spine_id = s.spine_id
-        JOIN pk_mbs m ON s.synthetic_aeuid = m.synthetic_aeuid GROUP BY d.core_gender""")
+        JOIN (SELECT synthetic_aeuid, count(*) AS c, sum(numserv) AS s
+              FROM pk_mbs GROUP BY synthetic_aeuid) m ON s.synthetic_aeuid = m.synthetic_aeuid
+        GROUP BY d.core_gender""")
 
 
 @query("catalog_view_filtered", views=("stp",), sql="""
