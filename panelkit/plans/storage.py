@@ -8,6 +8,8 @@ back, so the answer is computed from the written files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,9 +124,11 @@ def catalog_view(spark, sf):
     root = sf.rstrip("/")
     for name in ("customer", "orders", "lineitem"):
         catalog.register_view(spark, f"pk_{name}", f"{root}/{name}.parquet")
-    fx.demo(spark, sf).createOrReplaceTempView("pk_demo")
-    fx.dhda_spine(spark, sf).createOrReplaceTempView("pk_dhda_spine")
-    fx.mbs(spark, sf).createOrReplaceTempView("pk_mbs")
+    # the panel views, as SQL views over the registered parquet views
+    for name in ("demo", "dhda_spine", "mbs"):
+        body = re.sub(r"\b(customer|orders|lineitem)\b", r"pk_\1", fx.VIEW_SQL[name])
+        spark.sql(f"CREATE OR REPLACE TEMP VIEW pk_{name} AS "
+                  + body.replace("AS VARCHAR", "AS STRING"))
     # claims are summed per person before the join (see star_rollup)
     return spark.sql("""
         SELECT d.core_gender, CAST(sum(m.c) AS BIGINT) AS claims, round(sum(m.s), 2) AS services
