@@ -187,3 +187,33 @@ def test_auto_chunk_option_on_every_ordered_operator(spark, monkeypatch):
     b = asof_last_before(left, right, "p", "lt", "rt", "lid", "rid", ["rid"])
     assert sorted(tuple(r) for r in a.select("lid", "rid").collect()) == \
         sorted(tuple(r) for r in b.select("lid", "rid").collect())
+
+
+def test_readers_fill_by_name_and_inference(spark):
+    from panelkit.sources import readers
+    a = spark.createDataFrame([(1, "x")], "id long, a string")
+    b = spark.createDataFrame([(2, 3.5)], "id long, b double")
+    st = readers.stack_by_name([a, b])
+    assert sorted(st.columns) == ["a", "b", "id"]
+    assert sorted((r["id"], r["a"], r["b"]) for r in st.collect()) == [(1, "x", None), (2, None, 3.5)]
+    path = scratch_path(spark, "infer")
+    spark.createDataFrame([(10, "2020-01-02", 1.5)], "k int, d string, v double") \
+        .write.option("header", True).csv(path)
+    inferred = readers.infer_csv(spark, f"{path}/*.csv", sample_ratio=1.0)
+    types = dict(inferred.dtypes)
+    assert types["k"] == "int" and types["v"] == "double"
+    bad = scratch_path(spark, "corrupt")
+    spark.createDataFrame([("1",), ("oops",)], "k string").write.option("header", True).csv(bad)
+    kept = readers.read_csv(spark, f"{bad}/*.csv", "k int", keep_corrupt=True).collect()
+    assert {(r["k"], r[readers.CORRUPT]) for r in kept} == {(None, "oops"), (1, None)}
+
+
+def test_profile_files_top_datasets(spark):
+    from panelkit.sources.files import profile_files
+    root = scratch_path(spark, "profile")
+    spark.range(1000).write.parquet(f"{root}/big")
+    spark.range(10).coalesce(1).write.parquet(f"{root}/small")
+    top = profile_files(spark, root, "*.parquet", top=1).collect()
+    assert [r["dataset"] for r in top] == ["big"]
+    every = {r["dataset"]: r["n_files"] for r in profile_files(spark, root, "*.parquet", top=None).collect()}
+    assert set(every) == {"big", "small"} and every["small"] == 1
