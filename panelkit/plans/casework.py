@@ -145,8 +145,8 @@ def interval_join_90d(spark, sf):
                                               "shock_month", "dhda_aeuid")
 
 
-def _post_shock(spark, sf):
-    links = post_shock_links(spark, sf)
+def _post_shock(spark, sf, switches: DataFrame | None = None):
+    links = post_shock_links(spark, sf, switches)
     return (links.groupBy(month_start("week_ending").alias("switch_month"))
             .agg(F.count(F.lit(1)).alias("switches_post_shock"),
                  F.count_distinct("synthetic_aeuid").alias("people")))
@@ -161,8 +161,8 @@ def post_shock_switches(spark, sf):
     return _post_shock(spark, sf).orderBy("switch_month")
 
 
-def _baseline(spark, sf):
-    sw = employer_switches(stp_filtered(spark, sf))
+def _baseline(spark, sf, switches: DataFrame | None = None):
+    sw = switches if switches is not None else employer_switches(stp_filtered(spark, sf))
     return (sw.groupBy(month_start("week_ending").alias("switch_month"))
             .agg(F.count(F.lit(1)).alias("switches"),
                  F.count_distinct("synthetic_aeuid").alias("people")))
@@ -194,8 +194,9 @@ SELECT month, n, 'All switchers' AS "group" FROM base
 UNION ALL SELECT month, n, 'Post health-shock (3-month window)' AS "group" FROM post""")
 def baseline_vs_postshock(spark, sf):
     """Both series stacked with a group label (``bind_rows``)."""
-    base = _baseline(spark, sf).select(F.col("switch_month").alias("month"),
+    sw = employer_switches(stp_filtered(spark, sf))   # one switch job feeds both series
+    base = _baseline(spark, sf, sw).select(F.col("switch_month").alias("month"),
                                        F.col("switches").alias("n"))
-    post = _post_shock(spark, sf).select(F.col("switch_month").alias("month"),
+    post = _post_shock(spark, sf, sw).select(F.col("switch_month").alias("month"),
                                          F.col("switches_post_shock").alias("n"))
     return bind_rows({"All switchers": base, "Post health-shock (3-month window)": post})
