@@ -75,6 +75,53 @@ def stream_switches(spark, sf):
                       "gross_pay", "rec_id")
 
 
+_LATE_SQL = """
+WITH stp_f AS (SELECT * FROM stp WHERE abn_hash_trunc IS NOT NULL),
+a AS (SELECT * FROM stp_f WHERE week_ending >= DATE '1998-01-01'),
+b AS (SELECT * FROM stp_f WHERE week_ending < DATE '1998-01-01'),
+sa AS (SELECT count(*) AS n FROM (
+         SELECT abn_hash_trunc, lag(abn_hash_trunc) OVER (PARTITION BY synthetic_aeuid
+                                                          ORDER BY week_ending, rec_id) AS p FROM a)
+       WHERE p IS NOT NULL AND abn_hash_trunc <> p),
+sb AS (SELECT count(*) AS n FROM (
+         SELECT abn_hash_trunc, lag(abn_hash_trunc) OVER (PARTITION BY synthetic_aeuid
+                                                          ORDER BY week_ending, rec_id) AS p
+         FROM b WHERE synthetic_aeuid NOT IN (SELECT synthetic_aeuid FROM a))
+       WHERE p IS NOT NULL AND abn_hash_trunc <> p),
+lt AS (SELECT count(*) AS n FROM b WHERE synthetic_aeuid IN (SELECT synthetic_aeuid FROM a))
+SELECT true AS late, n FROM lt
+UNION ALL SELECT false AS late, (SELECT n FROM sa) + (SELECT n FROM sb) AS n"""
+
+
+@query("stream_late_rows", views=("stp",), sql=_LATE_SQL)
+def stream_late_rows(spark, sf):
+    """The late-data contract of the stateful detector: the later payroll
+    drop arrives first, then the earlier one.  Rows of people already in
+    state are late (counted, not applied); people first seen in the late
+    drop start fresh.  Output: switches and late rows, counted."""
+    root = scratch_path(spark, "stream-late")
+    landing, out, chk = f"{root}/landing", f"{root}/switches", f"{root}/_checkpoint"
+    src = stp_filtered(spark, sf).select(
+        "synthetic_aeuid", "week_ending", "rec_id", "abn_hash_trunc",
+        F.col("pmt_sumry_totl_grs_pmt_amt").alias("gross_pay"))
+    cut = F.lit("1998-01-01").cast("date")
+    for part in (src.where(F.col("week_ending") >= cut), src.where(F.col("week_ending") < cut)):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(src.schema).parquet(landing)
+        sw = stream_change_points(stream, "synthetic_aeuid", "week_ending", "rec_id",
+                                  "abn_hash_trunc", "prev_employer")
+        q = (sw.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", chk).trigger(availableNow=True).start())
+        q.awaitTermination()
+    counts = spark.read.parquet(out).agg(
+        F.count(F.when(F.col("late"), 1)).alias("n_late"),
+        F.count(F.when(~F.col("late"), 1)).alias("n_switch"))
+    # both rows always present, even when a count is zero
+    pairs = F.array(F.struct(F.lit(True).alias("late"), F.col("n_late").alias("n")),
+                    F.struct(F.lit(False).alias("late"), F.col("n_switch").alias("n")))
+    return counts.select(F.explode(pairs).alias("r")).select("r.late", "r.n")
+
+
 @query("stream_switches_tables", views=("stp",), sql="WITH " + _STP_SQL + """
 SELECT synthetic_aeuid, week_ending, new_employer, prev_employer, gross_pay, rec_id FROM stp_switches""")
 def stream_switches_tables(spark, sf):
