@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit import fixtures as fx
-from panelkit.plans.panel import _STP_SQL, stp_filtered
+from panelkit.plans.panel import _MONTHLY_SQL, _STP_SQL, stp_filtered
 from panelkit.plans.registry import query
 from panelkit.plans.storage import MBS_SCHEMA
 from panelkit.session import scratch_path
 from panelkit.streaming.ingest import ingest_new_files
-from panelkit.streaming.rollup import read_rollup, run_rollup
+from panelkit.streaming.rollup import monthly_from_daily, read_rollup, run_rollup
 from panelkit.streaming.switches import run_change_points_tables, stream_change_points
 
 
@@ -168,3 +168,28 @@ def stream_daily_rollup(spark, sf):
         run_rollup(stream, out, chk, "user_id", "ts", "value")
     r = read_rollup(spark, out, "user_id")
     return r.select("user_id", "day", "n", F.round("total", 2).alias("total"))
+
+
+@query("stream_person_month", views=("mbs",), sql="WITH " + _MONTHLY_SQL + """
+SELECT synthetic_aeuid, month, round(services, 2) AS services, round(fees, 2) AS fees, claims
+FROM mbs_monthly""")
+def stream_person_month(spark, sf):
+    """The person-month collapse in event time: claims stream through
+    watermarked day windows per person (two drops, one restart), and the
+    days are rolled up to calendar months in batch."""
+    root = scratch_path(spark, "stream-person-month")
+    landing, out, chk = f"{root}/landing", f"{root}/daily", f"{root}/_checkpoint"
+    claims = fx.mbs(spark, sf)
+
+    def write(part):
+        part.write.mode("append").parquet(landing)
+
+    for drop in _two_drops(claims, "dos", "1998-01-01", write):
+        drop()
+        stream = spark.readStream.schema(claims.schema).parquet(landing)
+        run_rollup(stream, out, chk, "synthetic_aeuid", "dos",
+                   {"services": "numserv", "fees": "feecharged"}, lateness="31 days")
+    m = monthly_from_daily(read_rollup(spark, out, "synthetic_aeuid"), "synthetic_aeuid",
+                           ["services", "fees"])
+    return m.select("synthetic_aeuid", "month", F.round("services", 2).alias("services"),
+                    F.round("fees", 2).alias("fees"), F.col("n").alias("claims"))

@@ -16,22 +16,30 @@ from pyspark.sql import functions as F
 from panelkit.operators.windows import last_per_key
 
 
-def daily_rollup_stream(stream: DataFrame, key: str, ts: str, measure: str,
+def _measures(measure: str | dict[str, str]) -> dict[str, str]:
+    return {"total": measure} if isinstance(measure, str) else dict(measure)
+
+
+def daily_rollup_stream(stream: DataFrame, key: str, ts: str, measure: str | dict[str, str],
                         lateness: str = "2 days") -> DataFrame:
+    """Rows ``n`` and sums per (key, day window); ``measure`` is one column
+    (summed as ``total``) or ``{output name: column}``."""
     # Watermarks need an instant type; the session time zone is UTC, so the
-    # cast from timestamp_ntz keeps wall-clock days unchanged.
+    # cast from timestamp_ntz/date keeps wall-clock days unchanged.
     stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    sums = [F.sum(c).alias(n) for n, c in _measures(measure).items()]
     return (stream.withWatermark(ts, lateness)
             .groupBy(key, F.window(ts, "1 day"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total")))
+            .agg(F.count(F.lit(1)).alias("n"), *sums))
 
 
 def run_rollup(stream: DataFrame, out: str, checkpoint: str, key: str, ts: str,
-               measure: str, lateness: str = "2 days") -> None:
+               measure: str | dict[str, str], lateness: str = "2 days") -> None:
     agg = daily_rollup_stream(stream, key, ts, measure, lateness)
+    names = list(_measures(measure))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(key, F.col("window.start").cast("date").alias("day"), "n", "total")
+        (batch.select(key, F.col("window.start").cast("date").alias("day"), "n", *names)
          .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
@@ -43,3 +51,9 @@ def read_rollup(spark: SparkSession, out: str, key: str) -> DataFrame:
     """Current value of every (key, day): its row from the latest batch."""
     rows = spark.read.parquet(out)
     return last_per_key(rows, [key, "day"], ["batch_id"]).drop("batch_id")
+
+
+def monthly_from_daily(daily: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """Batch roll-up of the stream's (key, day) rows to calendar months."""
+    return (daily.groupBy(key, F.trunc("day", "MM").alias("month"))
+            .agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in sums]))
