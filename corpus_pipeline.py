@@ -1,12 +1,66 @@
-"""The document pipeline: STAGES of the training-data operators."""
+"""The document pipeline: five training-data operators in a row.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
+and returns a DataFrame.  All but the last return the columns of documents.
+``run`` applies them to ``documents``; every stage's result is written to the
+shared folder and read again, which cuts the lineage between stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelkit.llm import decontaminate, jaccard, lines, packing, quality
+from panelkit.llm.common import WS_CHARS, table
+from panelkit.session import scratch_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, and so do boilerplate lines of the rest."""
+    return quality.apply_rules(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated three-line passages go; a document that held words and is
+    left with none goes too."""
+    out = lines.line_dedup(docs)
+    left = out.where((F.btrim("text", F.lit(WS_CHARS)) != "") | (F.col("n_removed") == 0))
+    return left.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return jaccard.drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents left, packed into context windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+# Tokenization and the link components are beyond SQL; tests/llm checks the
+# stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -62,3 +62,28 @@ def covered(starts: Column, width) -> Column:
 def doc_key(text: Column) -> Column:
     """Text fingerprint that, with doc_id, tells rows of equal id apart."""
     return F.xxhash64(text)
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as one struct ``row``, plus ``row_key``; other
+    columns can then be joined on without name clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       doc_key(F.col("text")).alias("row_key"))
+
+
+def same_row(doc: str, key: str) -> Column:
+    """Join condition of an :func:`as_row` table on doc_id and text key."""
+    return F.col("row.doc_id").eqNullSafe(F.col(doc)) & (F.col("row_key") == F.col(key))
+
+
+def from_row(docs: DataFrame, text: Column | None = None) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, with a new text and its n_chars."""
+    out = []
+    for c in docs.columns:
+        col = F.col(f"row.`{c}`")
+        if text is not None and c == "text":
+            col = text
+        elif text is not None and c == "n_chars":
+            col = F.length(text).cast(docs.schema[c].dataType)
+        out.append(col.alias(c))
+    return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import ascii_lower, doc_key, let
+from panelkit.llm.common import as_row, ascii_lower, doc_key, from_row, let, same_row
 
 WIDTH = 10
 # Everything but digits, a-z and non-ASCII separates words (after lowering).
@@ -111,6 +111,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) ->
     """The documents without any benchmark window, in their own columns."""
     bad = window_hits(docs, items, width).where(F.size("hits") > 0) \
         .select(F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key")).dropDuplicates()
-    return docs.withColumn("_key", doc_key(F.col("text"))).join(
-        bad, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("_key") == F.col("b_key")), "left_anti") \
-        .select(*docs.columns)
+    return as_row(docs).join(bad, same_row("b_doc", "b_key"), "left_anti").select(*from_row(docs))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import WS_CHARS, content_lines, doc_key, let
+from panelkit.llm.common import WS_CHARS, as_row, content_lines, doc_key, from_row, has_word, let, same_row
 
 WINDOW = 3
 
@@ -41,8 +41,9 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with repeated lines taken out of ``text``,
-    plus n_lines (lines with a word) and n_removed.
+    """The columns of ``docs`` with repeated lines taken out of ``text`` (and
+    n_chars to match), plus n_lines (lines with a word) and n_removed, which
+    replace columns of those names.
 
     Documents with fewer than three lines have no window.  Null text stays
     null.  Rows with equal doc_id and text are one document and get equal
@@ -51,23 +52,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     gone = repeated_positions(docs).select(
         F.col("doc_id").alias("r_doc"), F.col("key").alias("r_key"), "starts")
-    names = docs.columns
-    row = docs.select(*names, doc_key(F.col("text")).alias("_key")).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("_key") == F.col("r_key")), "left")
-    lines = F.split("text", "\n")
+    rows = as_row(docs).join(gone, same_row("r_doc", "r_key"), "left")
 
     def rebuilt(ls):
-        held = F.filter(F.transform(ls, lambda x, i: F.when(
-            F.btrim(x, F.lit(WS_CHARS)) != "", i)), lambda i: i.isNotNull())
+        held = F.array_compact(F.transform(ls, lambda x, i: F.when(has_word(x), i)))
         covered = F.array_distinct(F.flatten(F.transform(
-            F.col("starts"), lambda p: F.array(p, p + 1, p + 2))))
+            "starts", lambda p: F.array(p, p + 1, p + 2))))
         gone_at = let(held, lambda h: F.transform(covered, lambda c: F.get(h, c)))
         return let(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone_at),
                    lambda keep: F.struct(
                        F.array_join(F.transform(keep, lambda i: F.get(ls, i)), "\n").alias("text"),
                        (F.size(ls) - F.size(keep)).cast("long").alias("n")))
-    out = row.withColumn("_new", F.when(F.col("starts").isNotNull(), let(lines, rebuilt)))
-    extra = [F.size(content_lines(F.col("text"))).cast("long").alias("n_lines"),
-             F.coalesce("_new.n", F.lit(0)).cast("long").alias("n_removed")]
-    new_text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.col("_new.text"))
-    return out.select(*[new_text.alias("text") if c == "text" else F.col(c) for c in names], *extra)
+    out = rows.withColumn("new", F.when(F.col("starts").isNotNull(), let(F.split("row.text", "\n"), rebuilt)))
+    text = F.when(F.col("new").isNull(), F.col("row.text")).otherwise(F.col("new.text"))
+    return out.withColumn("new_text", text).select(
+        *[c for n, c in zip(docs.columns, from_row(docs, F.col("new_text"))) if n not in ("n_lines", "n_removed")],
+        F.size(content_lines(F.col("row.text"))).cast("long").alias("n_lines"),
+        F.coalesce("new.n", F.lit(0)).cast("long").alias("n_removed"))

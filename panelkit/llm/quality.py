@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import WS_CLASS, content_lines, covered, doc_key, has_word, let, split_words
+from panelkit.llm.common import (as_row, content_lines, covered, doc_key, from_row, has_word, let, same_row,
+                                  split_words)
 
 # A host's line is boilerplate when more documents than this carry it.
 MAX_DOCS_PER_HOST = 20
@@ -21,41 +22,36 @@ _POS_BITS = 28
 _POS_MASK = (1 << _POS_BITS) - 1
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text.
+def _packed_windows(words: Column) -> Column:
+    """3-word windows as sorted longs: 36 hash bits, then the position."""
+    n = F.size(words)
+    triples = F.slice(F.arrays_zip(words, F.slice(words, 2, n), F.slice(words, 3, n)), 1, n - 2)
+    return F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.transform(
+        triples, lambda t, i: F.xxhash64(t).bitwiseAND(F.lit(~_POS_MASK)).bitwiseOR(i.cast("long")))))
 
-    Window hashes are packed with their position into one long and sorted as
-    primitives; equal neighbours give the candidate positions.  Candidates
-    (a superset, the hash is cut to 36 bits) are then compared as words.
-    """
-    def candidates(ws):
-        hashes = F.transform(ws, lambda w: F.xxhash64(w))
-        packed = let(hashes, lambda h: F.transform(
-            F.slice(h, 1, F.size(h) - 2),
-            lambda x, i: F.xxhash64(x, h[i + 1], h[i + 2])
-            .bitwiseAND(F.lit(~_POS_MASK)).bitwiseOR(i.cast("long"))))
-        neighbours = let(F.sort_array(packed), lambda s: F.transform(
-            s, lambda v, i: F.when(
-                (F.get(s, i - 1).bitwiseXOR(v).between(0, _POS_MASK))
-                | (F.get(s, i + 1).bitwiseXOR(v).between(0, _POS_MASK)),
-                v.bitwiseAND(F.lit(_POS_MASK)))))
-        return F.filter(neighbours, lambda p: p.isNotNull())
-
-    def verified(ws, positions):
-        keyed = F.sort_array(F.transform(positions, lambda p: F.struct(
-            F.get(ws, p).alias("a"), F.get(ws, p + 1).alias("b"), F.get(ws, p + 2).alias("c"),
-            p.alias("p"))))
 
-        def same(x, y):
-            return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-        hits = let(keyed, lambda k: F.transform(k, lambda v, i: F.when(
-            F.coalesce(same(F.get(k, i - 1), v), F.lit(False))
-            | F.coalesce(same(F.get(k, i + 1), v), F.lit(False)), v["p"])))
-        return covered(F.sort_array(F.filter(hits, lambda p: p.isNotNull())), 3)
+def _equal_neighbours(packed: Column) -> Column:
+    """Positions whose hash bits equal a neighbour's in the sorted array."""
+    n = F.size(packed)
+    pairs = F.zip_with(F.slice(packed, 1, F.greatest(n - 1, F.lit(0))), F.slice(packed, 2, n),
+                       lambda a, b: F.when(F.shiftright(a, _POS_BITS) == F.shiftright(b, _POS_BITS), F.array(
+                           a.bitwiseAND(F.lit(_POS_MASK)), b.bitwiseAND(F.lit(_POS_MASK)))))
+    return F.array_distinct(F.flatten(F.array_compact(pairs)))
+
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(
-        let(words, lambda ws: let(candidates(ws), lambda c: F.when(
-            F.size(c) == 0, F.lit(0).cast("long")).otherwise(verified(ws, c)))))
+def _repeat_words(words: Column, positions: Column) -> Column:
+    """Words covered by windows that occur twice or more, compared as words
+    at the candidate ``positions``."""
+    def same(x, y):
+        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+    def verified(ws):
+        keyed = F.sort_array(F.transform(positions, lambda p: F.struct(
+            F.get(ws, p).alias("a"), F.get(ws, p + 1).alias("b"), F.get(ws, p + 2).alias("c"), p.alias("p"))))
+        return let(keyed, lambda k: F.transform(k, lambda v, i: F.when(
+            same(F.get(k, i - 1), v) | same(F.get(k, i + 1), v), v["p"])))
+    return F.when(F.size(positions) == 0, F.lit(0).cast("long")).otherwise(
+        covered(F.sort_array(F.array_compact(let(words, verified))), 3))
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
@@ -70,20 +66,21 @@ def document_stats(docs: DataFrame) -> DataFrame:
         split_words(F.col("text")).alias("words"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
-    return cols.select(
+    # Each array is a column of its own: lambdas then read it, not rebuild it.
+    packed = cols.withColumn("packed", _packed_windows(F.col("words")))
+    return packed.withColumn("places", _equal_neighbours(F.col("packed"))).select(
         "doc_id", "source", "key",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols", "n_dup_lines",
-        _repeat_words(F.col("words")).alias("n_repeat_words")) \
+        _repeat_words(F.col("words"), F.col("places")).alias("n_repeat_words")) \
         .withColumn("base_failed", (F.col("n_words") < 50)
                     | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, digits as 0, runs of white space as one space."""
-    return F.lower(F.regexp_replace(F.regexp_replace(line, r"[0-9]", "0"),
-                                    WS_CLASS + "+", " "))
+def normalised(words: Column) -> Column:
+    """A line's words joined by one space, lower case, digits as 0."""
+    return F.lower(F.regexp_replace(F.array_join(words, " "), "[0-9]", "0"))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -92,9 +89,9 @@ def document_lines(docs: DataFrame) -> DataFrame:
     exploded = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), doc_key(F.col("text")).alias("key"),
         F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(has_word(F.col("line")))
-    hashed = exploded.select(
-        "doc_id", "source", "key", "pos", F.size(split_words(F.col("line"))).alias("w"),
-        F.btrim(normalised(F.col("line"))).alias("norm"))
+    split = exploded.select("doc_id", "source", "key", "pos", split_words(F.col("line")).alias("ws"))
+    hashed = split.select("doc_id", "source", "key", "pos", F.size("ws").alias("w"),
+                          normalised(F.col("ws")).alias("norm"))
     return hashed.select(
         "source", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"),
         "doc_id", "key", F.struct("pos", "w").alias("place")) \
@@ -154,15 +151,12 @@ def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST,
     verdict = quality_rules(docs, max_docs, min_remaining).where("kept").select(
         F.col("doc_id").alias("v_doc"), F.col("key").alias("v_key"), F.col("gone").alias("v_gone")) \
         .dropDuplicates(["v_doc", "v_key"])
-    kept = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("v_doc"))
-                     & (doc_key(F.col("text")) == F.col("v_key")))
+    kept = as_row(docs).join(verdict, same_row("v_doc", "v_key"))
 
     def stripped(lines):
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1),
                               F.transform("v_gone", lambda p: p["pos"]))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("v_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), stripped))
-    out = kept.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.col("v_gone").isNull(), F.col("row.text")) \
+        .otherwise(let(F.split("row.text", "\n"), stripped))
+    return kept.withColumn("new_text", text).select(*from_row(docs, F.col("new_text")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelkit.llm import decontaminate, lines, quality
+from panelkit.llm import decontaminate, html, jaccard, licenses, lines, maxent, packing, quality, repeats, secrets
 from panelkit.llm.common import table
 
 QUERIES: dict = {}
@@ -119,3 +119,47 @@ def op9_line_dedup(spark, sf_dir):
     """Documents without lines that repeat in three-line windows."""
     return lines.line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    """Words left after removing passages of earlier documents."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    """Pieces of all documents in full context windows."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, sf_dir):
+    """License notices of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_licenses", F.array_join("licenses", ",").alias("licenses"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    """Credential spans of every document."""
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark, sf_dir):
+    """Unigram and model score of every document."""
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
