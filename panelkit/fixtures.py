@@ -16,19 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The base table's parquet scan.  Resolved once per session and path
-    (file listing and footer schema are driver work; the returned
-    DataFrame is lazy, so reuse does not pin any data)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = _SCANS[key] = spark.read.parquet(path)
-    return df
+    """The base table's parquet scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _aeuid(prefix: str, key: Column) -> Column:
@@ -49,28 +39,44 @@ def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ato_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ATO identifier -> spine_id (nullable spine_id, some people missing)."""
+    """ATO identifier -> spine_id (nullable spine_id)."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.where(k % 40 != 7).select(
+    return c.select(
         F.when(k % 250 == 0, F.lit(None)).otherwise(k).alias("spine_id"),
         _aeuid("A", k).alias("synthetic_aeuid"),
     )
 
 
 def dhda_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health identifier -> spine_id."""
+    """Health identifier -> spine_id (nullable spine_id)."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.where(k % 50 != 3).select(
+    return c.select(
         F.when(k % 250 == 1, F.lit(None)).otherwise(k).alias("spine_id"),
         _aeuid("D", k).alias("synthetic_aeuid"),
     )
 
 
-def itr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tax-return context: person x income year x occupation code."""
+def ato_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ATO spine with people missing, for the coverage matrix, which
+    counts who is in one spine and not in the other."""
+    return ato_spine(spark, sf_dir).where(F.substring("synthetic_aeuid", 2, 20).cast("long") % 40 != 7)
+
+
+def dhda_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health spine with people missing, for the coverage matrix."""
+    return dhda_spine(spark, sf_dir).where(F.substring("synthetic_aeuid", 2, 20).cast("long") % 50 != 3)
+
+
+def itr(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """Tax-return context: person x income year x occupation code; of one
+    income year, when given, by a range on the source date."""
     o = table(spark, sf_dir, "orders")
+    if year is not None:
+        day = F.col("o_orderdate")
+        o = o.where((day >= F.lit(f"{year}-01-01").cast(o.schema["o_orderdate"].dataType))
+                    & (day < F.lit(f"{year + 1}-01-01").cast(o.schema["o_orderdate"].dataType)))
     k = F.col("o_orderkey")
     return o.select(
         k.alias("rec_id"),
@@ -94,11 +100,14 @@ def itr_inc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health claims: one row per claim line."""
+def mbs(spark: SparkSession, sf_dir: str, person: int | None = None) -> DataFrame:
+    """Health claims: one row per claim line; of one person, when given, by a
+    predicate on the source key."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if person is not None:
+        o = o.where(F.col("o_custkey") == person)
     rf = F.col("l_returnflag")
     return li.join(o, li.l_orderkey == o.o_orderkey, "inner").select(
         _aeuid("D", F.col("o_custkey")).alias("synthetic_aeuid"),
@@ -125,6 +134,7 @@ def stp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEWS = {
     "demo": demo, "ato_spine": ato_spine, "dhda_spine": dhda_spine,
+    "ato_known": ato_known, "dhda_known": dhda_known,
     "itr": itr, "itr_inc": itr_inc, "mbs": mbs, "stp": stp,
 }
 
@@ -150,11 +160,17 @@ VIEW_SQL = {
             "WHEN c_mktsegment IN ('FURNITURE','HOUSEHOLD') THEN 'F' ELSE 'X' END AS core_gender "
             "FROM customer",
     "ato_spine": "SELECT CASE WHEN c_custkey%250=0 THEN NULL ELSE c_custkey END AS spine_id, "
+                 "concat('A', CAST(c_custkey AS VARCHAR)) AS synthetic_aeuid "
+                 "FROM customer",
+    "ato_known": "SELECT CASE WHEN c_custkey%250=0 THEN NULL ELSE c_custkey END AS spine_id, "
                  "concat('A', CAST(c_custkey AS VARCHAR)) AS synthetic_aeuid "
                  "FROM customer WHERE c_custkey%40<>7",
-    "dhda_spine": "SELECT CASE WHEN c_custkey%250=1 THEN NULL ELSE c_custkey END AS spine_id, "
+    "dhda_known": "SELECT CASE WHEN c_custkey%250=1 THEN NULL ELSE c_custkey END AS spine_id, "
                   "concat('D', CAST(c_custkey AS VARCHAR)) AS synthetic_aeuid "
                   "FROM customer WHERE c_custkey%50<>3",
+    "dhda_spine": "SELECT CASE WHEN c_custkey%250=1 THEN NULL ELSE c_custkey END AS spine_id, "
+                  "concat('D', CAST(c_custkey AS VARCHAR)) AS synthetic_aeuid "
+                  "FROM customer",
     "itr": "SELECT o_orderkey AS rec_id, concat('A', CAST(o_custkey AS VARCHAR)) AS synthetic_aeuid, "
            "CAST(year(o_orderdate) AS INT) AS incm_yr, "
            "CASE WHEN o_orderkey%13=0 THEN NULL ELSE CAST(1000+(o_orderkey*31)%8000 AS INT) END "

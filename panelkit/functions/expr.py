@@ -8,6 +8,7 @@ integer division; these spell the intent out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -35,14 +36,19 @@ def round_half_even_int(x) -> Column:
 
 
 def floor_div(a, b) -> Column:
-    """R ``%/%``: floor division, correct for negative operands."""
-    return F.floor(_c(a) / _c(b)).cast("long")
+    """R ``%/%`` on whole numbers: floor division, exact for every 64-bit
+    value and correct for negative operands; division by 0 gives NULL."""
+    a, b = _c(a).cast("long"), F.nullif(_c(b).cast("long"), F.lit(0).cast("long"))
+    q = F.call_function("div", a, b)
+    return F.when((a % b != 0) & ((a < 0) != (b < 0)), q - 1).otherwise(q)
 
 
 def floor_mod(a, b) -> Column:
-    """R ``%%``: result has the sign of the divisor."""
-    a, b = _c(a), _c(b)
-    return (a - F.floor(a / b) * b).cast("long")
+    """R ``%%`` on whole numbers: the result has the sign of the divisor;
+    modulo 0 gives NULL."""
+    a, b = _c(a).cast("long"), F.nullif(_c(b).cast("long"), F.lit(0).cast("long"))
+    m = a % b
+    return F.when((m != 0) & ((m < 0) != (b < 0)), m + b).otherwise(m)
 
 
 def bucket_floor(x, width: int) -> Column:
@@ -99,9 +105,16 @@ def first_match_replace(x, pattern: str, replacement: str) -> Column:
     """R ``sub``: replace only the first regex match.
 
     ``regexp_replace`` replaces all matches, so the pattern is wrapped to
-    consume the rest of the string after the first match.
+    consume the whole string.  The text before the first match and the text
+    after it (newlines included) are groups of their own, which moves the
+    numbers of the pattern's groups up by one.  The replacement names groups
+    as ``$1`` or ``\1``.
     """
-    return F.regexp_replace(_c(x), f"^(.*?){pattern}(.*)$", f"$1{replacement}$2")
+    def up(m: re.Match, mark: str) -> str:
+        return m[0] if m[1] is None else f"{mark}{int(m[1]) + 1}"
+    own = re.sub(r"\\\\|\\([1-9])", lambda m: up(m, "\\"), pattern)
+    new = re.sub(r"\\\\|[\\$]([1-9])", lambda m: up(m, "$"), replacement)
+    return F.regexp_replace(_c(x), f"^(?<pre>(?s:.*?))(?:{own})(?<rest>(?s:.*))$", "${pre}" + new + "${rest}")
 
 
 def hash_key(x) -> Column:

@@ -2,9 +2,9 @@
 
 Every aggregate here is a Catalyst hash/object aggregate with partial
 (map-side) aggregation, so a hot group is combined before the shuffle.
-Exact quantiles use ``percentile`` (linear interpolation, the same as
-``quantile_cont``); its partial buffer is a value -> count map, so memory
-grows with the distinct values of a group, not with its rows.
+Exact quantiles of unbounded groups use :func:`distribution`; ``quantile`` is
+Spark's ``percentile``, whose buffer is a value -> count map, for frames and
+groups whose distinct values are known to be few.
 """
 
 from __future__ import annotations
@@ -25,47 +25,28 @@ def quantile(col, p: float) -> Column:
     return F.percentile(F.col(col) if isinstance(col, str) else col, F.lit(p))
 
 
-# Largest number of distinct values one group may hand to Spark's exact
-# ``percentile`` buffer (a value -> count map held by one task per group).
-PERCENTILE_BUFFER_LIMIT = 1_000_000
-
-
-def max_group_cardinality(df: DataFrame, keys: Sequence[str], value: str) -> float:
-    """Upper estimate of the distinct values of ``value`` in the largest
-    group (one small aggregate job; HyperLogLog++ with 2% error, so the
-    estimate is padded by 10%)."""
-    per = df.groupBy(*keys).agg(F.approx_count_distinct(value, 0.02).alias("_d"))
-    top = per.agg(F.max("_d").alias("m")).first()["m"]
-    return (top or 0) * 1.1
-
-
 def distribution(df: DataFrame, keys: Sequence[str], value: str,
-                 probs: dict[str, float], prefix: str = "",
-                 buffer_limit: int = PERCENTILE_BUFFER_LIMIT) -> DataFrame:
+                 probs: dict[str, float], prefix: str = "") -> DataFrame:
     """n (rows with a value), mean, median and named quantiles of ``value``
-    per group; quantiles exact and interpolated (``quantile_cont``).
+    per group (of the whole table without ``keys``); quantiles are exact and
+    interpolated (``quantile_cont``).
 
-    Strategy by measured size, like a broadcast behind a size check: when
-    every group has at most ``buffer_limit`` distinct values, one pass of
-    ``percentile`` (its per-group buffer is then bounded); otherwise the
-    histogram refinement of :mod:`panelkit.operators.quantiles`, which
-    never holds a group in one task.
+    Always the histogram refinement of :mod:`panelkit.operators.quantiles`,
+    which never holds a group or a value list in one task.
     """
     from panelkit.operators.quantiles import exact_quantiles
     keys = list(keys)
     base = df.where(F.col(value).isNotNull())
     allq = {f"median{prefix}": 0.5, **probs}
-    if max_group_cardinality(base, keys, value) <= buffer_limit:
-        return base.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(value).alias(f"mean{prefix}"),
-            *[quantile(value, p).alias(name) for name, p in allq.items()])
     moments = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                       F.avg(value).alias(f"mean{prefix}"))
     q = exact_quantiles(base, keys, value, allq)
+    if not keys:                                    # one row each
+        moments, q, keys = moments.withColumn("_all", F.lit(0)), q.withColumn("_all", F.lit(0)), ["_all"]
     m, qq = moments.alias("_m"), q.alias("_q")
     cond = [F.col(f"_m.{k}").eqNullSafe(F.col(f"_q.{k}")) for k in keys]
     return m.join(qq, cond, "left").select(
-        *[F.col(f"_m.{k}").alias(k) for k in keys], "n", f"mean{prefix}",
+        *[F.col(f"_m.{k}").alias(k) for k in keys if k != "_all"], "n", f"mean{prefix}",
         *[F.col(f"_q.`{c}`").alias(c) for c in allq])
 
 

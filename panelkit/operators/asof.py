@@ -26,11 +26,13 @@ def asof_last_before(left: DataFrame, right: DataFrame, key: str, left_time: str
     splits long per-key histories into time chunks: an int width, "auto"
     (measured, see :func:`panelkit.operators.windows.auto_chunk`) or None."""
     lcols = left.columns
-    # Left rows with a NULL key match nothing; they skip the shuffle (all of
-    # them would otherwise share one window partition) and are added back.
-    unkeyed = left.where(F.col(key).isNull())
-    left = left.where(F.col(key).isNotNull())
-    right = right.where(F.col(key).isNotNull())
+    # Left rows with a NULL key or time match nothing; they skip the shuffle
+    # (all of them would otherwise share one window partition) and are added
+    # back.  Right rows with a NULL key or time are before nothing.
+    has_both = F.col(key).isNotNull() & F.col(left_time).isNotNull()
+    unkeyed = left.where(~has_both)
+    left = left.where(has_both)
+    right = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
     packed = F.struct(*[F.col(c) for c in payload])
     l_side = left.select(
         F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"),

@@ -84,7 +84,8 @@ def _epoch_day(c: Column) -> Column:
 def interval_join(events: DataFrame, anchors: DataFrame, keys: Sequence[str] | str,
                   event_time: str, anchor_time: str, days: int,
                   bin_days: int = 32) -> DataFrame:
-    """Equi-join on ``keys`` with ``anchor <= t < anchor + days``.
+    """Equi-join on ``keys`` with ``anchor <= t < anchor + days``, in the
+    times' own type: days after a timestamp end at the same time of day.
 
     Range join by binning: events carry the ``bin_days``-wide time bin they
     fall in; each anchor is replicated to the (at most
@@ -98,13 +99,17 @@ def interval_join(events: DataFrame, anchors: DataFrame, keys: Sequence[str] | s
     et, at = F.col(event_time), F.col(anchor_time)
     ev = events.withColumn("_bin", F.floor(_epoch_day(et) / bin_days))
     lo = F.floor(_epoch_day(at) / bin_days)
-    hi = F.floor((_epoch_day(at) + (days - 1)) / bin_days)
+    # A timestamp's interval may end within the day ``days`` later.
+    dates = anchors.schema[anchor_time].dataType.typeName() == "date"
+    hi = F.floor((_epoch_day(at) + (days - 1 if dates else days)) / bin_days)
     an = anchors.withColumn("_bin", F.explode(F.sequence(lo, hi)))
     e, a = ev.alias("e"), an.alias("a")
     cond = [F.col(f"e.{k}") == F.col(f"a.{k}") for k in keys]
     cond.append(F.col("e._bin") == F.col("a._bin"))
     cond.append(F.col(f"e.{event_time}") >= F.col(f"a.{anchor_time}"))
-    cond.append(F.col(f"e.{event_time}") < F.date_add(F.col(f"a.{anchor_time}"), days))
+    start = F.col(f"a.{anchor_time}")
+    end = F.date_add(start, days) if dates else start + F.make_dt_interval(F.lit(days))
+    cond.append(F.col(f"e.{event_time}") < end)
     cols = [F.col(f"e.{k}") for k in keys]
     cols += [F.col(f"e.{c}") for c in events.columns if c not in keys]
     cols += [F.col(f"a.{c}") for c in anchors.columns if c not in keys]
@@ -142,6 +147,15 @@ def hash_key_join(left: DataFrame, right: DataFrame, key: str,
     return lh.join(rh, cond, how).drop("_khash", "_rkey")
 
 
+def stored_key_join(left: DataFrame, right: DataFrame, hash_col: str, key: str,
+                    how: str = "inner") -> DataFrame:
+    """Join two tables that store the integer surrogate ``hash_col`` of
+    ``key``: equality on the integer, guarded by the id; nothing is hashed."""
+    r = right.withColumnsRenamed({hash_col: "_rhash", key: "_rkey"})
+    cond = (F.col(hash_col) == F.col("_rhash")) & (F.col(key) == F.col("_rkey"))
+    return left.join(r, cond, how).drop("_rhash", "_rkey")
+
+
 def star_join(dim: DataFrame, bridge: DataFrame, fact: DataFrame,
               dim_key: str, fact_key: str) -> DataFrame:
     """dimension -(dim_key)- bridge -(fact_key)- fact, the canonical

@@ -9,19 +9,19 @@ nothing but counting aggregates:
 1. per group: ``n``, ``min``, ``max``;
 2. each target rank starts with the candidate value range ``[min, max]``;
    one pass counts the candidate rows in ``buckets`` equal-width value
-   buckets (plus each bucket's own min/max), a running sum over the
-   buckets locates the bucket holding the target rank, and that bucket's
-   ``[min, max]`` becomes the new candidate range;
-3. after ``rounds`` passes the candidate range has shrunk by a factor of
-   ``buckets ** rounds``; a range with ``min == max`` is the answer, any
-   other is resolved by one more histogram whose buckets are the range's
-   distinct values (counted, never collected).
+   buckets, with the two end values in buckets of their own (plus each
+   bucket's own min/max); a running sum over the buckets locates the bucket
+   holding the target rank, and that bucket's ``[min, max]`` becomes the new
+   candidate range;
+3. passes repeat until every range is a single value, which is the answer.
+   A pass shrinks a range by a factor of ``buckets``, and by two distinct
+   values at least, so widely spread values cost more passes, not memory.
 
 The bucket index is a monotone function of the value, so the candidate set
 is always exactly the rows whose value lies in the candidate range, and
 ties need no special case.  Every aggregation has map-side partial
-aggregation and at most ``buckets`` rows per (group, range), so a hot group
-is spread over all tasks.  The result equals ``percentile`` / DuckDB's
+aggregation and at most ``buckets`` + 2 rows per (group, range), so a hot
+group is spread over all tasks.  The result equals ``percentile`` / DuckDB's
 ``quantile_cont``.
 """
 
@@ -42,12 +42,15 @@ def _cond_join(left: DataFrame, right: DataFrame, keys: Sequence[str], extra) ->
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float], rounds: int = 2,
-                    buckets: int = 65536) -> DataFrame:
+                    probs: Mapping[str, float], buckets: int = 65536) -> DataFrame:
     """One row per group with one column per entry of ``probs`` (linear
     interpolation between closest ranks; NULL values ignored).  Groups
-    whose values are all NULL are absent."""
+    whose values are all NULL are absent.  Without ``keys`` the whole table
+    is one group."""
     keys = list(keys)
+    if not keys:
+        one = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, buckets)
+        return one.drop("_all")
     base = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                                     F.max("_x").alias("_hi"))
@@ -72,14 +75,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     # plans against a finished table instead of re-deriving all earlier ones.
     targets = cut_lineage(targets)
 
-    for _ in range(rounds):
+    while targets.where(F.col("_lo") < F.col("_hi")).limit(1).count():
         open_ = targets.where(F.col("_lo") < F.col("_hi"))
         ranges = open_.select(*keys, "_lo", "_hi").distinct()
         rows = _cond_join(base, ranges, keys,
                           (F.col("_l._x") >= F.col("_r._lo")) & (F.col("_l._x") <= F.col("_r._hi")))
-        width = (F.col("_r._hi") - F.col("_r._lo")) / F.lit(buckets)
-        bucket = F.least(F.floor((F.col("_l._x") - F.col("_r._lo")) / width).cast("long"),
-                         F.lit(buckets - 1))
+        # Halves first: the width of the widest range would overflow.
+        span = F.col("_r._hi") / 2 - F.col("_r._lo") / 2
+        share = F.try_divide(F.col("_l._x") / 2 - F.col("_r._lo") / 2, span)
+        inner = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * buckets).cast("long")
+        bucket = F.when(F.col("_l._x") == F.col("_r._lo"), F.lit(-1).cast("long")) \
+            .when(F.col("_l._x") == F.col("_r._hi"), F.lit(buckets).cast("long")) \
+            .otherwise(F.greatest(F.lit(0), F.least(inner, F.lit(buckets - 1))))
         rows = rows.select(*[F.col(f"_r.{k}").alias(k) for k in keys],
                            F.col("_r._lo").alias("_lo"), F.col("_r._hi").alias("_hi"),
                            bucket.alias("_b"), F.col("_l._x").alias("_x"))
@@ -101,29 +108,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                               (F.col("_l._base") + F.col("_r._before")).alias("_base"))
         targets = cut_lineage(targets.where(F.col("_lo") == F.col("_hi")).unionByName(narrowed))
 
-    done = targets.where(F.col("_lo") == F.col("_hi")).select(
-        *keys, "_name", "_frac", "_which", F.col("_lo").alias("_v"))
-    rest = targets.where(F.col("_lo") < F.col("_hi"))
-    ranges = rest.select(*keys, "_lo", "_hi").distinct()
-    rows = _cond_join(base, ranges, keys,
-                      (F.col("_l._x") >= F.col("_r._lo")) & (F.col("_l._x") <= F.col("_r._hi")))
-    # Final step: a histogram whose buckets are the distinct values of the
-    # (narrow) remaining range, so tied rows are counted, never collected.
-    vals = rows.groupBy(*[F.col(f"_r.{k}").alias(k) for k in keys],
-                        F.col("_r._lo").alias("_lo"), F.col("_r._hi").alias("_hi"),
-                        F.col("_l._x").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    vals = vals.withColumn("_before", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*keys, "_lo", "_hi").orderBy("_x")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.col("_l._rank") - F.col("_l._base")
-    picked = _cond_join(rest, vals, keys,
-                        (F.col("_l._lo") == F.col("_r._lo")) & (F.col("_l._hi") == F.col("_r._hi"))
-                        & (local >= F.col("_r._before"))
-                        & (local < F.col("_r._before") + F.col("_r._c")))
-    picked = picked.select(*[F.col(f"_l.{k}").alias(k) for k in keys],
-                           F.col("_l._name").alias("_name"), F.col("_l._frac").alias("_frac"),
-                           F.col("_l._which").alias("_which"), F.col("_r._x").alias("_v"))
-    vals_ab = done.unionByName(picked)
+    vals_ab = targets.select(*keys, "_name", "_frac", "_which", F.col("_lo").alias("_v"))
     pair = vals_ab.groupBy(*keys, "_name").agg(
         F.max(F.when(F.col("_which") == 0, F.col("_v"))).alias("_va"),
         F.max(F.when(F.col("_which") == 1, F.col("_v"))).alias("_vb"),

@@ -50,25 +50,31 @@ MAX_ROWS_PER_KEY_TASK = 5_000_000
 
 
 def auto_chunk(df: DataFrame, key, time_col: str,
-               max_rows: int = MAX_ROWS_PER_KEY_TASK) -> Column | None:
+               max_rows: int | None = None) -> Column | None:
     """Chunk column for the ordered operators, chosen from measured data.
 
-    One aggregate job (per-key count and time span, map-side combined,
-    then the largest key only) decides: if no key has more than
-    ``max_rows`` rows, ``None`` (one window per key is bounded); otherwise a
-    :func:`time_chunk` whose width puts about ``max_rows`` rows of the
-    hottest key in each chunk.
+    One aggregate job (per-key count and time span, map-side combined, then
+    the largest key only) decides whether any key has more than ``max_rows``
+    rows; if not, ``None`` (one window per key is bounded).  Otherwise the
+    width is narrowed until the largest (key, chunk) cell of *any* key holds
+    at most ``max_rows`` rows, or is one day wide.  Whatever is chosen, the
+    operators' results are the same.
     """
+    max_rows = MAX_ROWS_PER_KEY_TASK if max_rows is None else max_rows
     keys = _cols(key)
     t = F.col(time_col).cast("date")
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"),
                                 F.max(t).alias("_t1"))
-    top = per.orderBy(F.col("_n").desc()).select(
-        "_n", F.datediff("_t1", "_t0").alias("_span")).first()
+    top = per.agg(F.max_by(F.struct("_n", F.datediff("_t1", "_t0").alias("_span")), "_n").alias("m")).first()["m"]
     if top is None or top["_n"] <= max_rows:
         return None
-    span = max(int(top["_span"] or 0), 1)
-    days = max(1, int(span * max_rows / top["_n"]))
+    days = max(1, int(max(int(top["_span"] or 0), 1) * max_rows / top["_n"]))
+    while days > 1:
+        cell = df.where(t.isNotNull()).groupBy(*keys, time_chunk(time_col, days).alias("_c")).count() \
+            .agg(F.max("count").alias("n")).first()["n"]
+        if not cell or cell <= max_rows:
+            break
+        days = max(1, min(days // 2, int(days * max_rows / cell)))
     return time_chunk(time_col, days)
 
 
@@ -93,23 +99,25 @@ def _resolve(df: DataFrame, keys, order: Sequence, chunk: Chunk) -> Column | Non
 
 # ---------------------------------------------------------------- first / last
 
-def _extreme_per_key(df: DataFrame, keys, order: Sequence[str], fn) -> DataFrame:
+def _extreme_per_key(df: DataFrame, keys, rank: Column, fn) -> DataFrame:
     keys = _cols(keys)
     payload = F.struct(*[F.col(c) for c in df.columns])
-    rank = F.struct(*[F.col(o) for o in order])
     row = fn(payload, rank).alias("_row")
     return df.groupBy(*keys).agg(row).select("_row.*")
 
 
 def first_per_key(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
-    """Row with the smallest ``order`` per key (``row_number() == 1``).
-    ``order`` must be unique within a key (add a tie-break column)."""
-    return _extreme_per_key(df, keys, order, F.min_by)
+    """Row with the smallest ``order`` per key (``row_number() == 1``), NULLs
+    last.  ``order`` must be unique within a key (add a tie-break column)."""
+    rank = F.struct(*[c for i, o in enumerate(order)
+                      for c in (F.col(o).isNull().alias(f"n{i}"), F.col(o).alias(f"v{i}"))])
+    return _extreme_per_key(df, keys, rank, F.min_by)
 
 
 def last_per_key(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
-    """Row with the largest ``order`` per key (keep-latest dedupe)."""
-    return _extreme_per_key(df, keys, order, F.max_by)
+    """Row with the largest ``order`` per key (keep-latest dedupe); a row
+    with a NULL order is the latest only when there is no other."""
+    return _extreme_per_key(df, keys, F.struct(*[F.col(o) for o in order]), F.max_by)
 
 
 # ------------------------------------------------------------------ lag / lead
@@ -126,21 +134,34 @@ def lead_value(df: DataFrame, key, order: Sequence[str], value: str, out: str,
     return _neighbour(df, key, order, value, out, chunk, forward=True)
 
 
+_CELL = "_cell"
+
+
 def _split(df, keys, order, chunk):
-    """Rows keyed by (key, chunk) with in-chunk position flags, from one
-    window sort; the summaries below are filtered from this same output, so
-    the input is shuffled (and computed) once."""
-    ck = "_chunk"
-    d = df.withColumn(ck, chunk)
-    w_in = Window.partitionBy(*keys, ck).orderBy(*_order(order))
-    return d, w_in, ck
+    """Rows with their (key, chunk) cell and the in-cell window; the
+    summaries below are filtered from this same window output, so the input
+    is shuffled (and computed) once.
+
+    The cell is a struct: unlike plain columns, structs with NULL fields are
+    equal to each other, so rows with a NULL key or a NULL time join their
+    cell's summary like any other row.
+    """
+    d = df.withColumn(_CELL, F.struct(*[F.col(k) for k in keys], chunk.alias("_chunk")))
+    return d, Window.partitionBy(_CELL).orderBy(*_order(order))
+
+
+def _across(keys) -> Window:
+    """Cells of one key in chunk order; the NULL chunk comes last, as NULL
+    times do within a window."""
+    return Window.partitionBy(*[F.col(f"{_CELL}.`{k}`") for k in keys]) \
+        .orderBy(F.col(f"{_CELL}._chunk").asc_nulls_last())
 
 
-def _join_back(inner, summ, keys, ck):
-    """Attach the per-chunk carry to every row of its chunk.  ``inner`` is
-    already hash-partitioned by (key, chunk), so only the small summary
-    moves (or is broadcast when its measured size allows)."""
-    return inner.join(summ, [*keys, ck], "left")
+def _join_back(inner, summ):
+    """Attach the per-cell carry to every row of its cell.  ``inner`` is
+    already hash-partitioned by the cell, so only the small summary moves
+    (or is broadcast when its measured size allows)."""
+    return inner.join(summ, _CELL, "left")
 
 
 def _neighbour(df, key, order, value, out, chunk, forward):
@@ -150,21 +171,20 @@ def _neighbour(df, key, order, value, out, chunk, forward):
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
         return df.withColumn(out, fn(value).over(w))
-    d, w_in, ck = _split(df, keys, order, chunk)
+    d, w_in = _split(df, keys, order, chunk)
     inner = d.select(
         "*", fn(value).over(w_in).alias(out),
         F.lag(F.lit(1)).over(w_in).isNull().alias("_first"),
         F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
-    # Boundary value of every (key, chunk): its last row's value (for lag)
-    # or its first row's (for lead); the neighbouring chunk's boundary is the
-    # value that crosses into this chunk.
+    # Boundary value of every cell: its last row's value (for lag) or its
+    # first row's (for lead); the neighbouring chunk's boundary is the value
+    # that crosses into this chunk.
     edge_here, edge_cross = ("_first", "_last") if not forward else ("_last", "_first")
-    summ = inner.where(F.col(edge_cross)).select(*keys, ck, F.col(value).alias("_bnd"))
-    carry = fn("_bnd").over(Window.partitionBy(*keys).orderBy(ck))
-    summ = summ.select(*keys, ck, carry.alias("_carry"))
-    res = _join_back(inner, summ, keys, ck)
+    summ = inner.where(F.col(edge_cross)).select(_CELL, F.col(value).alias("_bnd"))
+    summ = summ.select(_CELL, fn("_bnd").over(_across(keys)).alias("_carry"))
+    res = _join_back(inner, summ)
     return (res.withColumn(out, F.when(F.col(edge_here), F.col("_carry")).otherwise(F.col(out)))
-            .drop(ck, "_first", "_last", "_carry"))
+            .drop(_CELL, "_first", "_last", "_carry"))
 
 
 def change_points(df: DataFrame, key, order: Sequence[str], value: str,
@@ -188,17 +208,16 @@ def row_index(df: DataFrame, key, order: Sequence[str], out: str,
     if chunk is None:
         return df.withColumn(out, F.row_number().over(
             Window.partitionBy(*keys).orderBy(*_order(order))))
-    d, w_in, ck = _split(df, keys, order, chunk)
+    d, w_in = _split(df, keys, order, chunk)
     inner = d.select("*", F.row_number().over(w_in).alias(out),
                      F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
-    counts = inner.where(F.col("_last")).select(*keys, ck, F.col(out).alias("_n"))
+    counts = inner.where(F.col("_last")).select(_CELL, F.col(out).alias("_n"))
     before = F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*keys).orderBy(ck)
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*keys, ck, before.alias("_off"))
-    return (_join_back(inner, counts, keys, ck)
+        _across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(_CELL, before.alias("_off"))
+    return (_join_back(inner, counts)
             .withColumn(out, (F.col(out) + F.col("_off")).cast("int"))
-            .drop(ck, "_off", "_last"))
+            .drop(_CELL, "_off", "_last"))
 
 
 def rank_values(df: DataFrame, key, order: Sequence[str], rank_name: str | None = "rank",
@@ -220,23 +239,22 @@ def rank_values(df: DataFrame, key, order: Sequence[str], rank_name: str | None
         if dense_name:
             out = out.withColumn(dense_name, F.dense_rank().over(w))
         return out
-    d, w_in, ck = _split(df, keys, order, chunk)
+    d, w_in = _split(df, keys, order, chunk)
     inner = d.select("*", F.rank().over(w_in).alias("_r"), F.dense_rank().over(w_in).alias("_d"),
                      F.row_number().over(w_in).alias("_i"),
                      F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
     # a chunk's row count is its last row number; its distinct values, the
     # last dense rank
-    summ = inner.where(F.col("_last")).select(*keys, ck, F.col("_i").alias("_n"),
-                                              F.col("_d").alias("_nd"))
-    prior = Window.partitionBy(*keys).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*keys, ck, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
+    summ = inner.where(F.col("_last")).select(_CELL, F.col("_i").alias("_n"), F.col("_d").alias("_nd"))
+    prior = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(_CELL, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
                        F.coalesce(F.sum("_nd").over(prior), F.lit(0)).alias("_doff"))
-    res = _join_back(inner, summ, keys, ck)
+    res = _join_back(inner, summ)
     if rank_name:
         res = res.withColumn(rank_name, (F.col("_r") + F.col("_off")).cast("int"))
     if dense_name:
         res = res.withColumn(dense_name, (F.col("_d") + F.col("_doff")).cast("int"))
-    return res.drop(ck, "_r", "_d", "_i", "_last", "_off", "_doff")
+    return res.drop(_CELL, "_r", "_d", "_i", "_last", "_off", "_doff")
 
 
 def carry_last_before(df: DataFrame, key, order: Sequence[str], value: str, out: str,
@@ -249,19 +267,18 @@ def carry_last_before(df: DataFrame, key, order: Sequence[str], value: str, out:
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(*frame)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    d, w_in, ck = _split(df, keys, order, chunk)
+    d, w_in = _split(df, keys, order, chunk)
     upto = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = d.select("*", F.last(value, ignorenulls=True).over(w_in.rowsBetween(*frame)).alias(out),
                      F.last(value, ignorenulls=True).over(upto).alias("_upto"),
                      F.lead(F.lit(1)).over(w_in).isNull().alias("_last"))
     # last non-NULL value of each chunk = the running value at its last row
-    summ = inner.where(F.col("_last")).select(*keys, ck, F.col("_upto").alias("_bnd"))
-    carry = F.last("_bnd", ignorenulls=True).over(
-        Window.partitionBy(*keys).orderBy(ck).rowsBetween(*frame))
-    summ = summ.select(*keys, ck, carry.alias("_carry"))
-    return (_join_back(inner, summ, keys, ck)
+    summ = inner.where(F.col("_last")).select(_CELL, F.col("_upto").alias("_bnd"))
+    carry = F.last("_bnd", ignorenulls=True).over(_across(keys).rowsBetween(*frame))
+    summ = summ.select(_CELL, carry.alias("_carry"))
+    return (_join_back(inner, summ)
             .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
-            .drop(ck, "_carry", "_upto", "_last"))
+            .drop(_CELL, "_carry", "_upto", "_last"))
 
 
 # -------------------------------------------------------------- framed windows
@@ -293,8 +310,9 @@ def framed(df: DataFrame, key, order: Sequence[str], start: int, end: int,
         return df
     keys = _cols(key)
     before, after = max(0, -start), max(0, end)
-    if max(before, after) >= block_rows:
-        raise ValueError("frame reaches further than one block")
+    # A block is at least as long as the frame reaches, so every row's frame
+    # lies in its own block and the neighbouring halos.
+    block_rows = max(block_rows, before + 1, after + 1)
     pos = row_index(df, keys, order, "_pos", chunk=chunk)
     i0 = F.col("_pos") - 1
     own = F.floor(i0 / block_rows).cast("long")

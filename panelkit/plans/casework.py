@@ -10,12 +10,14 @@ from panelkit import fixtures as fx
 from panelkit.functions import brackets, month_start
 from panelkit.operators import joins as J
 from panelkit.operators.aggregates import distribution, group_count, share_within
+from panelkit.operators.quantiles import exact_quantiles
 from panelkit.operators.sets import bind_rows
 from panelkit.plans.linkage import three_way_age_5yr
 from panelkit.plans.panel import (
     _MONTHLY_SQL, _SHOCK_SQL, _STP_SQL, employer_switches, mbs_shocks, stp_filtered,
 )
 from panelkit.plans.registry import query
+from panelkit.session import scratch_path
 
 # ------------------------------------------------------------------ incomes
 
@@ -23,16 +25,16 @@ from panelkit.plans.registry import query
 INCOME_BRACKETS = [
     (0, "loss"),
     (18200, "<$18.2k"),
-    (45000, "$18.2-45k"),
-    (120000, "$45-120k"),
-    (180000, "$120-180k"),
+    (45000, "$18.2–45k"),
+    (120000, "$45–120k"),
+    (180000, "$120–180k"),
 ]
 TOP_BRACKET = "$180k+"
 
 _BRACKET_SQL = """
 CASE WHEN ti_or_lss_amt < 0 THEN 'loss' WHEN ti_or_lss_amt < 18200 THEN '<$18.2k'
-     WHEN ti_or_lss_amt < 45000 THEN '$18.2-45k' WHEN ti_or_lss_amt < 120000 THEN '$45-120k'
-     WHEN ti_or_lss_amt < 180000 THEN '$120-180k' ELSE '$180k+' END"""
+     WHEN ti_or_lss_amt < 45000 THEN '$18.2–45k' WHEN ti_or_lss_amt < 120000 THEN '$45–120k'
+     WHEN ti_or_lss_amt < 180000 THEN '$120–180k' ELSE '$180k+' END"""
 
 
 @query("income_stats_by_year", views=("itr_inc",), headline=True, sql="""
@@ -58,14 +60,25 @@ SELECT incm_yr, count(*) AS n, round(avg(ti_or_lss_amt), 4) AS mean_ti,
        round(quantile_cont(ti_or_lss_amt, 0.90), 4) AS p90_ti
 FROM itr_inc WHERE ti_or_lss_amt IS NOT NULL GROUP BY 1""")
 def income_stats_refined(spark, sf):
-    """The same statistics forced through the histogram-refinement path
-    (the one taken when a year holds more distinct incomes than one task's
-    percentile buffer may), so the gate checks it on every run."""
+    """The same statistics with coarse histograms, so that every rank takes
+    many refinement passes."""
     inc = fx.itr_inc(spark, sf).where(F.col("ti_or_lss_amt").isNotNull())
-    d = distribution(inc, ["incm_yr"], "ti_or_lss_amt", {"p10_ti": 0.10, "p90_ti": 0.90},
-                     prefix="_ti", buffer_limit=0)
-    return d.select("incm_yr", "n", *[F.round(c, 4).alias(c) for c in
-                                      ("mean_ti", "median_ti", "p10_ti", "p90_ti")])
+    moments = inc.groupBy("incm_yr").agg(F.count(F.lit(1)).alias("n"),
+                                         F.round(F.avg("ti_or_lss_amt"), 4).alias("mean_ti"))
+    q = exact_quantiles(inc, ["incm_yr"], "ti_or_lss_amt",
+                        {"median_ti": 0.5, "p10_ti": 0.10, "p90_ti": 0.90}, buckets=64)
+    return moments.join(q, "incm_yr").select("incm_yr", "n", "mean_ti", *[
+        F.round(c, 4).alias(c) for c in ("median_ti", "p10_ti", "p90_ti")])
+
+
+@query("income_stats_overall", views=("itr_inc",), sql="""
+SELECT count(*) AS n, round(avg(ti_or_lss_amt), 4) AS mean_ti, round(median(ti_or_lss_amt), 4) AS median_ti,
+       round(quantile_cont(ti_or_lss_amt, 0.10), 4) AS p10_ti, round(quantile_cont(ti_or_lss_amt, 0.90), 4) AS p90_ti
+FROM itr_inc WHERE ti_or_lss_amt IS NOT NULL""")
+def income_stats_overall(spark, sf):
+    """The statistics of all years together: one ungrouped distribution."""
+    d = distribution(fx.itr_inc(spark, sf), [], "ti_or_lss_amt", {"p10_ti": 0.10, "p90_ti": 0.90}, prefix="_ti")
+    return d.select("n", *[F.round(c, 4).alias(c) for c in ("mean_ti", "median_ti", "p10_ti", "p90_ti")])
 
 
 def _brackets(spark, sf) -> DataFrame:
@@ -194,7 +207,10 @@ SELECT month, n, 'All switchers' AS "group" FROM base
 UNION ALL SELECT month, n, 'Post health-shock (3-month window)' AS "group" FROM post""")
 def baseline_vs_postshock(spark, sf):
     """Both series stacked with a group label (``bind_rows``)."""
-    sw = employer_switches(stp_filtered(spark, sf))   # one switch job feeds both series
+    # Written once to the shared folder, then read by both series.
+    path = scratch_path(spark, "switches")
+    employer_switches(stp_filtered(spark, sf)).write.parquet(path)
+    sw = spark.read.parquet(path)
     base = _baseline(spark, sf, sw).select(F.col("switch_month").alias("month"),
                                        F.col("switches").alias("n"))
     post = _post_shock(spark, sf, sw).select(F.col("switch_month").alias("month"),

@@ -10,7 +10,10 @@ from panelkit.functions.expr import bucket_floor, floor_int, hash_key
 from panelkit.operators import joins as J
 from panelkit.operators.aggregates import group_count, having_between
 from panelkit.operators.quality import key_profile
+from panelkit.operators.sort import arrange
 from panelkit.plans.registry import query
+from panelkit.session import scratch_path
+from panelkit.sources import layout
 
 # Fixed parameters of the fixture mapping: the reference's "2014 -> 2015"
 # transition years map to these fixture income years.
@@ -85,13 +88,13 @@ def join_anti(spark, sf):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join_full_coverage", views=("ato_spine", "dhda_spine"), sql="""
+@query("join_full_coverage", views=("ato_known", "dhda_known"), sql="""
 SELECT coalesce(a.in_ato, false) AS in_ato, coalesce(d.in_dhda, false) AS in_dhda, count(*) AS n
-FROM (SELECT spine_id, true AS in_ato FROM ato_spine) a
-FULL OUTER JOIN (SELECT spine_id, true AS in_dhda FROM dhda_spine) d ON a.spine_id = d.spine_id
+FROM (SELECT spine_id, true AS in_ato FROM ato_known) a
+FULL OUTER JOIN (SELECT spine_id, true AS in_dhda FROM dhda_known) d ON a.spine_id = d.spine_id
 GROUP BY 1, 2""")
 def join_full_coverage(spark, sf):
-    return J.coverage(fx.ato_spine(spark, sf), fx.dhda_spine(spark, sf), "spine_id",
+    return J.coverage(fx.ato_known(spark, sf), fx.dhda_known(spark, sf), "spine_id",
                       "in_ato", "in_dhda")
 
 
@@ -170,17 +173,19 @@ def three_way_by_type(spark, sf):
 SELECT CAST(floor((2015 - d.year_of_birth) / 10.0) * 10 AS INTEGER) AS age_decade,
        d.core_gender AS core_gender, round(sum(m.numserv), 2) AS services, count(*) AS claims
 FROM demo d JOIN dhda_spine s ON d.spine_id = s.spine_id
-JOIN mbs m ON s.synthetic_aeuid = m.synthetic_aeuid GROUP BY 1, 2""")
+JOIN mbs m ON s.synthetic_aeuid = m.synthetic_aeuid GROUP BY 1, 2
+ORDER BY 1 NULLS LAST, 2 NULLS LAST""")
 def t3_three_way(spark, sf):
-    """T3: the three-table join with no age filter, grouped by an
-    expression (decade of age); spine key renamed on both sides first."""
+    """T3: the three-table join with no age filter, grouped by an expression
+    (decade of age) and ordered; spine key renamed on both sides first."""
     d = fx.demo(spark, sf).withColumnRenamed("spine_id", "SPINE_ID")
     s = fx.dhda_spine(spark, sf).withColumnRenamed("spine_id", "SPINE_ID")
     m = fx.mbs(spark, sf).select("synthetic_aeuid", "numserv")
     decade = bucket_floor(F.lit(REF_YEAR) - F.col("year_of_birth"), 10)
     r = J.star_rollup(d, s, m, "SPINE_ID", "synthetic_aeuid",
                       [decade.alias("age_decade"), "core_gender"], {"services": "numserv"}, "claims")
-    return r.select("age_decade", "core_gender", F.round("services", 2).alias("services"), "claims")
+    return arrange(r.select("age_decade", "core_gender", F.round("services", 2).alias("services"), "claims"),
+                   "age_decade", "core_gender")
 
 
 @query("narrow_three_way", views=("demo", "dhda_spine", "mbs"), headline=True, sql="""
@@ -188,29 +193,53 @@ SELECT count(*) AS claims, round(sum(m.numserv), 2) AS services
 FROM demo d JOIN dhda_spine s ON d.spine_id = s.spine_id
 JOIN mbs m ON s.synthetic_aeuid = m.synthetic_aeuid WHERE d.year_of_birth = 1970""")
 def narrow_three_way(spark, sf):
-    """Birth year = 1970 filter before the joins; the runtime bloom filter
-    carries the small filtered key set to the claim scan."""
-    d = fx.demo(spark, sf).where(F.col("year_of_birth") == 1970).select("spine_id")
+    """Birth year = 1970 filter before the joins.  The people are stored once
+    clustered by birth year, so the filter reaches the scan as a value; the
+    runtime bloom filter carries the small key set to the claim scan."""
+    path = scratch_path(spark, "demo-by-year")
+    layout.write_clustered(fx.demo(spark, sf), path, ["year_of_birth", "spine_id"], row_group_rows=10_000)
+    d = spark.read.parquet(path).where(F.col("year_of_birth") == 1970).select("spine_id")
     m = fx.mbs(spark, sf).select("synthetic_aeuid", "numserv")
     j = J.star_join(d, fx.dhda_spine(spark, sf), m, "spine_id", "synthetic_aeuid")
     return j.agg(F.count(F.lit(1)).alias("claims"),
                  F.round(F.sum("numserv"), 2).alias("services"))
 
 
+def stored_by_hash(spark, sf, name: str, df):
+    """``df`` stored with the integer surrogate of its person id, clustered
+    by it: queries read the stored key and never hash."""
+    path = scratch_path(spark, name)
+    layout.write_clustered(df.withColumn("aeuid_hash", hash_key("synthetic_aeuid")), path, ["aeuid_hash"],
+                           row_group_rows=10_000)
+    return spark.read.parquet(path)
+
+
 @query("join_intkey", views=("demo", "dhda_spine", "mbs"), sql="""
 SELECT count(*) AS claims, round(sum(m.numserv), 2) AS services
 FROM demo d JOIN dhda_spine s ON d.spine_id = s.spine_id
 JOIN mbs m ON s.synthetic_aeuid = m.synthetic_aeuid WHERE d.year_of_birth BETWEEN 1960 AND 1979""")
 def join_intkey(spark, sf):
-    """Narrow join on a 64-bit hash of the string id (guarded by the id)."""
+    """Narrow join of the stored tables on the stored 64-bit surrogate,
+    guarded by the id itself."""
     d = fx.demo(spark, sf).where(F.col("year_of_birth").between(1960, 1979)).select("spine_id")
-    s = fx.dhda_spine(spark, sf)
-    m = fx.mbs(spark, sf).select("synthetic_aeuid", "numserv")
-    j = J.hash_key_join(d.join(s, "spine_id"), m, "synthetic_aeuid")
+    s = stored_by_hash(spark, sf, "spine-by-hash", fx.dhda_spine(spark, sf))
+    m = stored_by_hash(spark, sf, "mbs-by-hash", fx.mbs(spark, sf)).select(
+        "synthetic_aeuid", "aeuid_hash", "numserv")
+    j = J.stored_key_join(d.join(s, "spine_id"), m, "aeuid_hash", "synthetic_aeuid")
     return j.agg(F.count(F.lit(1)).alias("claims"),
                  F.round(F.sum("numserv"), 2).alias("services"))
 
 
+@query("point_lookup_hash", views=("mbs",), sql="""
+SELECT count(*) AS n, round(sum(numserv), 2) AS services FROM mbs WHERE synthetic_aeuid = 'D100'""")
+def point_lookup_hash(spark, sf):
+    """One person's claims by the stored surrogate: the id is hashed once,
+    to a constant that min/max statistics prune by; the id guards it."""
+    m = stored_by_hash(spark, sf, "mbs-by-hash", fx.mbs(spark, sf))
+    return m.where((F.col("aeuid_hash") == hash_key(F.lit("D100"))) & (F.col("synthetic_aeuid") == "D100")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("numserv"), 2).alias("services"))
+
+
 @query("crosswalk_build", views=("ato_spine", "dhda_spine"), sql="""
 SELECT a.synthetic_aeuid AS ato_aeuid, d.synthetic_aeuid AS dhda_aeuid
 FROM ato_spine a JOIN dhda_spine d ON a.spine_id = d.spine_id""")
@@ -243,8 +272,10 @@ def crosswalk_link(spark, sf):
 @query("point_lookup", views=("mbs",), headline=True, sql="""
 SELECT count(*) AS n, round(sum(numserv), 2) AS services FROM mbs WHERE synthetic_aeuid = 'D100'""")
 def point_lookup(spark, sf):
-    """Everything for one person: equality filter pushed to the scan."""
-    m = fx.mbs(spark, sf)
+    """Everything for one person.  The id is the customer key with a prefix,
+    so the lookup is stated on the key and reaches the scan as a value; the
+    lookup by the id itself is ``layout_sorted_point``."""
+    m = fx.mbs(spark, sf, person=100)
     return m.where(F.col("synthetic_aeuid") == "D100").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("numserv"), 2).alias("services"))
 
@@ -274,3 +305,12 @@ def hash_key_values(spark, sf):
     engine reproduces, so only the row count is comparable)."""
     return fx.dhda_spine(spark, sf).select("synthetic_aeuid",
                                            hash_key("synthetic_aeuid").alias("aeuid_hash"))
+
+
+@query("hash_key_distinct", views=("dhda_spine",), sql="""
+SELECT count(DISTINCT synthetic_aeuid) AS ids, count(DISTINCT synthetic_aeuid) AS hashes FROM dhda_spine""")
+def hash_key_distinct(spark, sf):
+    """The surrogate tells the ids apart: as many hashes as ids."""
+    s = fx.dhda_spine(spark, sf)
+    return s.agg(F.count_distinct("synthetic_aeuid").alias("ids"),
+                 F.count_distinct(hash_key("synthetic_aeuid")).alias("hashes"))

@@ -9,6 +9,7 @@ back, so the answer is computed from the written files.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,34 +170,85 @@ def append_sorted_batches(spark, sf):
     path = scratch_path(spark, "stp-batches")
     stp = fx.stp(spark, sf)
     cut = F.lit("1998-01-01").cast("date")
-    layout.append_sorted(stp.where(F.col("week_ending") < cut), path,
-                         ["synthetic_aeuid", "week_ending"], mode="overwrite")
-    layout.append_sorted(stp.where(F.col("week_ending") >= cut), path,
-                         ["synthetic_aeuid", "week_ending"])
-    return readers.read_parquet(spark, path)
+    for batch, part in enumerate((stp.where(F.col("week_ending") < cut), stp.where(F.col("week_ending") >= cut))):
+        layout.append_sorted(part, path, ["synthetic_aeuid", "week_ending"], batch)
+    return readers.read_parquet(spark, path).drop("batch")
+
+
+# The text that marks each target's files.
+ROUTES = {"itr_context": ("context", ITR_SCHEMA), "itr_ded": ("ded-exp-off", ITR_INC_SCHEMA),
+          "itr_inc": ("inc-loss", ITR_INC_SCHEMA), "itr_whld": ("whld-debt", ITR_INC_SCHEMA)}
 
 
 @query("route_by_filename", views=("itr", "itr_inc"), sql="""
-SELECT 'itr' AS target, CAST(incm_yr AS VARCHAR) AS file_tag, count(*) AS n FROM itr GROUP BY 1, 2
-UNION ALL
-SELECT 'itr_inc' AS target, CAST(incm_yr AS VARCHAR) AS file_tag, count(*) AS n FROM itr_inc GROUP BY 1, 2""")
+SELECT 'itr_context' AS target, CAST(incm_yr AS VARCHAR) AS file_tag, count(*) AS n FROM itr GROUP BY 1, 2
+UNION ALL SELECT 'itr_inc', CAST(incm_yr AS VARCHAR), count(*) FROM itr_inc GROUP BY 1, 2
+UNION ALL SELECT 'itr_ded', CAST(incm_yr AS VARCHAR), count(*) FROM itr_inc WHERE ti_or_lss_amt < 0 GROUP BY 1, 2
+UNION ALL SELECT 'itr_whld', CAST(incm_yr AS VARCHAR), count(*) FROM itr_inc WHERE ti_or_lss_amt IS NULL GROUP BY 1, 2""")
 def route_by_filename(spark, sf):
-    """CSV shards named ``<kind>-<year>`` routed to their target table by
-    file name; the year tag comes from the file path."""
+    """CSV shards routed to four target tables by file name, in either case;
+    files of no target are skipped; the year tag comes from the path."""
     root = scratch_path(spark, "itr-shards")
-    ctx = fx.itr(spark, sf).withColumn("shard", F.concat(F.lit("itr_context-"), F.col("incm_yr")))
-    inc = fx.itr_inc(spark, sf).withColumn("shard", F.concat(F.lit("itr_income-"), F.col("incm_yr")))
-    for df in (ctx, inc):
-        df.write.mode("append").option("header", True).partitionBy("shard").csv(root)
-    routes = {"itr": ("shard=*context*/*.csv", ITR_SCHEMA),
-              "itr_inc": ("shard=*income*/*.csv", ITR_INC_SCHEMA),
-              "unknown": ("shard=*misc*/*.csv", ITR_SCHEMA)}
-    present = catalog.existing_sources(spark, {k: f"{root}/{g}" for k, (g, _) in routes.items()})
-    routed = files.route_csv(spark, root, {k: v for k, v in routes.items() if k in present},
-                             tag_pattern=r"-(\d{4})/")
+    ctx, inc = fx.itr(spark, sf), fx.itr_inc(spark, sf)
+    amount = F.col("ti_or_lss_amt")
+    for kind, df in (("Itr-CONTEXT", ctx), ("itr-inc-loss", inc), ("itr-Ded-Exp-Off", inc.where(amount < 0)),
+                     ("itr-whld-debt", inc.where(amount.isNull())), ("ato-spine", inc)):
+        df.withColumn("shard", F.concat(F.lit(f"{kind}-"), F.col("incm_yr"))) \
+            .write.mode("append").option("header", True).partitionBy("shard").csv(root)
+    routed = files.route_csv(spark, root, ROUTES, tag_pattern=r"-(\d{4})/")
     parts = [group_count(df.select(F.lit(t).alias("target"), "file_tag"), "target", "file_tag")
              for t, df in routed.items()]
-    return parts[0].unionByName(parts[1])
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query("infer_csv_scan", views=("itr_inc",), sql="SELECT * FROM itr_inc")
+def infer_csv_scan(spark, sf):
+    """CSV read back with the schema inferred from every row."""
+    path = _write_csv(fx.itr_inc(spark, sf), scratch_path(spark, "itr-inc-csv"))
+    return readers.infer_csv(spark, f"{path}/*.csv").select(
+        F.col("rec_id").cast("long").alias("rec_id"), "synthetic_aeuid", "incm_yr", "ti_or_lss_amt")
+
+
+@query("csv_to_answer", views=("demo", "dhda_spine", "mbs"), sql="""
+SELECT d.core_gender, count(*) AS claims, round(sum(m.numserv), 2) AS services, round(sum(m.feecharged), 2) AS fees
+FROM demo d JOIN dhda_spine s ON d.spine_id = s.spine_id
+JOIN mbs m ON s.synthetic_aeuid = m.synthetic_aeuid GROUP BY 1 ORDER BY 1""")
+def csv_to_answer(spark, sf):
+    """The whole path: CSV shards -> parquet -> catalog views -> SQL answer.
+    The answer reads only the ingested files."""
+    root = scratch_path(spark, "csv-to-answer")
+    schemas = {"demo": fx.demo(spark, sf).schema, "dhda_spine": fx.dhda_spine(spark, sf).schema, "mbs": MBS_SCHEMA}
+    names = {}
+    for name, schema in schemas.items():
+        src = _write_csv(fx.view(spark, sf, name), f"{root}/csv/{name}")
+        layout.write_parquet(readers.read_csv(spark, f"{src}/*.csv", schema), f"{root}/parquet/{name}")
+        names[name] = f"pk_ingested_{name}"
+        catalog.register_view(spark, names[name], f"{root}/parquet/{name}")
+    return spark.sql(f"""
+        SELECT d.core_gender, CAST(sum(m.c) AS BIGINT) AS claims, round(sum(m.s), 2) AS services,
+               round(sum(m.f), 2) AS fees
+        FROM {names["demo"]} d JOIN {names["dhda_spine"]} s ON d.spine_id = s.spine_id
+        JOIN (SELECT synthetic_aeuid, count(*) AS c, sum(numserv) AS s, sum(feecharged) AS f
+              FROM {names["mbs"]} GROUP BY synthetic_aeuid) m ON s.synthetic_aeuid = m.synthetic_aeuid
+        GROUP BY d.core_gender ORDER BY d.core_gender""")
+
+
+@query("layout_compare", views=("mbs",), sql="""
+SELECT layout, count(*) AS n, round(sum(numserv), 2) AS services FROM mbs,
+  (VALUES ('flat'), ('by_year'), ('clustered'), ('small_groups')) AS v(layout)
+WHERE year(dos) = 1997 GROUP BY 1""")
+def layout_compare(spark, sf):
+    """One year's total from the same claims in four layouts; all agree."""
+    m = fx.mbs(spark, sf).withColumn("yr", F.year("dos"))
+    root = scratch_path(spark, "layouts")
+    layout.write_parquet(m, f"{root}/flat")
+    layout.write_parquet(m, f"{root}/by_year", partition_by=["yr"])
+    layout.write_clustered(m, f"{root}/clustered", ["yr", "synthetic_aeuid"])
+    layout.write_parquet(m, f"{root}/small_groups", row_group_rows=10_000)
+    parts = [readers.read_parquet(spark, f"{root}/{name}").where(F.col("yr") == 1997).agg(
+        F.lit(name).alias("layout"), F.count(F.lit(1)).alias("n"), F.round(F.sum("numserv"), 2).alias("services"))
+        for name in ("flat", "by_year", "clustered", "small_groups")]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query("log_append", views=("itr",), sql="""
@@ -226,11 +278,13 @@ def profile_sources(spark, sf):
 SELECT incm_yr, count(*) AS n, count(DISTINCT spine_id) AS people FROM wk_panel GROUP BY 1""")
 def panel_temp(spark, sf):
     """Temporary materialisation reused by later queries (``compute()``):
-    persisted once, registered as a temp view, queried by name."""
-    p = wk_panel(spark, sf).persist()
-    p.createOrReplaceTempView("wk_panel")
+    written once to the shared folder, registered as a temp view, queried by
+    name.  Nothing stays pinned in executor memory."""
+    path = scratch_path(spark, "wk-panel")
+    wk_panel(spark, sf).write.parquet(path)
+    catalog.register_view(spark, "pk_wk_panel", path)
     return spark.sql("SELECT incm_yr, count(*) AS n, count(DISTINCT spine_id) AS people "
-                     "FROM wk_panel GROUP BY incm_yr")
+                     "FROM pk_wk_panel GROUP BY incm_yr")
 
 
 @query("stage_table", views=("stp",), sql="WITH " + _STP_SQL + """

@@ -23,8 +23,9 @@ T1_YEAR = 1998  # the fixture income year standing in for the reference's T1 yea
 @query("t1_filter_count", views=("itr",), headline=True, sql="""
 SELECT count(*) AS n FROM itr WHERE incm_yr = 1998 AND ocptn_grp_cd IS NOT NULL""")
 def t1_filter_count(spark, sf):
-    """T1: one year, non-NULL occupation, count."""
-    itr = fx.itr(spark, sf)
+    """T1: one year, non-NULL occupation, count.  The year is a range on the
+    source date, which the scan prunes by."""
+    itr = fx.itr(spark, sf, year=T1_YEAR)
     return (itr.where((F.col("incm_yr") == T1_YEAR) & F.col("ocptn_grp_cd").isNotNull())
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -175,9 +176,8 @@ def expr_escape(spark, sf):
 SELECT incm_yr, count(*) AS n, count(ocptn_grp_cd) AS n_coded FROM itr GROUP BY incm_yr""")
 def sql_relation(spark, sf):
     """``tbl(con, sql("SELECT ..."))``: a relation from SQL text over a view."""
-    fx.itr(spark, sf).createOrReplaceTempView("itr")
     return spark.sql("SELECT incm_yr, count(*) AS n, count(ocptn_grp_cd) AS n_coded "
-                     "FROM itr GROUP BY incm_yr")
+                     "FROM {itr} GROUP BY incm_yr", itr=fx.itr(spark, sf))
 
 
 @query("distinct_rows", views=("itr",), sql="""
@@ -236,6 +236,18 @@ def string_fns(spark, sf):
                        "code", "label", "urgent", "tag")
 
 
+@query("string_first_match", views=("stp",), sql="""
+SELECT regexp_replace(abn_hash_trunc, '(E|I|O)([A-Z])', '\\2\\1') AS swapped,
+       regexp_replace(abn_hash_trunc, 'U|N|T', '.') AS masked, count(*) AS n
+FROM stp WHERE abn_hash_trunc IS NOT NULL GROUP BY 1, 2""")
+def string_first_match(spark, sf):
+    """``sub`` with groups and with alternation: the first match only."""
+    a = F.col("abn_hash_trunc")
+    s = fx.stp(spark, sf).where(a.isNotNull())
+    return group_count(s.select(first_match_replace(a, "(E|I|O)([A-Z])", "$2$1").alias("swapped"),
+                                first_match_replace(a, "U|N|T", ".").alias("masked")), "swapped", "masked")
+
+
 @query("date_parts", views=("stp",), sql="""
 SELECT CAST(year(week_ending) AS INTEGER) AS yr, CAST(month(week_ending) AS INTEGER) AS mon,
        CAST(year(week_ending) || '-01-01' AS DATE) AS year_start,

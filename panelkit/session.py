@@ -9,6 +9,7 @@ present; only a local session (tests, bench) gets a fresh scratch folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -53,19 +54,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators rely on to an existing
-    session (safe to call repeatedly)."""
+    session (safe to call repeatedly).  Needs no folder: only what writes
+    asks :func:`shared_root` for one."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, BASE_CONF[k])
-    shared_root(spark)
     return spark
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One process: ``local-cluster`` has executors of its own."""
+    return re.match(r"local($|\[)", spark.sparkContext.master) is not None
 
 
-_ROOTS: dict[int, str] = {}
+_ROOTS: dict[str, str] = {}      # scratch folders of local sessions, by application
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -73,23 +75,20 @@ def shared_root(spark: SparkSession) -> str:
 
     Read from the session; only a local session without the setting gets a
     scratch folder of its own (tests).  A cluster session without it is an
-    error: a machine-local folder would not survive executor loss.
+    error: a machine-local folder would not survive executor loss.  The
+    scheme is kept, so ``file:`` means the same to every writer and reader
+    (on a cluster such a folder must be a mount that all machines share).
     """
-    cached = _ROOTS.get(id(spark))
-    if cached:
-        return cached
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
-        or sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) \
+        or sc.getConf().get("spark.checkpoint.dir", None) or _ROOTS.get(sc.applicationId)
     if not path:
         if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = os.path.join(tempfile.mkdtemp(prefix="panelkit-"), "checkpoint")
-    if path.startswith("file:"):
-        path = path[len("file:"):]
+        _ROOTS[sc.applicationId] = path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
-    _ROOTS[id(spark)] = path.rstrip("/")
     # setCheckpointDir appends a per-application uuid folder; keep our own
     # files next to it so every run of every app stays separate.
     return path.rstrip("/")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def profile_files(spark: SparkSession, root: str, pattern: str = "*",
-                  top: int | None = 10) -> DataFrame:
+                  top: int | None = None) -> DataFrame:
     """Files and GB per dataset (the folder holding each file), largest
     first.  Uses the ``binaryFile`` source for its ``path``/``length``
     metadata columns; ``content`` is not selected, so no file is read."""
@@ -33,19 +33,28 @@ def route_csv(spark: SparkSession, root: str, routes: Mapping[str, tuple[str, T.
               tag_pattern: str = r"(\d{4})") -> dict[str, DataFrame]:
     """Filename -> target-table routing.
 
-    ``routes`` maps a target to ``(glob under root, schema)``; each target is
-    one CSV scan over all its files (the glob is resolved by the file source,
-    not by a driver loop), and the per-file tag (e.g. year) is taken from
-    the hidden ``_metadata.file_path`` column.  Files matching no glob are
-    skipped.
+    ``routes`` maps a target to ``(text, schema)``: a file belongs to the
+    first target whose text is in its path below ``root``, in either case.
+    Targets without a file are left out, and files of no target are skipped.
+    Only paths are listed on the driver; each target is one CSV scan.  The
+    per-file tag (e.g. year) comes from ``_metadata.file_path``.
     """
-    out = {}
-    for target, (glob, schema) in routes.items():
-        df = (spark.read.schema(schema).option("header", True)
-              .csv(f"{root.rstrip('/')}/{glob}"))
-        out[target] = df.withColumn(
-            "file_tag", F.regexp_extract(F.col("_metadata.file_path"), tag_pattern, 1))
-    return out
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, found = fs.makeQualified(top).toString(), {}
+    listing = fs.listFiles(jvm.org.apache.hadoop.fs.Path(root), True)
+    while listing.hasNext():
+        path = listing.next().getPath().toString()
+        below = path[len(top):].lower()
+        if not below.endswith(".csv"):
+            continue
+        target = next((t for t, (text, _) in routes.items() if text.lower() in below), None)
+        if target is not None:
+            found.setdefault(target, []).append(path)
+    return {t: spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(found[t])
+            .withColumn("file_tag", F.regexp_extract(F.col("_metadata.file_path"), tag_pattern, 1))
+            for t, (_, schema) in routes.items() if t in found}
 
 
 def append_log(rows: DataFrame, path: str) -> None:

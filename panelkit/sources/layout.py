@@ -37,10 +37,17 @@ def _writer(df: DataFrame, compression: str, row_group_rows: int | None,
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd",
                   row_group_rows: int | None = DEFAULT_ROW_GROUP_ROWS,
                   max_rows_per_file: int | None = DEFAULT_FILE_ROWS,
-                  partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
+                  partition_by: Sequence[str] = (), mode: str = "overwrite",
+                  folder_files: int = 8) -> str:
     """``COPY ... TO dir (FORMAT PARQUET, COMPRESSION zstd, ROW_GROUP_SIZE,
     ROW_GROUPS_PER_FILE)``.  The job commit protocol replaces the
-    write-to-tmp-then-move step: a failed job leaves no partial output."""
+    write-to-tmp-then-move step: a failed job leaves no partial output.
+    With ``partition_by`` the rows are first dealt by partition value and a
+    salt of ``folder_files``, so a folder gets at most that many writers
+    (not one per task) and a hot value is still spread."""
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(folder_files))
+        df = df.repartition(*[F.col(c) for c in partition_by], salt)
     w = _writer(df, compression, row_group_rows, max_rows_per_file, mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -51,20 +58,23 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd",
 def write_clustered(df: DataFrame, path: str, keys: Sequence[str],
                     num_partitions: int | None = None, **kw) -> str:
     """Sorted materialisation for point lookups: range-partition on the key
-    (sampled boundaries, so a hot key range is split) and sort inside each
-    partition.  Every file then covers a narrow key range and row-group
+    with a hash of the row as tie-break (sampled boundaries; range
+    partitioning alone cannot split one hot key over files) and sort inside
+    each partition.  Every file then covers a narrow key range and row-group
     min/max statistics let a lookup skip almost everything."""
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    clustered = (df.repartitionByRange(int(n), *[F.col(k) for k in keys])
-                 .sortWithinPartitions(*keys))
+    clustered = (df.withColumn("_tie", F.xxhash64(*df.columns))
+                 .repartitionByRange(int(n), *[F.col(k) for k in keys], F.col("_tie"))
+                 .sortWithinPartitions(*keys).drop("_tie"))
     return write_parquet(clustered, path, **kw)
 
 
-def append_sorted(df: DataFrame, path: str, sort_cols: Sequence[str], **kw) -> str:
-    """``INSERT INTO t SELECT ... ORDER BY`` per batch: each appended batch
-    is sorted within its files; earlier files are not rewritten."""
-    kw.setdefault("mode", "append")
-    return write_parquet(df.sortWithinPartitions(*sort_cols), path, **kw)
+def append_sorted(df: DataFrame, path: str, sort_cols: Sequence[str], batch: str | int, **kw) -> str:
+    """``INSERT INTO t SELECT ... ORDER BY`` per batch: each batch is sorted
+    within its files, which go to the batch's own folder; other batches are
+    not rewritten, and a retried batch replaces itself."""
+    write_parquet(df.sortWithinPartitions(*sort_cols), f"{path}/batch={batch}", **kw)
+    return path
 
 
 def save_bucketed_table(df: DataFrame, name: str, path: str, key: str, n: int,
@@ -72,8 +82,9 @@ def save_bucketed_table(df: DataFrame, name: str, path: str, key: str, n: int,
                         sort_cols: Sequence[str] | None = None) -> str:
     """Persistent table bucketed (and sorted) on ``key`` into ``n`` buckets,
     stored at ``path`` in the shared folder.  Joins/aggregations/windows on
-    ``key`` between tables with the same bucketing need no exchange."""
-    w = (df.write.mode("overwrite").format("parquet").option("compression", compression)
+    ``key`` between tables with the same bucketing need no exchange.  Rows
+    are dealt to the buckets before the write: one file per bucket."""
+    w = (df.repartition(n, F.col(key)).write.mode("overwrite").format("parquet").option("compression", compression)
          .option("path", path).bucketBy(n, key))
     if sort:
         cols = list(sort_cols or [key])

@@ -14,25 +14,26 @@ CORRUPT = "_corrupt_record"
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str,
              header: bool = True, keep_corrupt: bool = False) -> DataFrame:
     """CSV scan with a declared schema (ids stay strings/longs, never
-    re-inferred).  ``keep_corrupt`` keeps malformed rows with their raw text
-    in ``_corrupt_record`` instead of failing (PERMISSIVE)."""
+    re-inferred).  A malformed row fails the scan; with ``keep_corrupt`` it
+    is kept instead, its raw text in ``_corrupt_record``."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
+    reader = spark.read.option("header", header)
     if keep_corrupt:
         schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    reader = (spark.read.schema(schema).option("header", header)
-              .option("mode", "PERMISSIVE"))
-    if keep_corrupt:
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    else:
+        reader = reader.option("mode", "FAILFAST")
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return reader.csv(paths)
+    return reader.schema(schema).csv(paths)
 
 
-def infer_csv(spark: SparkSession, paths: str | Sequence[str], sample_ratio: float = 0.1) -> DataFrame:
-    """Exploration fallback (``read_csv_auto``): header + sampled inference."""
+def infer_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``read_csv_auto``: header and types inferred from every row, so a type
+    that shows up once is seen.  One extra pass over the files; declare a
+    schema where it is known."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return (spark.read.option("header", True).option("inferSchema", True)
-            .option("samplingRatio", sample_ratio).csv(paths))
+    return spark.read.option("header", True).option("inferSchema", True).csv(paths)
 
 
 def read_parquet(spark: SparkSession, paths: str | Sequence[str],

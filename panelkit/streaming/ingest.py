@@ -18,8 +18,9 @@ def ingest_new_files(spark: SparkSession, landing: str, schema: T.StructType, ou
                      compression: str = "zstd") -> None:
     """Convert every CSV shard in ``landing`` not yet converted into
     parquet at ``out``; returns when the backlog is done
-    (``trigger(availableNow=True)`` processes it in bounded micro-batches)."""
-    src = (spark.readStream.schema(schema).option("header", True)
+    (``trigger(availableNow=True)`` processes it in bounded micro-batches).
+    A malformed row fails the run rather than turning into NULLs."""
+    src = (spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST")
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(landing))
     q = (src.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", checkpoint).option("compression", compression)

@@ -152,8 +152,8 @@ def stream_switches_tables(spark, sf):
 SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total
 FROM events GROUP BY 1, 2""")
 def stream_daily_rollup(spark, sf):
-    """Per user and day: events and value, watermarked day windows over an
-    event stream, two drops and a restart."""
+    """Per user and day: events and value over an event stream, two drops and
+    a restart; the result does not depend on how many files a drop has."""
     root = scratch_path(spark, "stream-rollup")
     landing, out, chk = f"{root}/landing", f"{root}/rollup", f"{root}/_checkpoint"
     ev = fx.table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
@@ -174,9 +174,9 @@ def stream_daily_rollup(spark, sf):
 SELECT synthetic_aeuid, month, round(services, 2) AS services, round(fees, 2) AS fees, claims
 FROM mbs_monthly""")
 def stream_person_month(spark, sf):
-    """The person-month collapse in event time: claims stream through
-    watermarked day windows per person (two drops, one restart), and the
-    days are rolled up to calendar months in batch."""
+    """The person-month collapse in event time: claims stream into days per
+    person (two drops, one restart), and the days are rolled up to calendar
+    months in batch."""
     root = scratch_path(spark, "stream-person-month")
     landing, out, chk = f"{root}/landing", f"{root}/daily", f"{root}/_checkpoint"
     claims = fx.mbs(spark, sf)

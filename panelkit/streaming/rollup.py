@@ -1,11 +1,16 @@
 """Event-time roll-up on a stream: per person and day, with a watermark.
 
-Day windows (calendar months are irregular, roll days up to months in
-batch).  The watermark bounds the state: a day's aggregate is dropped from
-state once event time passes it by ``lateness``.  Output is written per
-micro-batch in update mode through ``foreachBatch`` into one folder per
-batch id (overwriting that folder, so a replayed batch is idempotent);
-the current value of each (person, day) is the row of its latest batch.
+Day windows (calendar months are irregular; roll days up to months in
+batch).  Sums and counts add up, so each micro-batch writes its own partial
+sums per (person, day) into one folder per batch id (overwriting it, so a
+replayed batch is idempotent), and reading adds the partials.  No row
+depends on how the input was cut into files or micro-batches: a row older
+than the watermark (the latest event time of all earlier batches, less the
+allowed lateness) is late, is *counted* as late, and still counts.
+
+:func:`daily_rollup_stream` is the same aggregation with Spark's own
+watermark, for sinks that want one final row per closed day and accept that
+later rows are dropped.
 """
 
 from __future__ import annotations
@@ -13,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.operators.windows import last_per_key
-
 
 def _measures(measure: str | dict[str, str]) -> dict[str, str]:
     return {"total": measure} if isinstance(measure, str) else dict(measure)
@@ -35,22 +38,39 @@ def daily_rollup_stream(stream: DataFrame, key: str, ts: str, measure: str | dic
 
 def run_rollup(stream: DataFrame, out: str, checkpoint: str, key: str, ts: str,
                measure: str | dict[str, str], lateness: str = "2 days") -> None:
-    agg = daily_rollup_stream(stream, key, ts, measure, lateness)
-    names = list(_measures(measure))
+    """Processes the available input; partial sums go to ``out/part`` and each
+    batch's latest event time to ``out/clock``, one folder per batch id."""
+    names = _measures(measure)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(key, F.col("window.start").cast("date").alias("day"), "n", *names)
-         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
+        spark = batch.sparkSession
+        clock = f"{out}/clock/batch_id={batch_id}"
+        before = None
+        if batch_id > 0:
+            # Raises when an earlier batch's clock is missing.
+            before = spark.read.schema("latest timestamp").parquet(
+                f"{out}/clock/batch_id={batch_id - 1}").first()["latest"]
+        at = F.col(ts).cast("timestamp")
+        late = (at < F.lit(before) - F.expr(f"INTERVAL {lateness}")) if before else F.lit(False)
+        (batch.groupBy(key, F.col(ts).cast("date").alias("day"))
+         .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(late, 1)).alias("n_late"),
+              *[F.sum(c).alias(n) for n, c in names.items()])
+         .write.mode("overwrite").parquet(f"{out}/part/batch_id={batch_id}"))
+        latest = batch.agg(F.max(at).alias("latest"))
+        if before:
+            latest = latest.select(F.greatest("latest", F.lit(before)).alias("latest"))
+        latest.write.mode("overwrite").parquet(clock)
+
+    q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def read_rollup(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Current value of every (key, day): its row from the latest batch."""
-    rows = spark.read.parquet(out)
-    return last_per_key(rows, [key, "day"], ["batch_id"]).drop("batch_id")
+    """(key, day, n, n_late, sums) over all batches."""
+    rows = spark.read.parquet(f"{out}/part").drop("batch_id")
+    sums = [c for c in rows.columns if c not in (key, "day")]
+    return rows.groupBy(key, "day").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def monthly_from_daily(daily: DataFrame, key: str, sums: list[str]) -> DataFrame:

@@ -96,34 +96,42 @@ def stream_change_points(stream: DataFrame, key: str, time_col: str, tb_col: str
 
 # --------------------------------------------------- state kept as a table
 
+KEEP_VERSIONS = 3        # state versions kept behind the newest
+
+
 def _state_path(root: str, batch_id: int) -> str:
     return f"{root}/batch_id={batch_id}"
 
 
-def _path_exists(spark, path: str) -> bool:
+def _forget(spark, path: str) -> None:
+    """Delete one old state version, if it is there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def run_change_points_tables(stream: DataFrame, key: str, time_col: str, tb_col: str,
                              value_col: str, prev_col: str, out: str, state_root: str,
-                             checkpoint: str) -> None:
+                             checkpoint: str, chunk="auto") -> None:
     """The same contract as :func:`stream_change_points`, evaluated with
-    DataFrame operations only (no per-person Python).
+    DataFrame operations only (no per-person Python): the form to prefer.
 
     The state is a table (person, last time, last tie-break, last value)
     with one version per micro-batch.  Each ``foreachBatch`` call joins the
-    batch with the previous version, orders each person's new rows with a
-    window, takes the stored value as the first row's predecessor, writes
-    the switches (and the late rows, flagged) to ``out/batch_id=<id>`` and
-    the new state to ``state_root/batch_id=<id>``.  Both writes overwrite
-    their batch folder, so a replayed batch is idempotent.  Runs until the
-    available input is processed (``availableNow``).
+    batch with the previous version, orders each person's new rows with
+    :func:`panelkit.operators.windows.lag_value` (a person with very many new
+    rows is split into time chunks), takes the stored value as the first
+    row's predecessor, writes the switches (and the late rows, flagged) to
+    ``out/batch_id=<id>`` and the new state to ``state_root/batch_id=<id>``.
+    Both writes overwrite their batch folder, so a replayed batch is
+    idempotent.  A missing previous version raises: going on with empty state
+    would lose switches silently.  Versions more than ``KEEP_VERSIONS`` behind
+    are deleted.  Runs until the available input is processed.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    from panelkit.operators.windows import lag_value
+
     schema = T.StructType([T.StructField(key, stream.schema[key].dataType),
                            T.StructField("_lt", stream.schema[time_col].dataType),
                            T.StructField("_ltb", stream.schema[tb_col].dataType),
@@ -131,9 +139,8 @@ def run_change_points_tables(stream: DataFrame, key: str, time_col: str, tb_col:
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev_path = _state_path(state_root, batch_id - 1)
-        if batch_id > 0 and _path_exists(spark, prev_path):
-            old = spark.read.schema(schema).parquet(prev_path)
+        if batch_id > 0:
+            old = spark.read.schema(schema).parquet(_state_path(state_root, batch_id - 1))
         else:
             old = spark.createDataFrame([], schema)
         rows = batch.where(F.col(value_col).isNotNull()).join(old, key, "left")
@@ -141,9 +148,8 @@ def run_change_points_tables(stream: DataFrame, key: str, time_col: str, tb_col:
             (F.col(time_col) < F.col("_lt"))
             | ((F.col(time_col) == F.col("_lt")) & (F.col(tb_col) <= F.col("_ltb"))))
         rows = rows.withColumn("late", F.coalesce(is_late, F.lit(False)))
-        live = rows.where(~F.col("late"))
-        w = Window.partitionBy(key).orderBy(F.col(time_col).asc(), F.col(tb_col).asc())
-        live = live.withColumn(prev_col, F.coalesce(F.lag(value_col).over(w), F.col("_lv")))
+        live = lag_value(rows.where(~F.col("late")), key, [time_col, tb_col], value_col, prev_col, chunk)
+        live = live.withColumn(prev_col, F.coalesce(prev_col, "_lv"))
         switches = live.where(F.col(prev_col).isNotNull() & (F.col(value_col) != F.col(prev_col)))
         late = rows.where(F.col("late")).withColumn(prev_col, F.lit(None).cast("string"))
         cols = [*batch.columns, prev_col, "late"]
@@ -155,6 +161,8 @@ def run_change_points_tables(stream: DataFrame, key: str, time_col: str, tb_col:
                                               F.struct(time_col, tb_col)).alias("_s"))
         new = tail.select(key, "_s.*").unionByName(old.join(tail.select(key), key, "left_anti"))
         new.write.mode("overwrite").parquet(_state_path(state_root, batch_id))
+        if batch_id > KEEP_VERSIONS:
+            _forget(spark, _state_path(state_root, batch_id - KEEP_VERSIONS - 1))
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conftest import SF_SMALL
 from panelkit.operators import joins as J
 from panelkit.operators.quality import key_profile
 from panelkit.operators.windows import auto_chunk, change_points
@@ -94,7 +95,7 @@ def test_existing_sources_and_routing(spark):
                                                "other": f"{root}/shard=zzz*/*.csv"})
     assert list(present) == ["ctx"]
     schema = T.StructType([T.StructField("id", T.LongType())])
-    routed = files.route_csv(spark, root, {"ctx": ("shard=ctx*/*.csv", schema)},
+    routed = files.route_csv(spark, root, {"ctx": ("CTX", schema), "none": ("zzz", schema)},
                              tag_pattern=r"-(\d{4})/")
     tags = {r["file_tag"]: r["n"] for r in routed["ctx"].groupBy("file_tag")
             .agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -199,7 +200,7 @@ def test_readers_fill_by_name_and_inference(spark):
     path = scratch_path(spark, "infer")
     spark.createDataFrame([(10, "2020-01-02", 1.5)], "k int, d string, v double") \
         .write.option("header", True).csv(path)
-    inferred = readers.infer_csv(spark, f"{path}/*.csv", sample_ratio=1.0)
+    inferred = readers.infer_csv(spark, f"{path}/*.csv")
     types = dict(inferred.dtypes)
     assert types["k"] == "int" and types["v"] == "double"
     bad = scratch_path(spark, "corrupt")
@@ -217,3 +218,98 @@ def test_profile_files_top_datasets(spark):
     assert [r["dataset"] for r in top] == ["big"]
     every = {r["dataset"]: r["n_files"] for r in profile_files(spark, root, "*.parquet", top=None).collect()}
     assert set(every) == {"big", "small"} and every["small"] == 1
+
+
+def test_csv_fails_on_malformed_rows_unless_kept(spark):
+    import pytest
+    from panelkit.sources import readers
+    bad = scratch_path(spark, "malformed")
+    spark.createDataFrame([("1",), ("oops",)], "k string").write.option("header", True).csv(bad)
+    with pytest.raises(Exception, match="oops|MALFORMED"):
+        readers.read_csv(spark, f"{bad}/*.csv", "k int").collect()
+
+
+def test_rollup_is_complete_for_any_file_count(spark):
+    """1, 8 or 40 landing files give the same days; late rows are counted."""
+    from panelkit.streaming.rollup import read_rollup, run_rollup
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts", "user_id", "value")
+    total, results, late = ev.count(), [], []
+    for files in (1, 8, 40):
+        root = scratch_path(spark, "rollup-files")
+        ev.repartition(files, "event_id").write.parquet(f"{root}/in")
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+        run_rollup(stream, f"{root}/out", f"{root}/chk", "user_id", "ts", "value")
+        rows = read_rollup(spark, f"{root}/out", "user_id").collect()
+        assert sum(r.n for r in rows) == total
+        results.append(sorted((r.user_id, r.day, r.n, round(r.total, 2)) for r in rows))
+        late.append(sum(r.n_late for r in rows))
+    assert results[0] == results[1] == results[2]
+    assert late[0] == 0 and late[2] > 0
+
+
+def test_lost_state_version_raises(spark):
+    import pytest
+    from panelkit.streaming import switches as S
+    root = scratch_path(spark, "lost-state")
+    src = spark.createDataFrame([(1, 1, 1, "A"), (1, 2, 2, "B")], "p int, d int, tb long, v string") \
+        .selectExpr("p", "date_add(DATE'2020-01-01', d) AS t", "tb", "v")
+
+    def drop(where):
+        src.where(where).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(src.schema).parquet(f"{root}/in")
+        S.run_change_points_tables(stream, "p", "t", "tb", "v", "prev", f"{root}/out", f"{root}/state", f"{root}/chk")
+    drop("tb = 1")
+    S._forget(spark, f"{root}/state/batch_id=0")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|batch_id=0"):
+        drop("tb = 2")
+
+
+def test_ordered_queries_come_back_in_order(spark):
+    """The rows' own order, not the sorted comparison, for the ordered verbs."""
+    from panelkit.operators.sort import arrange, arrange_levels, top_k
+    df = spark.createDataFrame([(2, "b"), (None, "a"), (1, "c"), (1, "b"), (3, None)], "x int, g string") \
+        .repartition(4)
+    last = 10**9
+
+    def k(v):
+        return last if v is None else v
+    got = [r.x for r in arrange(df, "x", "g").collect()]
+    assert got == sorted(got, key=k) and got[-1] is None
+    desc = [r.x for r in arrange(df, "x", desc=["x"]).collect()]
+    assert desc == [3, 2, 1, 1, None]
+    lv = [r.g for r in arrange_levels(df, "g", ["c", "b"]).collect()]
+    assert lv[:3] == ["c", "b", "b"] and set(lv[3:]) == {"a", None}
+    assert [r.x for r in top_k(df, 2, ["x"], tiebreak=["g"]).collect()] == [3, 2]
+    from panelkit.plans import registry
+    registry.load_all()
+    t3 = [(r.age_decade, r.core_gender) for r in registry.QUERIES["t3_three_way"](spark, SF_SMALL).collect()]
+    assert t3 == sorted(t3)
+
+
+def test_hot_key_is_split_over_files_and_folders_are_bounded(spark):
+    import os
+    path = scratch_path(spark, "hot-clustered")
+    hot = spark.range(20000, numPartitions=12).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id AS v")
+    layout.write_clustered(hot, path, ["k"], num_partitions=8)
+    per = spark.read.parquet(path).where("k = -1").groupBy(F.input_file_name()).count().count()
+    assert per >= 2
+    parts = scratch_path(spark, "folders")
+    layout.write_parquet(hot.withColumn("yr", F.col("v") % 3), parts, partition_by=["yr"], folder_files=4)
+    for y in range(3):
+        assert len([f for f in os.listdir(f"{parts}/yr={y}") if f.endswith(".parquet")]) <= 4
+
+
+def test_cluster_sessions_need_a_shared_folder():
+    from unittest import mock
+
+    import pytest
+    from panelkit import session
+    fake = mock.MagicMock()
+    fake.conf.get.return_value = None
+    fake.sparkContext.getConf.return_value.get.return_value = None
+    fake.sparkContext.applicationId = "none-such"
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        fake.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_root(fake)
+    session.configure(fake)        # needs no folder

@@ -136,3 +136,20 @@ def test_count_keeps_null_group(spark):
 def test_first_match_replace_only_first(spark):
     df = spark.createDataFrame([("a-b-c",)], "s string")
     assert df.select(first_match_replace("s", "-", "+").alias("r")).first()["r"] == "a+b-c"
+
+
+def test_first_match_replace_alternation_groups_and_newlines(spark):
+    df = spark.createDataFrame([("xaby",), ("a2015b7",), ("l1\nxaby\nab",), (None,)], "s string")
+    one = [r[0] for r in df.select(first_match_replace("s", "a|b", "#")).collect()]
+    assert one == ["x#by", "#2015b7", "l1\nx#by\nab", None]
+    grp = [r[0] for r in df.select(first_match_replace("s", r"(\d)(\d)", r"<\2$1>")).collect()]
+    assert grp == ["xaby", "a<02>15b7", "l1\nxaby\nab", None]
+    twice = spark.createDataFrame([("abccd",)], "s string")
+    assert twice.select(first_match_replace("s", r"(\w)\1", "=")).first()[0] == "ab=d"
+
+
+def test_floor_div_mod_past_2_53(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, 1), (-big, 2), (7, -2), (-7, 2), (5, 0)], "a long, b long")
+    got = [tuple(r) for r in df.select(floor_div("a", "b"), floor_mod("a", "b")).collect()]
+    assert got == [(big, 0), (-big // 2, -big % 2), (7 // -2, 7 % -2), (-7 // 2, -7 % 2), (None, None)]
