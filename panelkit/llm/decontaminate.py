@@ -6,8 +6,8 @@ rarity over all documents, and the rarest one is the necessary prefix: a
 document holds the window only if it holds that word, at least ``offset``
 words from its start and far enough from its end.  Documents are joined on
 that word, and each candidate place is verified word by word.  DataFrame
-functions only; Spark broadcasts the window side when its measured size
-allows, and shuffles both sides otherwise.
+functions only.  The window side is broadcast when its counted rows allow,
+and both sides are shuffled otherwise.
 """
 
 from __future__ import annotations
@@ -16,16 +16,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import as_row, ascii_lower, doc_key, from_row, let, same_row
+from panelkit.session import scratch_path
 
 WIDTH = 10
+BROADCAST_ROWS = 300_000
 # Everything but digits, a-z and non-ASCII separates words (after lowering).
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the A-Z-lowered text."""
-    clean = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _GAP, " "), F.lit(" "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), "")
+
+
+def _window_id(win: Column) -> list[Column]:
+    """128 bits that stand for a window (its words joined by a space)."""
+    return [F.xxhash64(win).alias("h1"), F.xxhash64(F.lit(7), win).alias("h2")]
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, broadcast when it
+    has at most BROADCAST_ROWS rows (about 20 MB); else both sides shuffle."""
+    path = scratch_path(df.sparkSession, "windows-" + name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -39,39 +54,44 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """win, len, word, offset: each distinct window's necessary word."""
-    tokens = windows.select("win", "len").dropDuplicates(["win"]) \
-        .select("win", "len", F.posexplode(F.split("win", " ")).alias("offset", "word"))
-    vocabulary = tokens.select("word").distinct()
+    """h1, h2, len, word, offset: each distinct window's necessary word."""
+    tokens = windows.select(*_window_id(F.col("win")), "win", "len").dropDuplicates(["h1", "h2"]) \
+        .select("h1", "h2", "len", F.posexplode(F.split("win", " ")).alias("offset", "word"))
+    vocabulary = _stored(tokens.select("word").distinct(), "vocabulary")
     counts = docs.select(F.explode(item_words(F.col("text"))).alias("word")) \
         .join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "word", "left")
-    return ranked.groupBy("win", "len").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("r")) \
-        .where(F.col("r.n") > 0) \
-        .select("win", "len", F.col("r.word").alias("word"), F.col("r.offset").alias("offset"))
+    ranked = tokens.join(counts, "word")        # a window with an absent word is nowhere
+    return ranked.groupBy("h1", "h2", "len").agg(
+        F.min(F.struct("n", "word", "offset")).alias("r"), F.count("*").alias("held")) \
+        .where(F.col("held") == F.col("len")) \
+        .select("h1", "h2", "len", F.col("r.word").alias("word"), F.col("r.offset").alias("offset"))
 
 
 def window_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every document row, with ``ws`` and ``hits`` = array of (start, len, win)
-    of the verified occurrences (empty when there are none)."""
-    prefix = rarest_words(docs, item_windows(items, width))
+    """Every document row: doc_id, key, n_words and hits, an array of (start,
+    len, h1, h2) of the verified occurrences (empty when there are none)."""
+    prefix = _stored(rarest_words(docs, item_windows(items, width)), "prefix")
     keyed = docs.select("doc_id", doc_key(F.col("text")).alias("key"),
                         item_words(F.col("text")).alias("ws"))
     places = keyed.select("doc_id", "key", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word"))
     found = places.join(prefix, "word") \
         .withColumn("start", F.col("pos") - F.col("offset")) \
         .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))) \
-        .groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len", "win")).alias("cand")) \
+        .groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len", "h1", "h2")).alias("cand")) \
         .select(F.col("doc_id").alias("c_doc"), F.col("key").alias("c_key"), "cand")
     joined = docs.select("doc_id", "text", doc_key(F.col("text")).alias("key")).join(
-        found, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("key") == F.col("c_key")), "left")
-    checked = let(F.col("ws"), lambda ws: F.filter(F.col("cand"), lambda c: F.array_join(
-        F.slice(ws, c["start"] + 1, c["len"]), " ") == c["win"]))
-    none = F.array().cast("array<struct<start:int,len:int,win:string>>")
-    return joined.withColumn("ws", item_words(F.col("text"))) \
-        .withColumn("hits", F.when(F.col("cand").isNull(), none).otherwise(checked)) \
-        .select("doc_id", "key", "text", "ws", "hits")
+        found, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("key") == F.col("c_key")), "left") \
+        .withColumn("ws", item_words(F.col("text")))
+
+    def verified(ws):
+        def same(c):
+            win = F.array_join(F.slice(ws, c["start"] + 1, c["len"]), " ")
+            h1, h2 = _window_id(win)
+            return (h1 == c["h1"]) & (h2 == c["h2"])
+        return F.filter("cand", same)
+    none = F.array().cast("array<struct<start:int,len:int,h1:bigint,h2:bigint>>")
+    return joined.select("doc_id", "key", F.size("ws").cast("long").alias("n_words"),
+                         F.when(F.col("cand").isNull(), none).otherwise(let(F.col("ws"), verified)).alias("hits"))
 
 
 def _covered(hits: Column) -> Column:
@@ -93,12 +113,16 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     window; items without an id hit but are not listed.  Repeated document
     rows get equal results, repeated items count once.  Empty tables are fine.
     """
-    hits = window_hits(docs, items, width).select(
-        "doc_id", "key", F.size("ws").cast("long").alias("n_words"), _covered(F.col("hits")).alias("n_hit"),
-        F.array_distinct(F.transform("hits", lambda h: h["win"])).alias("wins"))
-    owners = item_windows(items, width).select("win", F.col("item_id").cast("string").alias("item"))
-    listed = hits.select("doc_id", "key", F.explode("wins").alias("win")).join(owners, "win") \
-        .groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("items")) \
+    path = scratch_path(docs.sparkSession, "windows-hits")      # small, and read twice
+    window_hits(docs, items, width).select(
+        "doc_id", "key", "n_words", _covered(F.col("hits")).alias("n_hit"),
+        F.array_distinct(F.transform("hits", lambda h: F.struct(h["h1"].alias("h1"), h["h2"].alias("h2"))))
+        .alias("wins")).write.parquet(path)
+    hits = docs.sparkSession.read.parquet(path)
+    owners = item_windows(items, width).select(
+        *_window_id(F.col("win")), F.col("item_id").cast("string").alias("item"))
+    listed = hits.select("doc_id", "key", F.explode("wins").alias("w")).select("doc_id", "key", "w.*") \
+        .join(owners, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("items")) \
         .select(F.col("doc_id").alias("l_doc"), F.col("key").alias("l_key"), "items")
     out = hits.join(listed, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("key") == F.col("l_key")), "left")
     items_col = F.coalesce("items", F.array().cast("array<string>"))
