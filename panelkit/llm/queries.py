@@ -105,11 +105,11 @@ rep AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY
         WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, k + o AS k FROM rep, (VALUES (0), (1), (2)) AS s(o)),
 marked AS (SELECT held.doc_id, held.i FROM held JOIN gone USING (doc_id, k)),
-n AS (SELECT doc_id, count(*) AS n_removed, list(i) AS at FROM marked GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed, list(i) AS places FROM marked GROUP BY doc_id),
 h AS (SELECT doc_id, count(*) AS n_lines FROM held GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
        sha256(CASE WHEN n_removed IS NULL THEN text ELSE coalesce(array_to_string(list_transform(
-           list_filter(range(1, len(ls) + 1), lambda i: (NOT list_contains(at, i))), lambda i: ls[i]), chr(10)), '') END)
+           list_filter(range(1, len(ls) + 1), lambda i: (NOT list_contains(places, i))), lambda i: ls[i]), chr(10)), '') END)
            AS text_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)"""
 
