@@ -116,3 +116,15 @@ def test_switches_lag_single_exchange(spark):
     p = plan(Q["switches_lag"](spark, SF_SMALL))
     tree = p[:p.index("\n\n")]
     assert tree.count("Exchange") == 1 and "Window" in tree
+
+
+def test_lookups_reach_the_scan_as_values(spark):
+    assert "EqualTo(o_custkey,100)" in plan(Q["point_lookup"](spark, SF_SMALL))
+    assert "EqualTo(aeuid_hash," in plan(Q["point_lookup_hash"](spark, SF_SMALL))
+    assert "EqualTo(year_of_birth,1970)" in plan(Q["narrow_three_way"](spark, SF_SMALL))
+    t1 = plan(Q["t1_filter_count"](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in t1 and "LessThan(o_orderdate,1999-01-01" in t1
+
+
+def test_stored_surrogate_is_not_hashed_again(spark):
+    assert "xxhash64" not in plan(Q["join_intkey"](spark, SF_SMALL))
