@@ -106,8 +106,8 @@ def layout_ratios(spark, sf_dir: str, times: dict) -> dict:
     from panelkit.operators import joins as J
     from panelkit.plans.linkage import stored_by_hash
     d = fx.demo(spark, sf_dir).where(F.col("year_of_birth").between(1960, 1979)).select("spine_id")
-    s = stored_by_hash(spark, sf_dir, "bench-spine", fx.dhda_spine(spark, sf_dir))
-    m = stored_by_hash(spark, sf_dir, "bench-claims", mbs).select("synthetic_aeuid", "aeuid_hash", "numserv")
+    s = stored_by_hash(spark, "bench-spine", fx.dhda_spine(spark, sf_dir))
+    m = stored_by_hash(spark, "bench-claims", mbs).select("synthetic_aeuid", "aeuid_hash", "numserv")
     string_key = lambda: _run(d.join(s.drop("aeuid_hash"), "spine_id")
                               .join(m.drop("aeuid_hash"), "synthetic_aeuid").agg(F.sum("numserv")))
     hash_key = lambda: _run(J.stored_key_join(d.join(s, "spine_id"), m, "aeuid_hash", "synthetic_aeuid")
