@@ -9,10 +9,9 @@ shared folder and read again, which cuts the lineage between stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelkit.llm import decontaminate, jaccard, lines, packing, quality
-from panelkit.llm.common import WS_CHARS, table
+from panelkit.llm.common import table
 from panelkit.session import scratch_path
 
 
@@ -24,9 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line passages go; a document that held words and is
     left with none goes too."""
-    out = lines.line_dedup(docs)
-    left = out.where((F.btrim("text", F.lit(WS_CHARS)) != "") | (F.col("n_removed") == 0))
-    return left.select(*docs.columns)
+    return lines.line_dedup(docs, drop_emptied=True).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

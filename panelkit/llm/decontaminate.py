@@ -67,9 +67,10 @@ def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
         .select("h1", "h2", "len", F.col("r.word").alias("word"), F.col("r.offset").alias("offset"))
 
 
-def window_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+def window_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, how: str = "left") -> DataFrame:
     """Every document row: doc_id, key, n_words and hits, an array of (start,
-    len, h1, h2) of the verified occurrences (empty when there are none)."""
+    len, h1, h2) of the verified occurrences (empty when there are none).
+    ``how="inner"`` leaves out documents without a candidate place."""
     prefix = _stored(rarest_words(docs, item_windows(items, width)), "prefix")
     keyed = docs.select("doc_id", doc_key(F.col("text")).alias("key"),
                         item_words(F.col("text")).alias("ws"))
@@ -80,7 +81,7 @@ def window_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFr
         .groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len", "h1", "h2")).alias("cand")) \
         .select(F.col("doc_id").alias("c_doc"), F.col("key").alias("c_key"), "cand")
     joined = docs.select("doc_id", "text", doc_key(F.col("text")).alias("key")).join(
-        found, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("key") == F.col("c_key")), "left") \
+        found, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("key") == F.col("c_key")), how) \
         .withColumn("ws", item_words(F.col("text")))
 
     def verified(ws):
@@ -133,6 +134,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any benchmark window, in their own columns."""
-    bad = window_hits(docs, items, width).where(F.size("hits") > 0) \
+    path = scratch_path(docs.sparkSession, "windows-contaminated")
+    window_hits(docs, items, width, "inner").select("doc_id", "key", F.size("hits").alias("n")).write.parquet(path)
+    bad = docs.sparkSession.read.parquet(path).where("n > 0") \
         .select(F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key")).dropDuplicates()
     return as_row(docs).join(bad, same_row("b_doc", "b_key"), "left_anti").select(*from_row(docs))

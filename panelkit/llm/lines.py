@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import WS_CHARS, as_row, content_lines, doc_key, from_row, has_word, let, same_row
+from panelkit.llm.common import WS_CHARS, as_row, content_lines, covered, doc_key, from_row, has_word, let, same_row
 
 WINDOW = 3
 
@@ -40,7 +40,7 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """The columns of ``docs`` with repeated lines taken out of ``text`` (and
     n_chars to match), plus n_lines (lines with a word) and n_removed, which
     replace columns of those names.
@@ -48,17 +48,22 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Documents with fewer than three lines have no window.  Null text stays
     null.  Rows with equal doc_id and text are one document and get equal
     results; ties between equal doc_ids are broken by the text's hash.
-    A document may end up with no line; it stays, with empty text.
+    A document may end up with no line; it stays, with empty text, unless
+    ``drop_emptied``.
     """
     gone = repeated_positions(docs).select(
         F.col("doc_id").alias("r_doc"), F.col("key").alias("r_key"), "starts")
     rows = as_row(docs).join(gone, same_row("r_doc", "r_key"), "left")
+    if drop_emptied:
+        # Stated on the window starts, so the filter does not rebuild texts.
+        held = F.size(content_lines(F.col("row.text")))
+        rows = rows.where(F.col("starts").isNull() | (covered(F.col("starts"), WINDOW) < held))
 
     def rebuilt(ls):
         held = F.array_compact(F.transform(ls, lambda x, i: F.when(has_word(x), i)))
-        covered = F.array_distinct(F.flatten(F.transform(
+        inside = F.array_distinct(F.flatten(F.transform(
             "starts", lambda p: F.array(p, p + 1, p + 2))))
-        gone_at = let(held, lambda h: F.transform(covered, lambda c: F.get(h, c)))
+        gone_at = let(held, lambda h: F.transform(inside, lambda c: F.get(h, c)))
         return let(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone_at),
                    lambda keep: F.struct(
                        F.array_join(F.transform(keep, lambda i: F.get(ls, i)), "\n").alias("text"),

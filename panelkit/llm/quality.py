@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import (as_row, content_lines, covered, doc_key, from_row, has_word, let, same_row,
                                   split_words)
+from panelkit.session import scratch_path
 
 # A host's line is boilerplate when more documents than this carry it.
 MAX_DOCS_PER_HOST = 20
@@ -148,7 +149,11 @@ def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST,
                 min_remaining: int = MIN_REMAINING_PERCENT) -> DataFrame:
     """The documents that pass, without their frequent lines, in the
     columns of ``docs``."""
-    verdict = quality_rules(docs, max_docs, min_remaining).where("kept").select(
+    # Written first (no text in it): a filter on the verdict would otherwise
+    # be pushed below the arrays it is made of, which rebuilds them per use.
+    path = scratch_path(docs.sparkSession, "quality-verdict")
+    quality_rules(docs, max_docs, min_remaining).select("doc_id", "key", "kept", "gone").write.parquet(path)
+    verdict = docs.sparkSession.read.parquet(path).where("kept").select(
         F.col("doc_id").alias("v_doc"), F.col("key").alias("v_key"), F.col("gone").alias("v_gone")) \
         .dropDuplicates(["v_doc", "v_key"])
     kept = as_row(docs).join(verdict, same_row("v_doc", "v_key"))
