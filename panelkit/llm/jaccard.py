@@ -41,6 +41,7 @@ from panelkit.session import scratch_path
 SHINGLE, NUM, DEN = 5, 75, 100         # words of a shingle; the threshold NUM / DEN
 BANDS, ROWS = 38, 3
 BLOCK, LEAF, PIVOTS = 2000, 16, 6
+BROADCAST_BLOCKS = 100_000
 _U64 = np.uint64
 _rng = np.random.default_rng(75)
 _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -95,11 +96,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token sets of the nodes; a row of the same doc_id with another text is
+    told apart by the set's fingerprint and left out."""
     for part in slices(batches, "text"):
         tokens, bounds = shingle_sets(part.column("text"))
-        raw = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([part.column("node"), part.column("block"), pa.array(raw, pa.binary())],
-                                         names=["node", "block", "tokens"])
+        full = np.flatnonzero(np.diff(bounds))
+        mine = np.zeros(len(bounds) - 1, bool)
+        if len(full):
+            found = _nodes(tokens, np.append(bounds[:-1][full], bounds[-1])).view(np.int64)
+            mine[full] = found == part.column("node").to_numpy()[full]
+        raw = [tokens[a:b].tobytes() for a, b, m in zip(bounds[:-1], bounds[1:], mine) if m]
+        kept = pa.array(mine)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("node").filter(kept), part.column("block").filter(kept), pa.array(raw, pa.binary())],
+            names=["node", "block", "tokens"])
 
 
 class _Links:
@@ -266,14 +276,17 @@ def node_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
         .mapInArrow(_set_rows, "node long, block long, tokens binary").write.parquet(path)
     sets = spark.read.parquet(path)
     sizes = sets.groupBy("block").agg(F.count("*").alias("size"))
-    small = sets.join(sizes.where(F.col("size") <= BLOCK).select("block"), "block", "left_semi")
+    large = sizes.where(F.col("size") > BLOCK)
+    n_large = large.count()                        # at most nodes / BLOCK blocks
+    if n_large <= BROADCAST_BLOCKS:
+        large = F.broadcast(large)
+    small = sets.join(large, "block", "left_anti")
     n_small = sizes.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 0
     tasks = max(1, -(-n_small // BLOCK))
     links = small.select(F.pmod(F.xxhash64("block"), F.lit(tasks)).alias("task"), F.col("block").alias("pair"),
                          "node", F.lit(0).alias("side"), "tokens") \
         .groupBy("task").applyInArrow(_block_task, "a long, b long")
-    large = sizes.where(F.col("size") > BLOCK)
-    if large.limit(1).count():
+    if n_large:
         links = links.unionByName(_large_links(sets, large))
     return links
 
