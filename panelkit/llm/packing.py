@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,6 +37,7 @@ BUFFER_BYTES = 1 << 23              # text packed together
 GROUP = 64                          # sequences of a step group
 END = 0                             # id after every document
 CACHE = 300_000                     # units whose ids a task remembers
+SPECIAL = ("<|endoftext|>",)        # in the vocabulary file, not ordinary tokens
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, sequence_length long, step_group long")
@@ -52,28 +53,38 @@ class UnitTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True   # their strings are ordinary text
+        import json
+
+        import public_tokenizers
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        # The file writes each byte as a printable character: itself, or the
+        # next one from 256 on.  Ids follow the order of merges, so they are
+        # the merge ranks; special tokens' strings are ordinary text.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items()
+                 if all(c in byte_of for c in token) and token not in SPECIAL}
+        self._encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
+                                         mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         # The pattern's \s is Unicode White_Space; Python's adds \x1c-\x1f.
         space = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self._units = re.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self._seen: dict[str, bytes] = {}
 
     def _learn(self, units: list[str]) -> None:
-        new = list(dict.fromkeys(u for u in units if u not in self._seen))
-        if len(self._seen) + len(new) > CACHE:
-            self._seen = {}
-            new = list(dict.fromkeys(units))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for unit, enc in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False)):
-                self._seen[unit] = np.array(enc.ids, "<u4").tobytes()
+        if len(self._seen) + len(units) > CACHE:
+            self._seen.clear()
+        for unit in units:
+            if unit not in self._seen:
+                self._seen[unit] = array("I", self._encode(unit)).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every text, the end id included."""
         out = []
-        end = np.array([END], "<u4").tobytes()
+        end = array("I", [END]).tobytes()
         for text in texts:
             units = self._units(text or "")
             try:
