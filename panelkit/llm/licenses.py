@@ -14,7 +14,9 @@ retrieved with probability 1 - (1 - s) ** BANDS: a 7-word notice in a 16-word
 window has s >= 3/12, hence 0.9999.
 
 A window without a template shingle can match no band (a one-row band's
-value is itself a shingle), so such documents are left out before MinHash.
+value is itself a shingle), and a shingle is only there if its longest word
+is.  So documents without any such word are left out first, by a hash lookup
+per word, and windows without a template shingle before MinHash.
 The templates are a fixed list, which bounds everything joined against it.
 DataFrame functions only.
 """
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import doc_key, let
+from panelkit.session import scratch_path
 
 SHINGLE, WINDOW, BANDS, MIN_PERCENT = 5, 16, 32, 75
 
@@ -58,8 +61,8 @@ TEMPLATES = {
 
 
 def notice_words(text: Column) -> Column:
-    clean = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    """Lower-case words: runs of digits, letters a-z and non-ASCII characters."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def shingles(words: Column, width: int) -> Column:
@@ -76,14 +79,18 @@ def _minhash(grams: Column) -> Column:
         F.transform(grams, lambda g: F.struct(F.xxhash64(k, g).alias("o"), g.alias("g"))))["g"])
 
 
-def template_table(spark: SparkSession, templates: dict[str, str], width: int) -> DataFrame:
-    """name, m (words), grams (distinct shingles) of the width's templates."""
+def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """name, ws (words) of the templates that have any."""
     rows = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("name"), F.lit(v).alias("notice")) for k, v in templates.items()])).alias("t"))
-    ws = rows.select("t.name", "t.notice").select("name", notice_words(F.col("notice")).alias("ws"))
+    return rows.select("t.name", notice_words(F.col("t.notice")).alias("ws")).where(F.size("ws") > 0)
+
+
+def template_table(spark: SparkSession, templates: dict[str, str], width: int) -> DataFrame:
+    """name, m (words), ws, grams (distinct shingles) of the width's templates."""
     mine = (F.size("ws") >= SHINGLE) if width == SHINGLE else (F.size("ws") == width)
-    return ws.where(mine).select("name", F.size("ws").alias("m"), "ws",
-                                 F.array_distinct(shingles(F.col("ws"), width)).alias("grams"))
+    return _templates(spark, templates).where(mine).select(
+        "name", F.size("ws").alias("m"), "ws", F.array_distinct(shingles(F.col("ws"), width)).alias("grams"))
 
 
 def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reach: int) -> DataFrame:
@@ -123,6 +130,16 @@ def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reac
         .where(F.col("percent") >= MIN_PERCENT)
 
 
+def _needed_words(spark: SparkSession, templates: dict[str, str]) -> list[str]:
+    """The longest word of every template shingle (a fixed list)."""
+    found = set()
+    for row in _templates(spark, templates).collect():
+        width = min(SHINGLE, len(row.ws))
+        for k in range(len(row.ws) - width + 1):
+            found.add(max(row.ws[k:k + width], key=lambda w: (len(w), w)))
+    return sorted(found)
+
+
 def license_places(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, key, name, percent, start (word) of every notice found.
 
@@ -132,6 +149,10 @@ def license_places(docs: DataFrame, templates: dict[str, str] | None = None) ->
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     words = docs.select("doc_id", doc_key(F.col("text")).alias("key"), notice_words(F.col("text")).alias("ws"))
+    needed = F.array(*[F.lit(w) for w in _needed_words(spark, templates)]).cast("array<string>")
+    path = scratch_path(spark, "license-candidates")
+    words.where(F.arrays_overlap("ws", needed)).write.parquet(path)
+    words = spark.read.schema(words.schema).parquet(path)
     out = None
     for width in range(1, SHINGLE + 1):
         temps = template_table(spark, templates, width)
