@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.words import Batch, slices
+from panelkit.session import scratch_path
 
 KINDS = ("assign", "access", "hex", "grammar")
 # The base formats.
@@ -267,7 +268,10 @@ def learn(docs: DataFrame) -> Model:
                     values.append(raw[s:e])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())],
                                              names=["kind", "value"])
-    found = chosen.select("text").mapInArrow(run, "kind string, value binary").distinct()
+    path = scratch_path(docs.sparkSession, "secret-sample")
+    chosen.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value binary") \
+        .distinct().write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
     values: dict[str, list[bytes]] = {}
     for kind in (*KINDS[:3], "ordinary"):
         limit = LABELLED * (4 if kind == "ordinary" else 1)
