@@ -33,7 +33,7 @@ from panelkit.llm.words import Batch, gathered, gram_hashes, gram_mask, mix, own
 WINDOW = 13
 SHARE = 4096                     # a prefix is frequent above 1/SHARE of all suffixes
 GROUP = 2_000_000                # suffixes of a group, about
-MAP_BYTES = 1 << 23              # text of a map batch
+MAP_BYTES = 1 << 22              # text of a map batch
 BUCKET_BYTES = 1 << 23           # text of a document bucket
 _NONE = np.iinfo(np.int64).max   # stands for a null doc_id: after all others
 _U64 = np.uint64
@@ -126,7 +126,7 @@ def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = np.cumsum(n) - n
     total = np.cumsum(delta)
     base = np.repeat(total[head] - delta[head], n) if len(n) else total
-    return np.repeat(ids, n), np.repeat(tags, n), total - base
+    return np.repeat(ids, n), np.repeat(tags, n), (total - base).astype(np.int32)
 
 
 _PLACES = "ids binary, tags binary, runs binary, deltas binary"
@@ -189,21 +189,24 @@ def _subtree(buckets: int):
     """Reduce side: the deep nodes of one group's subtree."""
     def run(table: pa.Table) -> pa.Table:
         labels, places, local = [], [], []
-        for row in table.select([c for c in table.column_names if c != "gid"]).to_pylist():
-            raw = np.frombuffer(row["labels"], np.uint8).reshape(-1, 7)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :7] = raw
-            labels.append(wide.view(np.uint64).ravel())
-            places.append(_unpack([row["ids"], row["tags"], row["runs"], row["deltas"]]))
-            local.append(_unpack([row["l_ids"], row["l_tags"], row["l_runs"], row["l_deltas"]]))
+        for batch in table.to_batches():                # a few blobs at a time
+            for row in batch.to_pylist():
+                raw = np.frombuffer(row["labels"], np.uint8).reshape(-1, 7)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :7] = raw
+                labels.append(wide.view(np.uint64).ravel())
+                places.append(_unpack([row["ids"], row["tags"], row["runs"], row["deltas"]]))
+                local.append(_unpack([row["l_ids"], row["l_tags"], row["l_runs"], row["l_deltas"]]))
         label = np.concatenate(labels)
         doc, tag, pos = (np.concatenate([p[k] for p in places]) for k in range(3))
+        del labels, places
         order = np.argsort(label, kind="stable")
         ranked = label[order]
         if len(ranked):
             head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
             least = np.minimum.reduceat(doc[order], head)
             later = order[doc[order] > np.repeat(least, np.diff(np.append(head, len(order))))]
+            del ranked, label
         else:
             later = order
         doc, tag, pos = (np.concatenate([x[later]] + [p[k] for p in local])
