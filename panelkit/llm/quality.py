@@ -110,7 +110,9 @@ def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataF
 
 def removed_places(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
     """g_doc, g_key, gone: array of (pos, w), the lines to take out."""
-    lines = document_lines(docs)
+    path = scratch_path(docs.sparkSession, "quality-lines")      # read twice
+    document_lines(docs).write.parquet(path)
+    lines = docs.sparkSession.read.parquet(path)
     freq = frequent_lines(lines, max_docs).select(
         F.col("source").alias("f_source"), F.col("h1").alias("f_h1"), F.col("h2").alias("f_h2"), "keeper")
     return lines.join(freq, (F.col("h1") == F.col("f_h1")) & (F.col("h2") == F.col("f_h2"))
