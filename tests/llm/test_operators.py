@@ -237,6 +237,35 @@ def test_lm_classes_sum_to_one():
     assert np.allclose(np.exp(maxent._log_probs(weights, feats)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_lm_knows_phrases_beyond_classes(spark):
+    """A phrase seen often scores above its words in another order within
+    their classes, and the n-gram hashes grow with the input."""
+    rng = np.random.default_rng(2)
+    words = [f"{rng.integers(1 << 30):x}ing" for _ in range(400)]      # one word end: one class
+    phrase = words[:12]
+    rows = [(d, " ".join([*rng.choice(words, 40), *phrase, *rng.choice(words, 40)])) for d in range(300)]
+    rows += [(1000, " ".join(phrase)), (1001, " ".join(phrase[::-1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in maxent.score_documents(df, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()}
+    assert np.isclose(got[1000].base_score, got[1001].base_score)
+    assert got[1000].score > got[1001].score + 6
+    assert maxent.gram_bits(1 << 35) == maxent.gram_bits(1 << 25) + 10
+
+
+def test_lm_short_texts_stay_below_one(spark, monkeypatch):
+    """The probabilities of all texts of up to two known words, in many small
+    buckets and groups, add up to less than one."""
+    monkeypatch.setattr(maxent, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(maxent, "GROUP_BYTES", 300)
+    words = ["ab", "cd", "ef", "gh"]
+    rng = np.random.default_rng(4)
+    rows = [(d, " ".join(rng.choice(words, rng.integers(0, 3)))) for d in range(150)]
+    texts = ["", *words, *[f"{a} {b}" for a in words for b in words]]
+    df = spark.createDataFrame(rows + [(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.score for r in maxent.score_documents(df, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()]
+    assert len(got) == len(texts) and 0.8 < sum(10 ** s for s in got) < 1
+
+
 def test_license_scan(docs):
     df, rows = docs
     got = {(r.doc_id, r.key): r.licenses for r in licenses.license_scan(df).collect()}
