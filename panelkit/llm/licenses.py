@@ -30,6 +30,8 @@ from panelkit.llm.common import doc_key, let
 from panelkit.session import scratch_path
 
 SHINGLE, WINDOW, BANDS, MIN_PERCENT = 5, 16, 32, 75
+# A notice shorter than a window must be there whole: its versions differ in
+# one word.  Other wordings are templates of their own.
 
 # Public license notices.
 TEMPLATES = {
@@ -60,6 +62,144 @@ TEMPLATES = {
 }
 
 
+# Names as they stand in "under the ..." notices and after SPDX tags.
+_NAMES = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License Version 2.0", "Apache 2.0 License", "Apache 2.0",
+                   "Apache-2.0", "Apache License v2.0", "Apache 2 License"),
+    "MIT": ("MIT License", "MIT", "Expat License", "MIT/X11 License"),
+    "BSD-2-Clause": ("BSD-2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License",
+                     "Modified BSD License", "Revised BSD License"),
+    "BSD": ("BSD License", "BSD-style license"),
+    "ISC": ("ISC License", "ISC"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License", "zlib/libpng License"),
+    "BSL-1.0": ("Boost Software License Version 1.0", "Boost Software License 1.0", "BSL-1.0"),
+    "WTFPL": ("WTFPL",),
+    "Artistic-2.0": ("Artistic License 2.0", "Artistic-2.0"),
+    "EPL-1.0": ("Eclipse Public License v1.0", "Eclipse Public License 1.0", "EPL-1.0"),
+    "EPL-2.0": ("Eclipse Public License v2.0", "Eclipse Public License v. 2.0", "Eclipse Public License 2.0", "EPL-2.0"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License Version 2.0",
+                "MPL 2.0", "MPL-2.0"),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0-1.0", "Creative Commons Zero"),
+    **{f"{short}-{v}.0": tuple(
+        f"{base}{join}{v}{end}" for base in (f"GNU {long}", long, f"GNU {short}", short)
+        for join in (" version ", " v", " ", "v") for end in ("", ".0"))
+        + tuple(f"{short}-{v}.0{end}" for end in ("-only", "-or-later", "+"))
+       for short, long, vs in (("GPL", "General Public License", (2, 3)),
+                               ("LGPL", "Lesser General Public License", (2, 3)),
+                               ("AGPL", "Affero General Public License", (3,))) for v in vs},
+    "LGPL-2.1": ("GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1",
+                 "GNU LGPL v2.1", "LGPL v2.1", "LGPL 2.1", "LGPL-2.1"),
+    **{f"CC-{kind}-{v}.0": (f"CC {kind} {v}.0", f"CC-{kind} {v}.0",
+                            f"Creative Commons {long} {v}.0 International License",
+                            f"Creative Commons {long} {v}.0 International", f"Creative Commons {long} {v}.0",
+                            f"Creative Commons {long} {v}.0 Unported License")
+       for kind, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
+                          ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                          ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                          ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in (3, 4)},
+}
+_PHRASES = ("under {}", "under the {}", "under a {}", "under the terms of the {}", "SPDX-License-Identifier {}",
+            "subject to the terms of the {}")
+
+# Sentences of the license texts and of their standard headers, each a piece
+# that stands alone: files often hold a part of a text.
+_TEXTS = {
+    "MIT-notice": ("The above copyright notice and this permission notice shall be included in all copies or "
+                   "substantial portions of the Software",),
+    "MIT-permission": ("and to permit persons to whom the Software is furnished to do so, subject to the following "
+                       "conditions",),
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    "BSD-conditions": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission"),
+    "BSD-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE"),
+    "ISC-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "ISC-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS"),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    "Apache-2.0-text": (
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+        "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+        "Derivative Works of",
+        "You must give any other recipients of the Work or Derivative Works a copy of this License",
+        "You must cause any modified files to carry prominent notices stating that You changed the files",
+        "Licensor provides the Work (and each Contributor provides its Contributions) on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    "Apache-2.0-header": (
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF "
+        "ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License"),
+    "GPL-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+        "You should have received a copy of the GNU General Public License along with this program"),
+    "GPL-text": (
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is "
+        "not allowed",
+        "The licenses for most software and other practical works are designed to take away your freedom to share "
+        "and change the works",
+        "The licenses for most software are designed to take away your freedom to share and change it"),
+    "LGPL-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation",),
+    "AGPL-notice": (
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
+    "MPL-2.0": (
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "EPL-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License", ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+        "software and accompanying documentation covered by this license",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+        "be held liable for any damages arising from the use of this software",),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+        "to this work",),
+}
+
+
+def all_templates() -> dict[str, str]:
+    """Every wording; those of one notice differ after ``#``."""
+    found = dict(TEMPLATES)
+    for name, names in _NAMES.items():
+        for k, wording in enumerate(p.format(n) for n in names for p in _PHRASES):
+            found[f"{name}#n{k}"] = wording
+    for name, pieces in _TEXTS.items():
+        found |= {f"{name}#t{k}": piece for k, piece in enumerate(pieces)}
+    return found
+
+
 def notice_words(text: Column) -> Column:
     """Lower-case words: runs of digits, letters a-z and non-ASCII characters."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
@@ -81,9 +221,11 @@ def _minhash(grams: Column) -> Column:
 
 def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """name, ws (words) of the templates that have any."""
-    rows = spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("name"), F.lit(v).alias("notice")) for k, v in templates.items()])).alias("t"))
-    return rows.select("t.name", notice_words(F.col("t.notice")).alias("ws")).where(F.size("ws") > 0)
+    rows = spark.createDataFrame(list(templates.items()), "name string, notice string")
+    words = rows.select("name", notice_words(F.col("notice")).alias("ws")).where(F.size("ws") > 0)
+    # Wordings of one notice may have the same words.
+    return words.groupBy(F.substring_index("name", "#", 1).alias("of"), "ws").agg(F.min("name").alias("name")) \
+        .select("name", "ws")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], width: int) -> DataFrame:
@@ -96,14 +238,15 @@ def template_table(spark: SparkSession, templates: dict[str, str], width: int) -
 def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reach: int) -> DataFrame:
     """name, doc_id, key, start, percent of the verified places."""
     stride = WINDOW // 2
-    known = F.array(*[F.lit(x).cast("bigint") for x in lookup])
+    known = F.split(F.lit(" ".join(map(str, lookup))), " ").cast("array<bigint>")   # folded to one literal
     held = docs.select("doc_id", "key", shingles(F.col("ws"), width).alias("all")) \
         .where(F.arrays_overlap("all", known))
     span = WINDOW - width + 1                       # shingles of one window
 
     def windows_of(grams):
         starts = F.sequence(F.lit(0), F.size(grams) - 1, F.lit(stride))
-        hit = F.filter(starts, lambda a: F.arrays_overlap(F.slice(grams, a + 1, F.lit(span)), known))
+        hit = let(F.array_intersect(grams, known), lambda mine: F.filter(
+            starts, lambda a: F.arrays_overlap(F.slice(grams, a + 1, F.lit(span)), mine)))
         return F.transform(hit, lambda a: F.struct(
             a.alias("at"), F.slice(grams, a + 1, F.lit(span)).alias("grams"),
             F.greatest(F.lit(0), a - reach).alias("lo"),
@@ -119,15 +262,17 @@ def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reac
     piece_bands = piece.select("name", "m", F.col("grams").alias("t_grams"),
                                F.posexplode(_minhash(F.col("part"))).alias("band", "value")) \
         .dropDuplicates(["name", "band", "value"])
-    found = bands.join(piece_bands, ["band", "value"]).dropDuplicates(["doc_id", "key", "at", "name"])
+    # Verified where they are found: the near shingles are never shuffled,
+    # and equal places fall together in license_places.
+    found = bands.join(F.broadcast(piece_bands), ["band", "value"])
     # Count the template's shingles in the document around the window.
     skip = F.greatest(F.lit(0), F.col("at") - F.col("m")) - F.col("lo")
     region = F.slice("near", skip + 1, F.col("at") - F.col("lo") - skip + span + F.col("m"))
     share = F.size(F.array_intersect("t_grams", region)) * 100.0 / F.size("t_grams")
     first = F.array_min(F.filter(F.transform("t_grams", lambda g: F.array_position(region, g)), lambda p: p > 0))
-    return found.select("doc_id", "key", "name", share.alias("percent"),
+    return found.select("doc_id", "key", "name", "m", share.alias("percent"),
                         (F.col("lo") + skip + first - 1).cast("int").alias("start")) \
-        .where(F.col("percent") >= MIN_PERCENT)
+        .where(F.col("percent") >= F.when(F.col("m") < WINDOW, 100).otherwise(MIN_PERCENT)).drop("m")
 
 
 def _needed_words(spark: SparkSession, templates: dict[str, str]) -> list[str]:
@@ -146,10 +291,10 @@ def license_places(docs: DataFrame, templates: dict[str, str] | None = None) ->
     Null, empty or wordless texts have none.  Repeated rows give one row per
     place.  Very long texts are scanned whole, window by window.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = all_templates() if templates is None else templates
     spark = docs.sparkSession
     words = docs.select("doc_id", doc_key(F.col("text")).alias("key"), notice_words(F.col("text")).alias("ws"))
-    needed = F.array(*[F.lit(w) for w in _needed_words(spark, templates)]).cast("array<string>")
+    needed = F.split(F.lit(" ".join(_needed_words(spark, templates))), " ")
     path = scratch_path(spark, "license-candidates")
     words.where(F.arrays_overlap("ws", needed)).write.parquet(path)
     words = spark.read.schema(words.schema).parquet(path)
@@ -165,6 +310,7 @@ def license_places(docs: DataFrame, templates: dict[str, str] | None = None) ->
     if out is None:
         return words.select("doc_id", "key", F.lit("").alias("name"), F.lit(0.0).alias("percent"),
                             F.lit(0).alias("start")).where(F.lit(False))
+    out = out.withColumn("name", F.substring_index("name", "#", 1))
     return out.groupBy("doc_id", "key", "name", "start").agg(F.max("percent").alias("percent"))
 
 

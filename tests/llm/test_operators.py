@@ -289,6 +289,27 @@ def test_license_scan_near_and_none(spark):
     assert got == {1: ["MIT-permission"], 2: [], 3: []}
 
 
+def test_license_scan_other_wordings(spark):
+    """Notices and parts of license texts that are not the planted sentences."""
+    cases = {
+        "This module is licensed under the MIT License (see COPYING)": {"MIT"},
+        "code licensed under GPL v2 only": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "// SPDX-License-Identifier: ISC": {"ISC"},
+        "text is available under CC BY-SA 4.0 unless noted": {"CC-BY-SA-4.0"},
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited "
+        "to the warranties of merchantability, fitness for a particular use and noninfringement.": {"MIT-warranty"},
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.": {"BSD-conditions"},
+        "This is free and unencumbered software released into the public domain.": {"Unlicense"},
+        "The talk under the old license plate was about MIT": set(),
+    }
+    df = spark.createDataFrame([(k, "some words before. " + t + " and after") for k, t in enumerate(cases)],
+                               "doc_id long, text string")
+    got = {r.doc_id: set(r.licenses) for r in licenses.license_scan(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 PAGES = {
     1: ('<html><head><title>t</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">x</a></li>'
         '</ul></nav><!-- ad --><div class="ad">buy</div><article><h1>Head &amp;  line</h1><p><b>One.<br><p>Two  <i>in'
