@@ -5,7 +5,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

@@ -1,6 +1,6 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
-import brute
+import llm_brute as brute
 import corpus_pipeline
 
 from panelkit.llm import quality
