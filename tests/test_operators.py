@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from panelkit.operators import joins as J
 from panelkit.operators.quality import key_profile
 from panelkit.operators.windows import auto_chunk, change_points

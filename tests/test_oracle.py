@@ -4,7 +4,7 @@
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from panelkit.plans import registry
 
 registry.load_all()

@@ -6,7 +6,7 @@ import glob
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from panelkit import fixtures as fx
 from panelkit.plans import registry
 from panelkit.session import scratch_path
