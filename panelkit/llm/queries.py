@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelkit.llm import decontaminate, html, jaccard, licenses, lines, maxent, packing, quality, repeats, secrets
+from panelkit.llm import decontaminate, fim, html, jaccard, licenses, lines, maxent, packing, quality, repeats, secrets
 from panelkit.llm.common import table
 
 QUERIES: dict = {}
@@ -163,3 +163,27 @@ def op10_lm_scoring(spark, sf_dir):
 def op7_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+                  sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                  THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+              WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+              ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END)
+           AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c"""
+
+
+@query("op12_fill_in_middle", _OP12_SQL)
+def op12_fill_in_middle(spark, sf_dir):
+    """Fill-in-middle form of every document and the text rebuilt from it."""
+    return fim.assemble(table(spark, sf_dir, "documents"))
