@@ -34,6 +34,7 @@ MARKS = {"P": "<P>", "S": "<S>", "M": "<M>"}
 LAYOUT = {"psm": "PSM", "spm": "SPM"}      # segments in output order
 TEXT_ORDER = "PMS"                          # segments in text order
 CHUNK = 1 << 14                             # code points of a piece
+PARTITION_BYTES = 1 << 28                   # text whose pieces one task sorts
 LEVEL = 3                                   # zstd level of a piece
 
 SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, " \
@@ -139,8 +140,11 @@ def _rows(docs: DataFrame) -> RDD:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).rdd
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(df: DataFrame, column: str) -> int:
+    """Partitions for the pieces of a text column.  Adaptive execution does
+    not size the shuffles of RDDs, so the volume is measured: one row."""
+    total = df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
 
 
 def _deal(key: tuple) -> int:
@@ -187,7 +191,7 @@ def _texts(parts) -> Iterator:
 def _pieces(docs: DataFrame, seed: int, plain: int, spm: int, unit: str | None, chunk: int) -> RDD:
     args = (seed, plain, spm, unit)
     return _rows(docs).mapPartitions(lambda rows: _cut(rows, chunk, args)) \
-        .repartitionAndSortWithinPartitions(_partitions(docs), _deal)
+        .repartitionAndSortWithinPartitions(_partitions(docs, "text"), _deal)
 
 
 def assemble(docs: DataFrame, seed: int = 1, plain: int = 90, spm: int = 20, unit: str | None = None,
@@ -233,5 +237,5 @@ def restore(formed: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     rows = formed.select(F.col("doc_id").cast("long").alias("doc_id"), "form", "output").rdd
     return formed.sparkSession.createDataFrame(
-        rows.mapPartitions(cut).repartitionAndSortWithinPartitions(_partitions(formed), _deal).mapPartitions(_texts),
+        rows.mapPartitions(cut).repartitionAndSortWithinPartitions(_partitions(formed, "output"), _deal).mapPartitions(_texts),
         "doc_id long, text string", verifySchema=False)
