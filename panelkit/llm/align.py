@@ -166,8 +166,8 @@ class Alignment:
         equal = np.bincount(at[same] + 1, minlength=len(a) + 1)
         back = np.flatnonzero(~a_drives[unit_a])
         seen = np.cumsum(inside + equal)
-        first = a_at[unit_a[back]]
-        below[back] = b_at[unit_a[back]] + seen[back] - np.where(first > 0, seen[first - 1], 0)
+        earlier = np.cumsum(n_b * ~a_drives) - n_b * ~a_drives       # B ends of such units before each unit
+        below[back] = (b_at[:-1] - earlier)[unit_a[back]] + seen[back]
         self.common_a, self.common_b, self.below = common_a, common_b, below
         # An A token overlaps the B tokens from the one after the previous A
         # end's rank (the same one, if that end lies inside it) to its own.
@@ -266,12 +266,12 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
 
-def _table(schema: pa.Schema, n: int, **given) -> pa.RecordBatch:
+def _table(schema: pa.Schema, rows: int, **given) -> pa.RecordBatch:
     cols = []
     for f in schema:
         v = given.get(f.name)
-        cols.append(pa.nulls(n, f.type) if v is None else v if isinstance(v, pa.Array)
-                    else pa.array([v] * n if np.isscalar(v) else v, f.type))
+        cols.append(pa.nulls(rows, f.type) if v is None else v if isinstance(v, pa.Array)
+                    else pa.array([v] * rows if np.isscalar(v) else v, f.type))
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
