@@ -30,7 +30,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ from pyspark.sql import functions as F
 from panelkit.llm.words import gathered
 from panelkit.session import scratch_path
 
-SLICE_BYTES = 1 << 24               # text whose units are treated together
+SLICE_BYTES = 1 << 23               # text whose units are treated together
+CHUNK = 1 << 15                     # units that are Python objects at a time
 # Unicode White_Space, which the byte-level pattern's \s means.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_CUT = WHITE.replace(r"\n", "").replace(r"\r ", r"\r")
@@ -193,14 +196,15 @@ def group_texts(a, a_at, common_a, b, b_at, common_b) -> list[bytes]:
     for u in range(len(a_at) - 1):
         i, i_end, j, parts = a_at[u], a_at[u + 1], b_at[u], []
         while i < i_end:
-            left, right = str(a[i]), str(b[j])
+            part = str(a[i])
             while not ca[i]:
                 i += 1
-                left += f",{a[i]}"
+                part += f",{a[i]}"
+            part += f"|{b[j]}"
             while not cb[j]:
                 j += 1
-                right += f",{b[j]}"
-            parts.append(f"{left}|{right}")
+                part += f",{b[j]}"
+            parts.append(part)
             i, j = i + 1, j + 1
         out.append(";".join(parts).encode())
     return out
@@ -219,36 +223,54 @@ class Slice:
 
     def __init__(self, texts: list[str | None], tok: Tokenizers, cuts: re.Pattern):
         number = _Numbers()
-        self.docs = [np.fromiter(map(number.__getitem__, cuts.findall(" " + t)), np.uint32) if t
+        # Units as array("I"): four bytes each, whatever the text's length.
+        self.docs = [np.frombuffer(array("I", map(number.__getitem__, cuts.findall(" " + t))), np.uint32) if t
                      else np.zeros(0, np.uint32) for t in texts]
         units = list(number)
-        ids_a, ids_b = [tok.a(u) for u in units], tok.b(units) if units else []
-        piece = tok.b_bytes.__getitem__
-        self.good = np.array([b"".join(map(piece, x)) == u.encode() for x, u in zip(ids_b, units)], bool)
-        for k in np.flatnonzero(~self.good).tolist():
-            ids_a[k], ids_b[k] = [], []
-        self.a, self.a_at = _flat(ids_a)
-        self.b, self.b_at = _flat(ids_b)
+        number.clear()
+        self.good = np.ones(len(units), bool)
+        parts = [self._tokens(units[lo:lo + CHUNK], lo, tok) for lo in range(0, len(units), CHUNK)]
+        del units
+        self.a, self.a_at = _joined([p[:2] for p in parts])
+        self.b, self.b_at = _joined([p[2:] for p in parts])
         self.links = Alignment(self.a, self.a_at, tok.a_len, self.b, self.b_at, tok.b_len)
-        self.groups = group_texts(self.a, self.a_at, self.links.common_a, self.b, self.b_at, self.links.common_b)
+        self.groups = [text for lo in range(0, len(self.good), CHUNK) for text in self._group_texts(lo)]
         # A document with any unit that B cannot write back has no tokens.
         self.docs = [d if self.good[d].all() else d[:0] for d in self.docs]
 
+    def _tokens(self, units: list[str], first: int, tok: Tokenizers) -> tuple:
+        ids_a, ids_b = [tok.a(u) for u in units], tok.b(units)
+        piece = tok.b_bytes.__getitem__
+        for k, (x, u) in enumerate(zip(ids_b, units)):
+            if b"".join(map(piece, x)) != u.encode():
+                self.good[first + k] = False
+                ids_a[k], ids_b[k] = [], []
+        return *_flat(ids_a), *_flat(ids_b)
+
+    def _group_texts(self, lo: int) -> list[bytes]:
+        hi = min(lo + CHUNK, len(self.good))
+        a, b = slice(self.a_at[lo], self.a_at[hi]), slice(self.b_at[lo], self.b_at[hi])
+        return group_texts(self.a[a], self.a_at[lo:hi + 1] - self.a_at[lo], self.links.common_a[a],
+                           self.b[b], self.b_at[lo:hi + 1] - self.b_at[lo], self.links.common_b[b])
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pair codes, their link counts over the documents, and each
         link's place among the codes."""
-        times = np.zeros(len(self.good), np.int64)
-        for d in self.docs:
-            times += np.bincount(d, minlength=len(times))
+        times = np.bincount(np.concatenate([np.zeros(0, np.uint32), *self.docs]), minlength=len(self.good))
         codes, place = np.unique(self.links.codes, return_inverse=True)
         weight = np.repeat(times, self.links.n_links)
         return codes, np.bincount(place, weights=weight, minlength=len(codes)).astype(np.int64), place
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=at[1:])
-    return np.fromiter((i for x in lists for i in x), np.int64, int(at[-1])), at
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, list[int]]:
+    return np.frombuffer(array("I", chain.from_iterable(lists)), np.uint32), list(map(len, lists))
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks' ids end to end, and where each unit's begin."""
+    lens = np.array([n for _, ns in parts for n in ns], np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *[ids for ids, _ in parts]]).astype(np.int64), \
+        np.concatenate(([0], np.cumsum(lens)))
 
 
 def _pack(x: np.ndarray) -> bytes:
