@@ -42,7 +42,8 @@ def load_all() -> None:
     """Import every plan module so its queries register."""
     import importlib
     for mod in ("panelkit.plans.linkage", "panelkit.plans.verbs", "panelkit.plans.panel",
-                "panelkit.plans.casework", "panelkit.plans.storage",
+                "panelkit.plans.casework", "panelkit.plans.storage", "panelkit.plans.calendar",
+                "panelkit.plans.stored",
                 "panelkit.streaming.plans"):
         try:
             importlib.import_module(mod)

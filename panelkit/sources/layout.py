@@ -15,7 +15,7 @@ The knobs the reference tunes, as Spark writer options:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,11 @@ DEFAULT_FILE_ROWS = 5_000_000
 
 
 def _writer(df: DataFrame, compression: str, row_group_rows: int | None,
-            max_rows_per_file: int | None, mode: str):
+            max_rows_per_file: int | None, mode: str, bloom: Mapping[str, int] | None = None):
     w = df.write.mode(mode).option("compression", compression)
+    for column, distinct in (bloom or {}).items():
+        w = w.option(f"parquet.bloom.filter.enabled#{column}", "true") \
+            .option(f"parquet.bloom.filter.expected.ndv#{column}", distinct)
     if row_group_rows:
         w = w.option("parquet.block.row.count.limit", row_group_rows)
     if max_rows_per_file:
@@ -38,17 +41,20 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd",
                   row_group_rows: int | None = DEFAULT_ROW_GROUP_ROWS,
                   max_rows_per_file: int | None = DEFAULT_FILE_ROWS,
                   partition_by: Sequence[str] = (), mode: str = "overwrite",
-                  folder_files: int = 8) -> str:
+                  folder_files: int = 8, bloom: Mapping[str, int] | None = None) -> str:
     """``COPY ... TO dir (FORMAT PARQUET, COMPRESSION zstd, ROW_GROUP_SIZE,
     ROW_GROUPS_PER_FILE)``.  The job commit protocol replaces the
     write-to-tmp-then-move step: a failed job leaves no partial output.
     With ``partition_by`` the rows are first dealt by partition value and a
     salt of ``folder_files``, so a folder gets at most that many writers
-    (not one per task) and a hot value is still spread."""
+    (not one per task) and a hot value is still spread.  ``bloom`` names
+    columns to write Bloom filters for, with the distinct values expected in
+    a row group: a lookup on a column that the table is not clustered by then
+    skips the row groups that cannot hold the value."""
     if partition_by:
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(folder_files))
         df = df.repartition(*[F.col(c) for c in partition_by], salt)
-    w = _writer(df, compression, row_group_rows, max_rows_per_file, mode)
+    w = _writer(df, compression, row_group_rows, max_rows_per_file, mode, bloom)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -17,6 +17,7 @@ from panelkit.plans.registry import query
 from panelkit.plans.storage import MBS_SCHEMA
 from panelkit.session import scratch_path
 from panelkit.streaming.ingest import ingest_new_files
+from panelkit.streaming.late import OrderedChangePoints
 from panelkit.streaming.rollup import monthly_from_daily, read_rollup, run_rollup
 from panelkit.streaming.switches import run_change_points_tables, stream_change_points
 
@@ -193,3 +194,29 @@ def stream_person_month(spark, sf):
                            ["services", "fees"])
     return m.select("synthetic_aeuid", "month", F.round("services", 2).alias("services"),
                     F.round("fees", 2).alias("fees"), F.col("n").alias("claims"))
+
+
+@query("stream_switches_late", views=("stp",), sql="WITH " + _STP_SQL + """
+SELECT synthetic_aeuid, week_ending, new_employer, prev_employer, gross_pay, rec_id FROM stp_switches""")
+def stream_switches_late(spark, sf):
+    """Payroll rows that arrive up to 60 days late, in four drops and as many
+    restarts: late rows are put in their place, and the switches equal the
+    batch job's."""
+    root = scratch_path(spark, "stream-late-ordered")
+    landing, out = f"{root}/landing", f"{root}/switches"
+    src = stp_filtered(spark, sf).select(
+        "synthetic_aeuid", "week_ending", "rec_id", "abn_hash_trunc",
+        F.col("pmt_sumry_totl_grs_pmt_amt").alias("gross_pay"))
+    # A row arrives some days after its week, by a hash of its record id.
+    arrived = F.date_add("week_ending", F.pmod(F.xxhash64("rec_id"), F.lit(61)).cast("int"))
+    job = OrderedChangePoints(spark, src.schema, "synthetic_aeuid", "week_ending", "rec_id", "abn_hash_trunc",
+                              "prev_employer", 60, out, f"{root}/state")
+    edges = ["0001-01-01", "1996-08-01", "1998-03-15", "1999-11-20", "9999-12-31"]
+    for lo, hi in zip(edges, edges[1:]):
+        src.where((arrived >= F.lit(lo).cast("date")) & (arrived < F.lit(hi).cast("date"))) \
+            .write.mode("append").parquet(landing)
+        job.run(spark.readStream.schema(src.schema).parquet(landing), f"{root}/_checkpoint")
+    job.finish(job.last_batch())
+    res = spark.read.parquet(out).where(~F.col("late"))
+    return res.select("synthetic_aeuid", "week_ending", F.col("abn_hash_trunc").alias("new_employer"),
+                      "prev_employer", "gross_pay", "rec_id")
