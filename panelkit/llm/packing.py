@@ -12,9 +12,13 @@ Each task tokenizes its documents, then packs them window by window of
 4. The last, open sequence is carried into the next window.  At the end of
    the task it is cut into power-of-two sequences, which need no padding.
 
-Sequences are numbered per task and dealt into step groups of equal token
-counts.  Nothing is shuffled and no task holds more than one window, so the
-job is one scan whose cost is tokenization.
+Sequences are numbered per task.  At its end the task deals them into step
+groups of about ``GROUP`` full sequences: full ones in turn, the short ones of
+the last cut to the lightest group, so the groups of a task differ by at most
+one sequence's tokens.  (Between tasks they differ by the rounding of a task's
+sequences to whole groups.)  Until then a task keeps the numbers of its pieces,
+72 bytes each; texts and ids are kept for one window only.  Nothing is
+shuffled: the job is one scan whose cost is tokenization.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,10 +39,9 @@ from panelkit.llm.words import gathered
 CONTEXT = 1024
 TIERS = (512, 256, 128, 0)          # lower bounds of the remainder tiers
 BUFFER_BYTES = 1 << 23              # text packed together
-GROUP = 64                          # sequences of a step group
+GROUP = 64                          # full sequences of a step group
 END = 0                             # id after every document
 CACHE = 300_000                     # units whose ids a task remembers
-SPECIAL = ("<|endoftext|>",)        # in the vocabulary file, not ordinary tokens
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, sequence_length long, step_group long")
@@ -58,15 +62,21 @@ class UnitTokenizer:
         import public_tokenizers
         import tiktoken
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocabulary = spec["model"]["vocab"]
+        # Added tokens stand for their strings wherever those occur, and the
+        # text around is cut there; the longest match wins.
+        self._added = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec.get("added_tokens", [])}
+        by_length = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile("(" + "|".join(map(re.escape, by_length)) + ")").split if by_length else None
         # The file writes each byte as a printable character: itself, or the
         # next one from 256 on.  Ids follow the order of merges, so they are
-        # the merge ranks; special tokens' strings are ordinary text.
+        # the merge ranks.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items()
-                 if all(c in byte_of for c in token) and token not in SPECIAL}
+                 if all(c in byte_of for c in token) and token not in self._added}
         self._encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
                                          mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         # The pattern's \s is Unicode White_Space; Python's adds \x1c-\x1f.
@@ -81,23 +91,32 @@ class UnitTokenizer:
             if unit not in self._seen:
                 self._seen[unit] = array("I", self._encode(unit)).tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        units = self._units(text)
+        try:
+            return b"".join(map(self._seen.__getitem__, units))
+        except KeyError:
+            self._learn(units)
+            return b"".join(map(self._seen.__getitem__, units))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every text, the end id included."""
         out = []
         end = array("I", [END]).tobytes()
         for text in texts:
-            units = self._units(text or "")
-            try:
-                out.append(b"".join(map(self._seen.__getitem__, units)) + end)
-            except KeyError:
-                self._learn(units)
-                out.append(b"".join(map(self._seen.__getitem__, units)) + end)
+            text = text or ""
+            if any(t in text for t in self._added):
+                parts = self._cut(text)
+                out.append(b"".join(self._added[p] if k % 2 else self._ids(p) for k, p in enumerate(parts)) + end)
+            else:
+                out.append(self._ids(text) + end)
         return out
 
 
 class _Packer:
     def __init__(self, task: int, context: int):
         self.context, self.rows, self.n = context, [], task << 40
+        self.lengths = array("i")      # of every sequence so far
         self.open: list = []           # pieces of the open sequence
         self.room = context
 
@@ -105,9 +124,10 @@ class _Packer:
         at, total = 0, sum(p[3] for p in pieces)
         for doc, ids, start, length in pieces:
             self.rows.append((doc, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]),
-                              len(ids) // 4, self.n, at, total, self.n // GROUP))
+                              len(ids) // 4, self.n, at, total))
             at += length
         self.n += 1
+        self.lengths.append(total)
 
     def _put(self, piece: tuple) -> None:
         doc, ids, start, length = piece
@@ -178,6 +198,21 @@ class _Packer:
             else [pa.array([], pa.int64()) for _ in schema], schema=schema)
 
 
+def step_groups(lengths: np.ndarray, context: int) -> np.ndarray:
+    """Group of every sequence: full ones in turn, then each shorter one,
+    longest first, to the group with the fewest tokens."""
+    groups = max(1, round(int(lengths.sum()) / (GROUP * context)))
+    out = np.zeros(len(lengths), np.int64)
+    full = np.flatnonzero(lengths == context)
+    out[full] = np.arange(len(full)) % groups
+    held = np.bincount(out[full], minlength=groups) * context
+    short = np.flatnonzero(lengths < context)
+    for k in short[np.argsort(-lengths[short], kind="stable")].tolist():
+        out[k] = g = int(np.argmin(held))
+        held[g] += lengths[k]
+    return out
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -194,13 +229,18 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT) -> Da
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.int64()) for n in names])
-        tok, packer = UnitTokenizer(path), _Packer(TaskContext.get().partitionId(), context)
+        schema = pa.schema([(n, pa.int64()) for n in names[:-1]])
+        task = TaskContext.get().partitionId()
+        tok, packer, done = UnitTokenizer(path), _Packer(task, context), []
         for part in gathered(batches, "text", BUFFER_BYTES):
             ids = tok.encode(part.column("text").to_pylist())
             packer.window(list(zip(part.column("doc_id").to_pylist(), ids)))
-            yield packer.taken(schema)
+            done.append(packer.taken(schema))
         packer.close()
-        yield packer.taken(schema)
+        done.append(packer.taken(schema))
+        group = (task << 40) + step_groups(np.array(packer.lengths, np.int64), context)
+        for batch in done:
+            mine = batch.column("sequence_id").to_numpy() - (task << 40)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group[mine])], names=names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, SCHEMA)

@@ -99,7 +99,6 @@ def test_packing(docs, spark):
     from tokenizers import Tokenizer
     df, rows = docs
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     got = packing.pack(df.repartition(3)).collect()
     ids = defaultdict(list)
     for d, t in rows:
@@ -134,10 +133,33 @@ def test_packing(docs, spark):
     assert padding == 0
 
 
+def test_added_tokens_keep_their_id(spark):
+    """The string of an added token is that token, as in the plain call."""
+    df = spark.createDataFrame([(1, "end <|endoftext|> of it")], "doc_id long, text string")
+    want = np.array([437, 220, 50256, 286, 340, 0], "<u4")
+    assert [(r.doc_tokens, r.ids_crc32) for r in packing.pack(df).where("length = 4").collect()] == \
+        [(6, zlib.crc32(want[:4].tobytes()))]
+
+
+def test_step_groups_are_even(spark):
+    """Groups of one task differ by at most one sequence's tokens."""
+    rng = np.random.default_rng(7)
+    rows = [(d, " ".join(f"w{rng.integers(999)}" for _ in range(int(rng.integers(1, 900))))) for d in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    by = defaultdict(lambda: defaultdict(int))
+    for r in packing.pack(df).collect():
+        by[r.sequence_id >> 40][r.step_group] += r.length
+    assert len(by) == 2 and sum(map(len, by.values())) > 4
+    for groups in by.values():
+        assert max(groups.values()) - min(groups.values()) <= packing.CONTEXT
+    lengths = np.array([1024] * 700 + [512, 256, 128, 1])
+    sums = np.bincount(packing.step_groups(lengths, 1024), weights=lengths)
+    assert len(sums) == 11 and np.ptp(sums) <= 1024
+
+
 def test_unit_tokenizer_equals_whole():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     mine = packing.UnitTokenizer(packing.tokenizer_path())
     rng = np.random.default_rng(0)
     alphabet = list("ab'sé1 \n\t\r\x1c\x85\xa0 　<|endoftext|>#~日本🙂") + ["'ll", "  ", " \n", "don't"]
