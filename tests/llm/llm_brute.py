@@ -45,8 +45,8 @@ def shingles(text, k=5):
     return frozenset(tuple(ws[i:i + k]) for i in range(len(ws) - k + 1)) if len(ws) >= k else frozenset([tuple(ws)])
 
 
-def near_duplicates(rows, num=75, den=100):
-    """[(doc_id, n_shingles, component_id)] in the rows' order."""
+def class_of(rows, num=75, den=100):
+    """A number of every row's class, in the rows' order."""
     sets = [shingles(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -66,11 +66,16 @@ def near_duplicates(rows, num=75, den=100):
     for (a, b), n in shared.items():
         if den * n >= num * (len(sets[a]) + len(sets[b]) - n):
             up[root(a)] = root(b)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
+    return [root(i) for i in range(len(rows))]
+
+
+def near_duplicates(rows):
+    """[(doc_id, n_shingles, component_id)] in the rows' order."""
+    classes, least = class_of(rows), {}
+    for c, (doc, _) in zip(classes, rows):
         if doc is not None:
-            least[root(i)] = min(least.get(root(i), BIG), doc)
-    return [(doc, len(sets[i]), least.get(root(i)) if sets[i] else doc) for i, (doc, _) in enumerate(rows)]
+            least[c] = min(least.get(c, BIG), doc)
+    return [(doc, len(shingles(t)), least.get(c) if words(t) else doc) for c, (doc, t) in zip(classes, rows)]
 
 
 def item_words(text):

@@ -2,6 +2,7 @@
 rows (nulls, empty and long texts, ties, repeats, clashing columns)."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -234,6 +235,81 @@ def test_automaton_learns_a_format():
     assert not any(model.ratio(t.translate(secrets._CLASS)) > model.threshold for t in text)
 
 
+def _planted(rng, kind):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    if kind == "key":
+        return "sk_" + "".join(rng.choice(list(letters), 24))
+    return "".join(rng.choice(list(letters + "+/"), 40))
+
+
+def _texts(rng, n):
+    words = ["understandably", "the", "internationalisation", "Report", "ratio", "quarter", "mail7.example.com",
+             "192.168.10.44", "2021-03-04", "4539578763621486", "well-known-expression", "und.34", "src/main/report.txt"]
+    return [" ".join(rng.choice(words, 40)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def scanner(spark):
+    """A model learned from texts that assign two formats the base patterns
+    only know behind their names."""
+    rng = np.random.default_rng(11)
+    rows = [(k, t + f'\napi_key = "{_planted(rng, ("key", "long")[k % 2])}" end') for k, t in enumerate(_texts(rng, 400))]
+    return secrets.learn(spark.createDataFrame(rows, "doc_id long, text string")), rng
+
+
+def test_learned_formats_are_found_elsewhere(spark, scanner):
+    """Held-out values in URLs, behind other names and alone; nothing in
+    ordinary texts."""
+    model, rng = scanner
+    frames = ["see {} there", "AWS_KEY={} x", "https://host.example.com/a/{}?q=1", "(value:{})", "x={}"]
+    rows, want = [], {}
+    for k in range(100):
+        value, frame = _planted(rng, ("key", "long")[k % 2]), frames[k % 5]
+        if "/" in value and "https" in frame:
+            value = value.replace("/", "A")
+        text = "é " + _texts(rng, 1)[0] + " " + frame.format(value)
+        rows.append((k, text))
+        want[k] = (text.index(value), text.index(value) + len(value))
+    clean = [(1000 + k, t) for k, t in enumerate(_texts(rng, 200))]
+    df = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "grammar"] for r in secrets.secret_spans(df, model).collect()}
+    found = sum(any(a < e and s < b for s, e in got[k]) for k, (a, b) in want.items())
+    whole = sum(want[k] in got[k] for k in want)
+    assert found >= 95 and whole >= 80
+    assert sum(len(got[k]) for k, _ in clean) == 0
+
+
+def test_spans_beyond_base_spans(scanner):
+    """A run that holds 24 hexadecimal digits is marked whole beside its hex
+    part; a value inside a base span is not marked again."""
+    import pyarrow as pa
+    model, rng = scanner
+    value = "sk_" + "0123456789abcdef01234567"[:24]
+    mixed = "Zk" + "0123456789abcdef01234567" + "ZQ7TnPq9XkLm3V"
+    texts = [f"see {mixed} end", f'api_key="{value}" end']
+    from panelkit.llm.words import Batch
+    one, two = secrets._spans(Batch.of(pa.array(texts)), model)
+    assert [s[1] for s in two] == ["assign", "hex"]
+    assert ("hex" in [s[1] for s in one]) and (4, "grammar", 4 + len(mixed)) in one
+
+
+def test_candidates_by_plain_rule():
+    import pyarrow as pa
+    from panelkit.llm.words import Batch
+    rng = np.random.default_rng(3)
+    alphabet = list("aB9.=/-_+ é\n") + ["word", "Word", "a1"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(alphabet, rng.integers(0, 12))) for _ in range(5)]
+        batch = Batch.of(pa.array(texts))
+        want = []
+        import re
+        for t, at in zip(texts, batch.offsets.tolist()):
+            for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{6,}", t.encode()):
+                if not secrets._word(m[0]):
+                    want.append((at + m.start(), at + m.end()))
+        assert list(zip(*(x.tolist() for x in secrets._candidates(batch, 6)))) == want
+
+
 def test_lm_scoring(docs):
     df, rows = docs
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)
@@ -244,6 +320,33 @@ def test_lm_scoring(docs):
     assert all(np.isfinite(g[6]) and g[6] < 0 for g in got)
 
 
+@pytest.mark.parametrize("rows", [[], [(2, "a b c")], [(2, "a b"), (7, None)], [(1, None)], [(1, "one text"), (None, "")]])
+def test_lm_small_inputs(spark, rows):
+    """Empty tables, tables without training rows, and single texts."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = maxent.score_documents(df, F.coalesce(F.col("doc_id") % 5 != 2, F.lit(True))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.isfinite(r.base_score) and np.isfinite(r.score) and r.score <= 0
+        assert r.n_tokens == 1 + len((dict(rows)[r.doc_id] or "").split())
+
+
+def test_lm_counts_do_not_depend_on_buckets(spark, monkeypatch):
+    """One bucket and many give the same counts for every n-gram."""
+    rng = np.random.default_rng(9)
+    rows = [(d, " ".join(rng.choice(["a", "b", "c", "dd", "ee"], 30))) for d in range(60)] + [(None, "a b a b")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(maxent, "FIT_BUCKETS", 1 << 30)
+    monkeypatch.setattr(maxent, "train", lambda docs, classes: np.zeros((maxent.FEATURES, maxent.CLASSES), np.float32))
+    monkeypatch.setattr(maxent, "_shares", lambda fitted: np.full((maxent.LEVELS, maxent.BINS), 0.5))
+    one = sorted((tuple(r) for r in maxent.score_documents(df).collect()), key=key)
+    monkeypatch.setattr(maxent, "BUCKET_BYTES", 150)
+    monkeypatch.setattr(maxent, "GROUP_BYTES", 200)
+    many = sorted((tuple(r) for r in maxent.score_documents(df).collect()), key=key)
+    assert [r[:5] for r in one] == [r[:5] for r in many]
+    assert np.allclose([r[4:6] for r in one], [r[4:6] for r in many])
+
+
 def test_lm_beats_unigrams_on_held_out(spark):
     from pyspark.sql import SparkSession  # noqa: F401
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -302,6 +405,35 @@ def test_license_scan(docs):
             assert found == []
 
 
+def test_license_scan_equals_containment(spark):
+    """Every wording, planted in texts, against counting its shingles by
+    hand: no notice missed, none found that is not contained."""
+    templates = licenses.all_templates()
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(r"\blicence(d?)\b", r"license\1", t.lower())) if w]
+    rng = np.random.default_rng(8)
+    rows, names = [], sorted(templates)
+    for k, name in enumerate(names):
+        ws = words(templates[name])
+        if k % 3 == 1 and len(ws) > 6:
+            ws[int(rng.integers(len(ws)))] = "changed"
+        if k % 3 == 2:
+            ws = ws[:-1]
+        rows.append((k, " ".join([*rng.choice(["some", "text", "version", "of", "the"], 5), *ws, *rng.choice(["and", "more"], 4)])))
+    grams = {}
+    for name, notice in templates.items():
+        ws = words(notice)
+        width = min(len(ws), licenses.SHINGLE)
+        grams[name] = (width, {tuple(ws[i:i + width]) for i in range(len(ws) - width + 1)}, len(ws))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r.licenses) for r in licenses.license_scan(df).collect()}
+    for k, text in rows:
+        ws = words(text)
+        own = {w: {tuple(ws[i:i + w]) for i in range(len(ws) - w + 1)} for w in range(1, licenses.SHINGLE + 1)}
+        want = {name.partition("#")[0] for name, (w, g, m) in grams.items()
+                if 100 * len(g & own[w]) >= (100 if m < licenses.SHORT else licenses.MIN_PERCENT) * len(g)}
+        assert got[k] == want, (text, got[k] ^ want)
+
+
 def test_license_scan_near_and_none(spark):
     notice = licenses.TEMPLATES["MIT-permission"].split()
     notice[20] = "changed"
@@ -325,6 +457,12 @@ def test_license_scan_other_wordings(spark):
         "following disclaimer.": {"BSD-conditions"},
         "This is free and unencumbered software released into the public domain.": {"Unlicense"},
         "The talk under the old license plate was about MIT": set(),
+        "Licensed under the Apache Licence, Version 2.0": {"Apache-2.0"},
+        "subject to terms of the Mozilla Public License, v. 2.0": {"MPL-2.0"},
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": {"MIT-permission"},
+        "a fellow under MIT rules": set(), "he studied under the MIT faculty": set(), "sold under ISC conditions": set(),
+        "running under Apache 2.0 servers": set(), "released under ISC": {"ISC"}, "available under the GPLv3": {"GPL-3.0"},
+        "under the GNU General Public License version 2": {"GPL-2.0"},
     }
     df = spark.createDataFrame([(k, "some words before. " + t + " and after") for k, t in enumerate(cases)],
                                "doc_id long, text string")
@@ -403,13 +541,45 @@ def test_empty_pages(spark):
 
 
 def test_drop_near_duplicates(docs):
+    """One row of each class: classes of rows, as links of texts make them."""
     df, rows = docs
     out = jaccard.drop_near_duplicates(df)
     assert out.columns == df.columns
-    want = {c if d is not None else None for d, _, c in brute.near_duplicates(rows)}
-    got = [r.doc_id for r in out.collect()]
-    named = [d for d in got if d is not None]
-    assert set(got) >= want - {None} and len(named) == len(set(named))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=key)
+    classes, numbers = defaultdict(set), brute.class_of(rows)
+    empty = 0
+    for i, (d, t) in enumerate(rows):
+        if not brute.words(t):
+            empty += 1
+            continue
+        classes[numbers[i]].add((d, t))
+    assert len(got) == len(classes) + empty
+    held = [r for r in got if brute.words(r[1])]
+    for members in classes.values():
+        mine = [r for r in held if r in members]
+        named = [d for d, _ in members if d is not None]
+        assert len(mine) == 1 and mine[0][0] == (min(named) if named else None)
+
+
+def test_drop_near_duplicates_keeps_unlinked_texts_of_one_id(spark):
+    texts = [" ".join(f"{k}w{i}" for i in range(20)) for k in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[3]), (None, texts[2]),
+            (3, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.drop_near_duplicates(df).collect()), key=key)
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, texts[3]), (3, ""), (3, None)], key=key)
+
+
+def test_null_ids_do_not_pair_up(spark):
+    """Many rows without id give as many sets, not their square."""
+    rows = [(None, " ".join(f"k{k // 2}w{i}" for i in range(30)) + (" more" if k % 2 else "")) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = jaccard.sketches(df)
+    blocks = sketch.select("node", F.lit(0).alias("b")).distinct().count()
+    reps = sketch.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r")) \
+        .select(F.col("r.doc_id").alias("r_doc"), F.col("r.text_key").alias("r_key"), F.col("node").alias("r_node"))
+    assert jaccard._one_each(jaccard._source(df), reps, sketch, ["r_node"]).count() == blocks == 600
+    assert jaccard.drop_near_duplicates(df).count() == 300
 
 
 def test_quality_stage_removes_lines(spark):
