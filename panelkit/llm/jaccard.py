@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import as_row, from_row
+from panelkit.llm.common import as_row, doc_key, from_row, has_word
 from panelkit.llm.components import components
 from panelkit.llm.words import Batch, gram_hashes, mix, slices
 from panelkit.session import scratch_path
@@ -91,13 +91,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, d in enumerate(full.tolist()):
                 keys[d] = bands[i].view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "keys"])
+            [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+             pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "node", "keys"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token sets of the nodes; a row of the same doc_id with another text is
-    told apart by the set's fingerprint and left out."""
+    """Token sets of the nodes; a row whose text only shares the hash of the
+    node's text is told apart by the set's fingerprint and left out."""
     for part in slices(batches, "text"):
         tokens, bounds = shingle_sets(part.column("text"))
         full = np.flatnonzero(np.diff(bounds))
@@ -242,14 +242,33 @@ def _pivot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["node", "pivot"]).filter(pa.array(hit, pa.bool_()))
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .withColumn("text_key", doc_key(F.col("text")))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (set fingerprint), keys, written once."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text_key, n (set size), node (set fingerprint), keys, written once."""
     path = scratch_path(docs.sparkSession, "jaccard-sketches")
-    source.mapInArrow(_sketch, "doc_id long, n long, node long, keys array<bigint>").write.parquet(path)
+    _source(docs).mapInArrow(_sketch, "doc_id long, text_key long, n long, node long, keys array<bigint>") \
+        .write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def _one_each(rows: DataFrame, named: DataFrame, sketch: DataFrame, name: list[str]) -> DataFrame:
+    """``rows`` (with r_doc and r_key) of the documents in ``named``, one per
+    ``name``.  Only rows that repeat both doc_id and text need to be reduced,
+    so only they are shuffled by name."""
+    repeated = sketch.groupBy(F.col("doc_id").alias("t_doc"), F.col("text_key").alias("t_key")).count() \
+        .where("count > 1").drop("count")
+    same = F.col("r_doc").eqNullSafe(F.col("t_doc")) & (F.col("r_key") == F.col("t_key"))
+    found = F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_key") == F.col("r_key"))
+    once = rows.join(named.join(repeated, same, "left_anti"), found)
+    if repeated.limit(1).count() == 0:
+        return once
+    return once.unionByName(rows.join(named.join(repeated, same, "left_semi"), found).dropDuplicates(name))
+
+
 def _blocks(sketch: DataFrame) -> DataFrame:
     """(node, comp): blocks of nodes that share band keys."""
     keyed = sketch.where("n > 0").groupBy("node").agg(F.any_value("keys").alias("keys")) \
@@ -266,12 +285,12 @@ def node_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = _blocks(sketch)
     # The text of one document per node that shares a block.
-    reps = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("r_doc")) \
+    reps = sketch.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")) \
         .join(blocks.withColumnRenamed("node", "b_node"), F.col("node") == F.col("b_node")) \
-        .select("r_doc", F.col("node").alias("r_node"), F.col("comp").alias("block"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .select(F.col("rep.doc_id").alias("r_doc"), F.col("rep.text_key").alias("r_key"), F.col("node").alias("r_node"),
+                F.col("comp").alias("block"))
     path = scratch_path(spark, "jaccard-sets")
-    source.join(reps, F.col("doc_id").eqNullSafe(F.col("r_doc"))) \
+    _one_each(_source(docs), reps, sketch, ["r_node"]) \
         .select(F.col("r_node").alias("node"), "block", "text") \
         .mapInArrow(_set_rows, "node long, block long, tokens binary").write.parquet(path)
     sets = spark.read.parquet(path)
@@ -331,6 +350,21 @@ def _large_links(sets: DataFrame, large: DataFrame) -> DataFrame:
     return stars.select("a", "b").unionByName(met)
 
 
+def _classes(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The documents with words: doc_id, text_key, n, comp (a node of the
+    class) and component_id."""
+    links = components(node_links(docs, sketch)).select(F.col("node").alias("l_node"), "comp")
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = nodes.join(links, F.col("node") == F.col("l_node"), "left") \
+        .withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id")) \
+        .withColumnRenamed("comp", "c_comp")
+    owner = named.select(F.col("node").alias("o_node"), "comp").join(least, F.col("comp") == F.col("c_comp")) \
+        .select("o_node", "comp", "component_id")
+    return sketch.where("n > 0").join(owner, F.col("node") == F.col("o_node")) \
+        .select("doc_id", "text_key", "n", "comp", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every document row: doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links, itself included).
@@ -341,25 +375,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are linked.  Very long texts are shingled whole.
     """
     sketch = sketches(docs)
-    links = components(node_links(docs, sketch)).select(F.col("node").alias("l_node"), "comp")
-    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(links, F.col("node") == F.col("l_node"), "left") \
-        .withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id")) \
-        .withColumnRenamed("comp", "c_comp")
-    owner = named.select(F.col("node").alias("o_node"), "comp").join(least, F.col("comp") == F.col("c_comp")) \
-        .select("o_node", "component_id")
-    full = sketch.where("n > 0").join(owner, F.col("node") == F.col("o_node")).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    full = _classes(docs, sketch).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(sketch.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class (the smallest doc_id), in its own columns;
-    of repeated rows of that id one stays.  Rows without id or words stay."""
-    keep = near_duplicates(docs).where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()) \
-        .select(F.col("doc_id").alias("k_doc")).distinct()
-    rows = as_row(docs).join(keep, F.col("row.doc_id").eqNullSafe(F.col("k_doc")))
-    named = rows.where("row.doc_id IS NOT NULL").withColumn("named", F.col("row.doc_id")).dropDuplicates(["named"])
-    return named.select("row").unionByName(rows.where("row.doc_id IS NULL").select("row")).select(*from_row(docs))
+    """One row of each class, in its own columns: that of the smallest doc_id
+    (null ids last), and among rows of that id the one of the smallest text
+    hash; of rows that repeat both, any one.  So rows of one id with unlinked
+    texts all stay.  Rows without words stay, each of them."""
+    sketch = sketches(docs)
+    keep = _classes(docs, sketch).groupBy("comp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("least")) \
+        .select(F.col("least.doc_id").alias("r_doc"), F.col("least.text_key").alias("r_key"))
+    rows = as_row(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row_key").alias("text_key"))
+    kept = _one_each(rows, keep, sketch, ["doc_id", "text_key"]).select("row")
+    empty = as_row(docs.where(~F.coalesce(has_word(F.col("text")), F.lit(False)))).select("row")
+    return kept.unionByName(empty).select(*from_row(docs))
