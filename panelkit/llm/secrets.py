@@ -4,10 +4,19 @@ Base spans come from three fixed patterns.  A bounded sample of their values
 (``LABELLED`` per kind) is the labelled set: its strings, as character
 classes, form one prefix tree per kind, and states whose next-symbol
 frequencies are compatible (Hoeffding bound) are merged into a probabilistic
-automaton.  Every run of credential characters in every text is then scored:
-log-likelihood per character under the best automaton against a bigram
-background learned from a bounded sample of ordinary runs.  Runs above the
-threshold that the two samples imply are added as ``grammar`` spans.
+automaton.
+
+Every candidate in every text is then scored: log-likelihood under the best
+automaton against a bigram background learned from a bounded sample of ordinary
+runs.  A candidate is a maximal run of credential characters, or a part of one
+between the separators ``= / .``, from the shortest learned length on; runs of
+letters alone, but for a first capital, are words and left out.  Of overlapping
+candidates above the threshold the best one counts, neighbours between which
+only a separator stands are one span, and what no base span holds already is
+added as a ``grammar`` span.  The threshold lies between the scores of the
+labelled values and those of ordinary runs; long runs that mix letters and
+digits in one part are left out of the ordinary ones, as they may be secrets
+nobody labelled.
 """
 
 from __future__ import annotations
@@ -31,7 +40,8 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
-RUN = 16                 # least length of a scored run
+LEAST = 6                # no candidate is shorter
+MIXED = 16               # an unlabelled part that mixes letters and digits is not ordinary from here on
 LABELLED = 400           # values per kind that the automata are learned from
 SAMPLE_DOCS = 20_000     # expected documents that the samples come from
 ALPHA = 0.05             # of the Hoeffding compatibility test
@@ -39,12 +49,15 @@ ALPHA = 0.05             # of the Hoeffding compatibility test
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
 _RUN_BYTES = np.zeros(256, bool)
-_RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PARTS = re.compile(rb"[^=/.]+")
 # Character classes: upper, a-f, g-z, digit; the rest stand for themselves.
 _CLASS = bytes(range(256)).translate(bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     b"U" * 26 + b"h" * 6 + b"l" * 20 + b"d" * 10))
-_SYMBOLS = 9             # U h l d + / _ = -
+_SYMBOLS = 10            # U h l d + / _ . = -
 _FLOOR = math.log(1e-4)
 
 
@@ -204,8 +217,9 @@ class Model:
         ordinary = [v.translate(_CLASS) for v in ordinary]
         self.automata = [Automaton(vs) for vs in values.values()]
         self.background = Background(ordinary)
+        self.least = max(LEAST, min((len(v) for vs in values.values() for v in vs), default=LEAST))
         self._seen: dict[bytes, float] = {}
-        good = sorted(self.ratio(v) for vs in values.values() for v in vs if len(v) >= RUN)
+        good = sorted(self.ratio(v) for vs in values.values() for v in vs)
         bad = sorted(map(self.ratio, ordinary))
         self.threshold = math.inf
         if good:
@@ -214,7 +228,9 @@ class Model:
             self.threshold = (low + high) / 2 if low > high else high
 
     def ratio(self, symbols: bytes) -> float:
-        """Log-likelihood ratio per character of the best automaton."""
+        """Log-likelihood ratio per character of the best automaton; a short
+        string is held to the length that is worth as much as its end, so
+        that chance has less weight."""
         if not self.automata:
             return -math.inf
         known = self._seen.get(symbols)
@@ -222,9 +238,51 @@ class Model:
             if len(self._seen) > 200_000:
                 self._seen.clear()
             best = max(a.score(symbols) for a in self.automata)
-            known = self._seen[symbols] = (best - self.background.score(symbols)) / len(symbols)
+            known = self._seen[symbols] = (best - self.background.score(symbols)) / max(len(symbols), MIXED)
         return known
 
+    def best(self, run: bytes) -> list[tuple[int, int]]:
+        """Places of the credentials in a run: the highest-scoring candidates
+        that do not overlap, neighbours merged."""
+        places = {(0, len(run)), *((m.start(), m.end()) for m in _PARTS.finditer(run))}
+        named = run.find(b"=")
+        if 0 < named < len(run) - 1:
+            places.add((named + 1, len(run)))            # what a name is set to
+        scored = sorted(((self.ratio(run[a:b].translate(_CLASS)), a, b) for a, b in places
+                         if b - a >= self.least and not _word(run[a:b])), key=lambda x: (-x[0], x[1]))
+        taken: list[tuple[int, int]] = []
+        for score, a, b in scored:
+            if score > self.threshold and not any(x < b and a < y for x, y in taken):
+                taken.append((a, b))
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(taken):
+            if merged and a - merged[-1][1] <= 1:
+                merged[-1] = (merged[-1][0], b)
+            else:
+                merged.append((a, b))
+        return merged
+
+
+def _word(run: bytes) -> bool:
+    """Letters alone, in lower case but for the first."""
+    return run.isalpha() and (run[1:].islower() or len(run) == 1)
+
+
+def _mixed(run: bytes) -> bool:
+    """Whether a long part mixes letters and digits."""
+    return any(len(p) >= MIXED and re.search(rb"[0-9]", p) and re.search(rb"[A-Za-z]", p) for p in _PARTS.findall(run))
+
+
+def _candidates(batch: Batch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that may hold a credential: not only
+    letters after the first character, or a capital among those."""
+    starts, ends = _runs(batch.data, _RUN_BYTES, batch.offsets, least)
+    lower = _LETTER[batch.data] & (batch.data >= 97)
+    seen = np.concatenate(([0], np.cumsum(~lower)))
+    plain = (seen[ends] == seen[np.minimum(starts + 1, ends)]) & _LETTER[batch.data[starts]] if len(starts) \
+        else np.zeros(0, bool)
+    return starts[~plain], ends[~plain]
+
 
 def _spans(batch: Batch, model: Model | None) -> list[list[tuple[int, str, int]]]:
     base = base_spans(batch)
@@ -232,21 +290,22 @@ def _spans(batch: Batch, model: Model | None) -> list[list[tuple[int, str, int]]
     if model is None or not model.automata:
         return out
     raw, off = batch.data.tobytes(), batch.offsets
-    starts, ends = _runs(batch.data, _RUN_BYTES, off, RUN)
+    starts, ends = _candidates(batch, model.least)
     where = np.searchsorted(off, starts, "right") - 1
     for s, e, d in zip(starts.tolist(), ends.tolist(), where.tolist()):
-        if model.ratio(raw[s:e].translate(_CLASS)) > model.threshold:
-            lo = int(off[d])
-            if not any(x < e - lo and s - lo < y for x, _, y in out[d]):
-                out[d].append((s - lo, "grammar", e - lo))
+        lo = int(off[d])
+        for a, b in model.best(raw[s:e]):
+            a, b = s + a - lo, s + b - lo
+            if not any(x <= a and b <= y for x, _, y in out[d]):
+                out[d].append((a, "grammar", b))
     for spans in out:
         spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
     return out
 
 
 def learn(docs: DataFrame) -> Model:
-    """The model, from at most LABELLED values per kind and as many ordinary
-    runs times four; they come from about SAMPLE_DOCS hash-chosen documents."""
+    """The model, from at most LABELLED values per kind, whole, and as many
+    ordinary runs times four; they come from about SAMPLE_DOCS hash-chosen documents."""
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
     chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(math.ceil(share * (1 << 20))))))
@@ -262,8 +321,8 @@ def learn(docs: DataFrame) -> Model:
                     kinds.append(kind)
                     values.append(raw[off[d] + at:off[d] + end])
                     held.update(range(int(off[d]) + at, int(off[d]) + end))
-            for s, e in zip(*_runs(batch.data, _RUN_BYTES, off, RUN)):
-                if int(s) not in held and int(e) - 1 not in held:
+            for s, e in zip(*(x.tolist() for x in _candidates(batch, LEAST))):
+                if s not in held and e - 1 not in held and not _mixed(raw[s:e]):
                     kinds.append("ordinary")
                     values.append(raw[s:e])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())],
@@ -276,7 +335,7 @@ def learn(docs: DataFrame) -> Model:
     for kind in (*KINDS[:3], "ordinary"):
         limit = LABELLED * (4 if kind == "ordinary" else 1)
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(limit).collect()
-        values[kind] = [bytes(r.value)[:256] for r in rows]
+        values[kind] = [bytes(r.value) for r in rows]
     ordinary = values.pop("ordinary")
     return Model(values, ordinary)
 
@@ -286,8 +345,9 @@ def secret_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     points, by start and then kind.
 
     Null text counts as empty.  Repeated rows get equal results.  Overlapping
-    base spans of different kinds all stay; a ``grammar`` span that touches a
-    base span is not added.
+    base spans of different kinds all stay; a ``grammar`` span that lies inside
+    a base span is not added, one that reaches beyond it is.  Very long texts
+    are scanned whole.
     """
     model = learn(docs) if model is None else model
 
