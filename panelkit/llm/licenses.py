@@ -1,7 +1,7 @@
 """License scan: MinHash bands over overlapping text windows.
 
 A document's words (lower case, letters and digits) are cut into windows of
-``WINDOW`` words that overlap by half.  Templates are cut into pieces of at
+``SPAN`` shingles that overlap by half.  Templates are cut into pieces of at
 most half a window, so every piece lies whole inside some window.  Windows
 and pieces are compared by one-row MinHash bands; a band match retrieves the
 template, and exact containment of the template's shingles, counted in the
@@ -10,8 +10,8 @@ document around the window, decides.
 Shingles are five words; a template of fewer words is one shingle of its own
 length, and those documents' shingles are taken at that width too.  With
 BANDS one-row bands a window that holds a piece with Jaccard similarity s is
-retrieved with probability 1 - (1 - s) ** BANDS: a 7-word notice in a 16-word
-window has s >= 3/12, hence 0.9999.
+retrieved with probability 1 - (1 - s) ** BANDS: a notice of a single shingle
+has s >= 1 / SPAN, hence 0.99999, and a longer one has several chances.
 
 A window without a template shingle can match no band (a one-row band's
 value is itself a shingle), and a shingle is only there if its longest word
@@ -23,15 +23,18 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import doc_key, let
 from panelkit.session import scratch_path
 
-SHINGLE, WINDOW, BANDS, MIN_PERCENT = 5, 16, 32, 75
-# A notice shorter than a window must be there whole: its versions differ in
-# one word.  Other wordings are templates of their own.
+SHINGLE, SPAN, BANDS, MIN_PERCENT, SHORT = 5, 4, 40, 75, 16
+# A notice of fewer than SHORT words must be there whole: versions differ in the last
+# word ("... version 2", "... version 3"), which leaves three of four shingles.
+# Other wordings are templates of their own.
 
 # Public license notices.
 TEMPLATES = {
@@ -79,7 +82,7 @@ _NAMES = {
     "Artistic-2.0": ("Artistic License 2.0", "Artistic-2.0"),
     "EPL-1.0": ("Eclipse Public License v1.0", "Eclipse Public License 1.0", "EPL-1.0"),
     "EPL-2.0": ("Eclipse Public License v2.0", "Eclipse Public License v. 2.0", "Eclipse Public License 2.0", "EPL-2.0"),
-    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License Version 2.0",
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License v. 2.0", "Mozilla Public License Version 2.0",
                 "MPL 2.0", "MPL-2.0"),
     "CC0-1.0": ("CC0", "CC0 1.0", "CC0-1.0", "Creative Commons Zero"),
     **{f"{short}-{v}.0": tuple(
@@ -100,15 +103,19 @@ _NAMES = {
                           ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
                           ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in (3, 4)},
 }
-_PHRASES = ("under {}", "under the {}", "under a {}", "under the terms of the {}", "SPDX-License-Identifier {}",
-            "subject to the terms of the {}")
+# What may stand before a name that says itself that it is a license, and
+# before a short one, which is an ordinary word elsewhere ("under MIT rules").
+_PHRASES = ("under {}", "under the {}", "under a {}", "terms of the {}", "SPDX-License-Identifier {}")
+_SHORT_PHRASES = tuple(f"{verb} under {article}{{}}" for verb in ("licensed", "released", "distributed", "available")
+                       for article in ("", "the ", "a ")) + ("SPDX-License-Identifier {}",)
 
 # Sentences of the license texts and of their standard headers, each a piece
 # that stands alone: files often hold a part of a text.
 _TEXTS = {
     "MIT-notice": ("The above copyright notice and this permission notice shall be included in all copies or "
                    "substantial portions of the Software",),
-    "MIT-permission": ("and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "MIT-permission": ("Permission is hereby granted, free of charge, to any person obtaining a copy",
+                       "and to permit persons to whom the Software is furnished to do so, subject to the following "
                        "conditions",),
     "MIT-warranty": (
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
@@ -189,11 +196,17 @@ _TEXTS = {
 }
 
 
+def _phrases(name: str) -> tuple[str, ...]:
+    """A name of four words and more ("CC BY-SA 4.0") is clear by itself."""
+    clear = "licen" in name.lower() or len([w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]) >= 4
+    return _PHRASES if clear else _SHORT_PHRASES
+
+
 def all_templates() -> dict[str, str]:
     """Every wording; those of one notice differ after ``#``."""
     found = dict(TEMPLATES)
     for name, names in _NAMES.items():
-        for k, wording in enumerate(p.format(n) for n in names for p in _PHRASES):
+        for k, wording in enumerate(p.format(n) for n in names for p in _phrases(n)):
             found[f"{name}#n{k}"] = wording
     for name, pieces in _TEXTS.items():
         found |= {f"{name}#t{k}": piece for k, piece in enumerate(pieces)}
@@ -201,8 +214,10 @@ def all_templates() -> dict[str, str]:
 
 
 def notice_words(text: Column) -> Column:
-    """Lower-case words: runs of digits, letters a-z and non-ASCII characters."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    """Lower-case words: runs of digits, letters a-z and non-ASCII characters;
+    "licence" and "licenced" are spelt with an s."""
+    spelt = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\\blicence(d?)\\b", "license$1")
+    return F.array_remove(F.split(spelt, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def shingles(words: Column, width: int) -> Column:
@@ -237,11 +252,10 @@ def template_table(spark: SparkSession, templates: dict[str, str], width: int) -
 
 def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reach: int) -> DataFrame:
     """name, doc_id, key, start, percent of the verified places."""
-    stride = WINDOW // 2
+    span, stride = SPAN, (width + SPAN - 1) // 2        # shingles of a window; words between windows
     known = F.split(F.lit(" ".join(map(str, lookup))), " ").cast("array<bigint>")   # folded to one literal
     held = docs.select("doc_id", "key", shingles(F.col("ws"), width).alias("all")) \
         .where(F.arrays_overlap("all", known))
-    span = WINDOW - width + 1                       # shingles of one window
 
     def windows_of(grams):
         starts = F.sequence(F.lit(0), F.size(grams) - 1, F.lit(stride))
@@ -254,9 +268,9 @@ def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reac
     windows = held.select("doc_id", "key", F.explode(let(F.col("all"), windows_of)).alias("w"))
     bands = windows.select("doc_id", "key", "w.at", "w.lo", "w.near",
                            F.posexplode(_minhash(F.col("w.grams"))).alias("band", "value"))
+    step = max(1, stride // 2)
     piece = temps.select("name", "m", "grams", "ws", F.explode(F.sequence(
-        F.lit(0), F.greatest(F.lit(0), F.floor((F.col("m") - 1) / (stride // 2))) * (stride // 2),
-        F.lit(stride // 2)).cast("array<int>")).alias("from")) \
+        F.lit(0), F.greatest(F.lit(0), F.floor((F.col("m") - 1) / step)) * step, F.lit(step)).cast("array<int>")).alias("from")) \
         .withColumn("part", shingles(F.slice("ws", F.col("from") + 1, stride + 1), width)) \
         .where(F.size("part") > 0)
     piece_bands = piece.select("name", "m", F.col("grams").alias("t_grams"),
@@ -272,7 +286,7 @@ def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reac
     first = F.array_min(F.filter(F.transform("t_grams", lambda g: F.array_position(region, g)), lambda p: p > 0))
     return found.select("doc_id", "key", "name", "m", share.alias("percent"),
                         (F.col("lo") + skip + first - 1).cast("int").alias("start")) \
-        .where(F.col("percent") >= F.when(F.col("m") < WINDOW, 100).otherwise(MIN_PERCENT)).drop("m")
+        .where(F.col("percent") >= F.when(F.col("m") < SHORT, 100).otherwise(MIN_PERCENT)).drop("m")
 
 
 def _needed_words(spark: SparkSession, templates: dict[str, str]) -> list[str]:
