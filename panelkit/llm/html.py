@@ -4,15 +4,23 @@ Every block element of a page is a node with a hidden label, content or
 boilerplate.  A node's own features (element kind, length and link share of
 its own text) give its unary potential, and the edge to its parent gives a
 pairwise potential that depends on the node's name type: named like
-boilerplate, named like content, or neither.  Sum-product message passing,
-once up and once down the tree, yields each node's marginal; the text runs of
-nodes more likely content than not are the result.
+boilerplate, below such a name, named like content, or none of these.
+Sum-product message passing, once up and once down the tree, yields each
+node's marginal; the text runs of nodes more likely content than not are the
+result.
 
 Both potentials are learned from labelled pages: pages that mark their
-article.  Nodes inside an ``article`` or ``main`` element and not below a
-boilerplate name are content.  The learner sees about ``LABELLED_PAGES``
-hash-chosen pages as distributed counts of (features, label) and of (type,
-parent label, label), a table whose size does not depend on the input.
+article.  Nodes inside an ``article`` or ``main`` element and not at or below a
+boilerplate name are content.  Such a page is counted twice, as it is and with
+its marks hidden (``article`` and content names taken as plain blocks), which
+gives the pairwise potentials of pages without marks, where content has to
+show by its text.  The learner sees about ``LABELLED_PAGES`` hash-chosen pages
+as distributed counts of (features, label) and of (marked, type, parent label,
+label), a table whose size does not depend on the input.
+
+Names are words of class, id and role, and element names.  Inside a marked
+article only element names and whole class or role tokens count, and headings
+have no name: ``<section id="related-work">`` is part of the article.
 """
 
 from __future__ import annotations
@@ -48,14 +56,21 @@ KINDS = {"p": 0, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1, "ul": 2,
          "div": 4, "section": 4, "article": 4, "main": 4, "blockquote": 5, "pre": 5, "td": 6, "tr": 6, "table": 6}
 N_KINDS, N_LENGTHS, N_LINKS = 8, 5, 3
 N_FEATURES = N_KINDS + N_LENGTHS + N_LINKS + 1
-NEUTRAL, BOILERPLATE, MARKED = 0, 1, 2           # name types
-CLIP = 1.0                                       # bound of a unary log-odds
-NEUTRAL_NOISE, NAMED_LOG = 0.02, 60.0            # of the pairwise potentials
+NEUTRAL, BOILERPLATE, MARKED, WITHIN = 0, 1, 2, 3      # name types; WITHIN: below a boilerplate name
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Bound of a unary log-odds on pages with marks, which say more than a single
+# block's text does, and on pages without.
+CLIP = {True: 1.0, False: 2.5}
+NEUTRAL_NOISE = 0.02                             # least chance that a nameless block differs from its parent
+# Pseudo-counts (content, boilerplate) by type and parent label: what names
+# mean where no labelled page says.
+PRIOR = {NEUTRAL: ((1, 3), (9, 1)), BOILERPLATE: ((1, 99), (1, 99)), MARKED: ((9, 1), (9, 1)), WITHIN: ((1, 99), (9, 1))}
+ROOT_LOG = 60.0                                  # the root is no content
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>""",
     re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CLOSES_P = BLOCK - {"button", "label"}
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -163,18 +178,26 @@ class Page:
         flush()
 
     def _type(self, name: str, attributes: str, parent: int) -> tuple[int, bool]:
-        words = {name}
-        if attributes:
+        words, inside = {name}, self.marked[parent]
+        if attributes and not (inside and name in HEADINGS):
             for m in _NAMES.finditer(attributes):
-                words.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        inside = self.marked[parent]
+                value = (m[2] or m[3] or m[4] or "").lower()
+                if not inside:
+                    words.update(_WORD.findall(value))
+                elif m[1].lower() != "id":
+                    words.update(value.split())
         if inside:
             words.discard("header")            # an article's own heading
         marked = inside or name in ("article", "main")
         if words & BOILER and name not in ("html", "body", "main", "article"):
             return BOILERPLATE, marked
+        if self.kind[parent] in (BOILERPLATE, WITHIN):
+            return WITHIN, marked
         return (MARKED if words & CONTENT and name not in ("html", "body") else NEUTRAL), marked
 
+    def has_marks(self) -> bool:
+        return MARKED in self.kind
+
     def features(self) -> list[int]:
         """Bit mask of every node's features."""
         out = []
@@ -191,7 +214,7 @@ class Page:
             return None
         out: list[bool] = []
         for k, (parent, tag, type_) in enumerate(zip(self.parent, self.tag, self.kind)):
-            out.append(type_ != BOILERPLATE and (tag in ("article", "main") or (k > 0 and out[parent])))
+            out.append(type_ not in (BOILERPLATE, WITHIN) and (tag in ("article", "main") or (k > 0 and out[parent])))
         return out
 
 
@@ -213,36 +236,35 @@ def _logistic(rows: list[tuple[int, bool, int]]) -> np.ndarray:
 class TreeModel:
     """Potentials, and the marginals they give on a page."""
 
-    def __init__(self, nodes: list[tuple[int, bool, int]], edges: dict[tuple[int, bool, bool], int]):
+    def __init__(self, nodes: list[tuple[int, bool, int]], edges: dict[tuple[bool, int, bool, bool], int]):
         self._weights = _logistic(nodes)
         self._unary: dict[int, float] = {}
-        # log-odds of content against boilerplate for a child, by type and
-        # parent label; never-seen named cases are all but ruled out.
-        self.pair = np.zeros((3, 2, 2))
-        for type_ in range(3):
-            for parent in (0, 1):
-                yes, no = edges.get((type_, bool(parent), True), 0), edges.get((type_, bool(parent), False), 0)
-                if type_ == NEUTRAL:
-                    p = (yes + 1) / (yes + no + 2)
-                    p = NEUTRAL_NOISE + (1 - 2 * NEUTRAL_NOISE) * p
-                    self.pair[type_, parent] = math.log(1 - p), math.log(p)
-                else:
-                    likely = 1 if (yes > no or (yes == no and type_ == MARKED)) else 0
-                    self.pair[type_, parent, 1 - likely] = -NAMED_LOG
-
-    def unary(self, mask: int) -> float:
-        known = self._unary.get(mask)
-        if known is None:
-            z = sum(w for k, w in enumerate(self._weights) if mask >> k & 1)
-            known = self._unary[mask] = max(-CLIP, min(CLIP, z))
-        return known
+        # log P(label | type, parent label), for pages with and without marks.
+        self.pair = {marked: np.zeros((4, 2, 2)) for marked in (False, True)}
+        for marked, table in self.pair.items():
+            for type_, priors in PRIOR.items():
+                for parent, (a, b) in enumerate(priors):
+                    yes, no = (edges.get((marked, type_, bool(parent), label), 0) for label in (True, False))
+                    p = (yes + a) / (yes + no + a + b)
+                    if type_ == NEUTRAL:
+                        p = NEUTRAL_NOISE + (1 - 2 * NEUTRAL_NOISE) * p
+                    table[type_, parent] = math.log(1 - p), math.log(p)
+
+    def unary(self, mask: int, type_: int, marked: bool) -> float:
+        """Log-odds of content by the node's own text.  What a block that is
+        named boilerplate says for itself does not count, only against it."""
+        z = self._unary.get(mask)
+        if z is None:
+            z = self._unary[mask] = float(sum(w for k, w in enumerate(self._weights) if mask >> k & 1))
+        z = max(-CLIP[marked], min(CLIP[marked], z))
+        return min(z, 0.0) if type_ in (BOILERPLATE, WITHIN) else z
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of every node, by sum-product up and down the tree."""
-        n, parent, kind = len(page.parent), page.parent, page.kind
-        pair = self.pair.tolist()
-        up = [[0.0, self.unary(mask)] for mask in page.features()]       # node and subtree
-        up[0][1] -= NAMED_LOG                                            # the root is no content
+        n, parent, kind, marked = len(page.parent), page.parent, page.kind, page.has_marks()
+        pair = self.pair[marked].tolist()
+        up = [[0.0, self.unary(mask, t, marked)] for mask, t in zip(page.features(), kind)]      # node and subtree
+        up[0][1] -= ROOT_LOG
         sent = [None] * n
         for k in range(n - 1, 0, -1):
             (b, c), table = up[k], pair[kind[k]]
@@ -291,8 +313,10 @@ def learn(pages: DataFrame) -> TreeModel:
                     continue
                 for k, (mask, label) in enumerate(zip(page.features(), labels)):
                     if k:
+                        type_, above = page.kind[k], labels[page.parent[k]]
                         seen[(0, mask, label)] += 1
-                        seen[(1, page.kind[k] * 2 + labels[page.parent[k]], label)] += 1
+                        seen[(1, 8 + type_ * 2 + above, label)] += 1
+                        seen[(1, (NEUTRAL if type_ == MARKED else type_) * 2 + above, label)] += 1
             rows = [(a, b, c, n) for (a, b, c), n in seen.items()]
             cols = list(zip(*rows)) if rows else [[]] * 4
             types = [pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
@@ -301,7 +325,7 @@ def learn(pages: DataFrame) -> TreeModel:
     counts = chosen.select("html").mapInArrow(run, "table int, key long, label boolean, n long") \
         .groupBy("table", "key", "label").agg(F.sum("n").alias("n")).collect()   # of bounded size
     nodes = sorted((r.key, r.label, r.n) for r in counts if r.table == 0)
-    edges = {(r.key // 2, bool(r.key % 2), r.label): r.n for r in counts if r.table == 1}
+    edges = {(r.key >= 8, r.key % 8 // 2, bool(r.key % 2), r.label): r.n for r in counts if r.table == 1}
     return TreeModel(nodes, edges)
 
 
@@ -310,7 +334,9 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
 
     Null or empty html gives empty text.  Unclosed, stray and unknown tags
     are tolerated; nothing is cut at any length.  Repeated rows get equal
-    results.  Without labelled pages the name types alone decide.
+    results; a null page_id or url stays null, and other columns are not
+    read.  Very long pages are parsed whole.  Without labelled pages the
+    priors of the name types decide, and pages without marks give nothing.
     """
     model = learn(pages) if model is None else model
 

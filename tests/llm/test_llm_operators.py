@@ -503,21 +503,84 @@ def test_html_extraction(spark):
     assert right == len(rows)
 
 
-def test_html_marginals_match_enumeration(spark):
+LONG = [f"Sentence {k} of a text that is long enough to be read as a paragraph, with commas, words and a full stop. " * 2
+        for k in range(4)]
+LONG = [" ".join(x.split()) for x in LONG]
+_MENU = '<nav><ul><li><a href="/a">a</a></li><li><a href="/b">b</a></li></ul></nav>'
+_FOOT = '<footer>&copy; site</footer>'
+# Pages without any mark, and articles whose parts are named like boilerplate.
+PROBES = {
+    "wrap": (f'<body>{_MENU}<div id="wrap"><h1>Head</h1><p>{LONG[0]}</p><p>{LONG[1]}</p></div>{_FOOT}</body>',
+             ["Head", LONG[0], LONG[1]]),
+    "table": (f'<body>{_MENU}<table><tr><td><a href="/x">x</a></td><td><p>{LONG[0]}</p><p>{LONG[1]}</p></td></tr></table>'
+              f'{_FOOT}</body>', [LONG[0], LONG[1]]),
+    "divs": (f'<body>{_MENU}<div>{LONG[0]}</div><div>{LONG[1]}</div>{_FOOT}</body>', [LONG[0], LONG[1]]),
+    "related": (f'<body>{_MENU}<article><p>{LONG[0]}</p><section id="related-work"><h2>Related</h2><p>{LONG[1]}</p></section>'
+                f'</article>{_FOOT}</body>', [LONG[0], "Related", LONG[1]]),
+    "heading": (f'<body><article><h2 id="search-results" class="search">Results</h2><p>{LONG[0]}</p></article></body>',
+                ["Results", LONG[0]]),
+    "token": (f'<body><article><div class="social-history"><p>{LONG[0]}</p></div><div class="comments"><p>{LONG[1]}</p>'
+              f'<p>{LONG[2]}</p><p>{LONG[3]}</p></div></article></body>', [LONG[0]]),
+    "named": (f'<body><div class="site-comments"><p>{LONG[0]}</p><p>{LONG[1]}</p><p>{LONG[2]}</p></div><div><p>{LONG[3]}</p></div>'
+              f'<ul><li><a href="/q">q</a></li><li><a href="/r">r</a></li></ul></body>', [LONG[3]]),
+}
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return html.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("probe", sorted(PROBES))
+def test_html_without_marks(page_model, probe):
+    source, want = PROBES[probe]
+    assert page_model.text(source) == "\n".join(want)
+
+
+def test_html_with_hidden_marks(spark, page_model):
+    """Held-out accuracy where the given pages' articles are plain blocks:
+    nearly all of the article, and nothing else."""
+    import re
+    whole = part = extra = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = page_model.text(r.html).split("\n")
+        hidden = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        got = page_model.text(hidden).split("\n")
+        whole += got == want
+        part += len(set(want) & set(got)) / len(set(want))
+        extra += len(set(got) - set(want) - {""})
+    assert whole >= 225 and part >= 240 and extra <= 10, (whole, part, extra)
+
+
+def test_html_repeats_nulls_and_long_pages(spark, page_model):
+    big = f"<article>{''.join(f'<p>paragraph {k} {LONG[0]}</p>' for k in range(20_000))}</article>"
+    rows = [(1, "u", PROBES["wrap"][0], "q"), (1, "u", PROBES["wrap"][0], "q"), (None, None, PROBES["divs"][0], "q"), (3, "v", big, "q")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
+    out = html.extract(df, page_model)
+    assert out.columns == ["page_id", "url", "text"]
+    got = sorted((r.page_id or 0, r.url, len(r.text.split("\n"))) for r in out.collect())
+    assert got == [(0, None, 2), (1, "u", 3), (1, "u", 3), (3, "v", 20_000)]
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_marginals_match_enumeration(marked):
     """Sum-product equals summing over all labellings of a small tree."""
     from itertools import product
     model = html.TreeModel([(1, True, 5), (2, False, 5), (3, True, 2)], {
-        (0, True, True): 9, (0, False, False): 9, (0, True, False): 2, (1, False, False): 4, (2, False, True): 4})
-    page = html.Page("<body><div><p>aaaa</p><p>b</p></div><article>cc<p>d</p></article>")
+        (marked, 0, True, True): 9, (marked, 0, False, False): 9, (marked, 0, True, False): 2,
+        (marked, 1, False, False): 4, (marked, 2, False, True): 4})
+    top = "article" if marked else "section"
+    page = html.Page(f'<body><div><p>aaaa</p><p>b</p></div><{top}>cc<p>d</p></{top}><div class="ad"><p>e</p></div>')
+    assert page.has_marks() == marked
     got, n = model.marginals(page), len(page.parent)
     masks = page.features()
     total, content = 0.0, np.zeros(n)
     for labels in product((0, 1), repeat=n):
-        s = -html.NAMED_LOG * labels[0]
+        s = -html.ROOT_LOG * labels[0]
         for k in range(n):
-            s += model.unary(masks[k]) * labels[k]
+            s += model.unary(masks[k], page.kind[k], marked) * labels[k]
             if k:
-                s += model.pair[page.kind[k], labels[page.parent[k]], labels[k]]
+                s += model.pair[marked][page.kind[k], labels[page.parent[k]], labels[k]]
         total += np.exp(s)
         content += np.exp(s) * np.array(labels)
     assert np.allclose(got[1:], (content / total)[1:])
