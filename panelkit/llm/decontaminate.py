@@ -112,7 +112,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
     Null or empty text has no words and no hit; null or empty items give no
     window; items without an id hit but are not listed.  Repeated document
-    rows get equal results, repeated items count once.  Empty tables are fine.
+    rows get equal results, repeated items count once.  Texts of any length
+    are searched whole.  An empty table of documents gives no rows, one of
+    items no hits; other columns are not read.  Windows are compared by 128
+    hash bits.
     """
     path = scratch_path(docs.sparkSession, "windows-hits")      # small, and read twice
     window_hits(docs, items, width).select(

@@ -32,6 +32,7 @@ from panelkit.llm.common import doc_key, let
 from panelkit.session import scratch_path
 
 SHINGLE, SPAN, BANDS, MIN_PERCENT, SHORT = 5, 4, 40, 75, 16
+BROADCAST_SHINGLES = 50_000     # template shingles up to which the bands are broadcast (about 100 MB)
 # A notice of fewer than SHORT words must be there whole: versions differ in the last
 # word ("... version 2", "... version 3"), which leaves three of four shingles.
 # Other wordings are templates of their own.
@@ -250,7 +251,7 @@ def template_table(spark: SparkSession, templates: dict[str, str], width: int) -
         "name", F.size("ws").alias("m"), "ws", F.array_distinct(shingles(F.col("ws"), width)).alias("grams"))
 
 
-def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reach: int) -> DataFrame:
+def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reach: int, shingled: int) -> DataFrame:
     """name, doc_id, key, start, percent of the verified places."""
     span, stride = SPAN, (width + SPAN - 1) // 2        # shingles of a window; words between windows
     known = F.split(F.lit(" ".join(map(str, lookup))), " ").cast("array<bigint>")   # folded to one literal
@@ -278,7 +279,8 @@ def _scan(docs: DataFrame, temps: DataFrame, lookup: list[int], width: int, reac
         .dropDuplicates(["name", "band", "value"])
     # Verified where they are found: the near shingles are never shuffled,
     # and equal places fall together in license_places.
-    found = bands.join(F.broadcast(piece_bands), ["band", "value"])
+    side = F.broadcast(piece_bands) if shingled <= BROADCAST_SHINGLES else piece_bands
+    found = bands.join(side, ["band", "value"])
     # Count the template's shingles in the document around the window.
     skip = F.greatest(F.lit(0), F.col("at") - F.col("m")) - F.col("lo")
     region = F.slice("near", skip + 1, F.col("at") - F.col("lo") - skip + span + F.col("m"))
@@ -319,7 +321,7 @@ def license_places(docs: DataFrame, templates: dict[str, str] | None = None) ->
         if not fixed:
             continue
         lookup = sorted({g for r in fixed for g in r.grams})
-        part = _scan(words, temps, lookup, width, max(r.m for r in fixed))
+        part = _scan(words, temps, lookup, width, max(r.m for r in fixed), sum(len(r.grams) for r in fixed))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return words.select("doc_id", "key", F.lit("").alias("name"), F.lit(0.0).alias("percent"),

@@ -45,7 +45,8 @@ def line_dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     n_chars to match), plus n_lines (lines with a word) and n_removed, which
     replace columns of those names.
 
-    Documents with fewer than three lines have no window.  Null text stays
+    Documents with fewer than three lines have no window; texts of any length
+    are taken whole, and an empty table gives no rows.  Null text stays
     null.  Rows with equal doc_id and text are one document and get equal
     results; ties between equal doc_ids are broken by the text's hash.
     A document may end up with no line; it stays, with empty text, unless

@@ -136,7 +136,8 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST,
     ``kept`` is false when the base rules fail, or when the words left after
     removing frequent lines are under ``min_remaining`` percent.  Null text
     counts as empty (rejected).  Null hosts form one host.  Repeated rows get
-    equal results and count as one document.  An empty table gives no rows.
+    equal results and count as one document.  Texts of any length are judged
+    whole.  An empty table gives no rows; other columns are not read.
     """
     out = _with_removed(document_stats(docs), docs, max_docs).withColumn(
         "n_removed_words", F.coalesce(F.aggregate(
