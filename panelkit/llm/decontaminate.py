@@ -5,8 +5,8 @@ item of fewer words is one window).  The words of a window are ordered by
 rarity over all documents, and the rarest one is the necessary prefix: a
 document holds the window only if it holds that word, at least ``offset``
 words from its start and far enough from its end.  Documents are joined on
-that word, and each candidate place is verified word by word.  DataFrame
-functions only.  The window side is broadcast when its counted rows allow,
+that word, and each candidate place is verified by 128 hash bits of its words.
+DataFrame functions only.  The window side is broadcast when its counted rows allow,
 and both sides are shuffled otherwise.
 """
 
