@@ -22,6 +22,13 @@ near-duplicate classes.
    holds an unbounded group and a group of near copies costs one comparison
    each.
 5. Components of the verified links give the classes.
+
+With ``count_links`` every pair that the traversal leaves is verified, also of
+nodes that are connected already, and each node's links are summed in the task
+that verifies them, weighted by the number of documents behind the other node;
+so links are counted without being listed.  Blocks are then cut into pieces by
+hash and all pairs of pieces meet, which costs the square of a block: that is
+how many links there can be.  Without it, a class costs one comparison a node.
 """
 
 from __future__ import annotations
@@ -41,6 +48,8 @@ from panelkit.session import scratch_path
 SHINGLE, NUM, DEN = 5, 75, 100         # words of a shingle; the threshold NUM / DEN
 BANDS, ROWS = 38, 3
 BLOCK, LEAF, PIVOTS = 2000, 16, 6
+PAIR_COST = 400_000                    # multiplications worth as much as one comparison of two sets
+TOKEN_SLICE, PAIRS_AT_ONCE = 2048, 1 << 20
 BROADCAST_BLOCKS = 100_000
 _U64 = np.uint64
 _rng = np.random.default_rng(75)
@@ -95,6 +104,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "node", "keys"])
 
 
+_SETS = "node long, block long, weight long, tokens binary"
+_FOUND = "a long, b long, n long"
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token sets of the nodes; a row whose text only shares the hash of the
     node's text is told apart by the set's fingerprint and left out."""
@@ -108,8 +121,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [tokens[a:b].tobytes() for a, b, m in zip(bounds[:-1], bounds[1:], mine) if m]
         kept = pa.array(mine)
         yield pa.RecordBatch.from_arrays(
-            [part.column("node").filter(kept), part.column("block").filter(kept), pa.array(raw, pa.binary())],
-            names=["node", "block", "tokens"])
+            [*(part.column(c).filter(kept) for c in ("node", "block", "weight")), pa.array(raw, pa.binary())],
+            names=["node", "block", "weight", "tokens"])
 
 
 class _Links:
@@ -167,8 +180,9 @@ def _possible(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
     return near
 
 
-def _traverse(left: _Tree, right: _Tree, sets: list[np.ndarray], links: _Links) -> None:
-    """Dual traversal; a tree against itself looks at each pair once."""
+def _candidates(left: _Tree, right: _Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Document pairs that the dual traversal leaves, a node pair's at a time;
+    a tree against itself gives each pair once."""
     same = left is right
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
@@ -187,52 +201,129 @@ def _traverse(left: _Tree, right: _Tree, sets: list[np.ndarray], links: _Links)
         ok = _possible(left.levels[na], gi, right.levels[nb], gj)
         gi, gj = gi[ok], gj[ok]
         if na == 0 and nb == 0:
-            da, db = left.order[gi], right.order[gj]
-            apart = links.comp[da] != links.comp[db]
-            for a, b in zip(da[apart].tolist(), db[apart].tolist()):
-                if links.comp[a] != links.comp[b] and linked(sets[a], sets[b]):
-                    links.add(a, b)
+            if len(gi):
+                yield left.order[gi], right.order[gj]
         else:
             stack.extend((na, a, nb, b) for a, b in zip(gi.tolist(), gj.tolist()))
 
 
+def _traverse(left: _Tree, right: _Tree, sets: list[np.ndarray], links: _Links) -> None:
+    """Links between documents that are not connected yet."""
+    for da, db in _candidates(left, right):
+        apart = links.comp[da] != links.comp[db]
+        for a, b in zip(da[apart].tolist(), db[apart].tolist()):
+            if links.comp[a] != links.comp[b] and linked(sets[a], sets[b]):
+                links.add(a, b)
+
+
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection size of every pair (sets[a[k]], sets[b[k]]): pair by pair,
+    or for many pairs of few sets by products of 0/1 matrices, a slice of the
+    tokens at a time."""
+    rows, row_of = np.unique(a, return_inverse=True)
+    cols, col_of = np.unique(b, return_inverse=True)
+    tokens, token_of = np.unique(np.concatenate([sets[d] for d in [*rows, *cols]]), return_inverse=True)
+    if len(a) * PAIR_COST < len(rows) * len(cols) * len(tokens):
+        out = np.empty(len(a), np.int64)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = sorted((sets[x], sets[y]), key=len)
+            out[k] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return out
+    sizes = [len(sets[d]) for d in [*rows, *cols]]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(token_of, kind="stable")
+    owner, token_of = owner[order], token_of[order]
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, len(tokens), TOKEN_SLICE):
+        x, y = np.searchsorted(token_of, (lo, lo + TOKEN_SLICE))
+        held = np.zeros((len(sizes), TOKEN_SLICE), np.float32)
+        held[owner[x:y], token_of[x:y] - lo] = 1
+        both += held[:len(rows)] @ held[len(rows):].T
+    return both[row_of, col_of].astype(np.int64)
+
+
+def block_counts(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right: np.ndarray | None):
+    """Every document's links within ``left``, or between ``left`` and
+    ``right``, each worth the other's weight; and (document, document) edges
+    that connect what is linked."""
+    bits = _bits(sets)
+    a = _Tree(sets, _by_size(sets, left), bits)
+    b = a if right is None else _Tree(sets, _by_size(sets, right), bits)
+    size = np.array([len(s) for s in sets])
+    count, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+
+    def settle(da: np.ndarray, db: np.ndarray) -> None:
+        nonlocal label
+        both = overlaps(sets, da, db)
+        yes = DEN * both >= NUM * (size[da] + size[db] - both)
+        da, db = da[yes], db[yes]
+        np.add.at(count, da, weight[db])
+        np.add.at(count, db, weight[da])
+        while (label[da] != label[db]).any():
+            low = np.minimum(label[da], label[db])
+            for side in (da, db):
+                np.minimum.at(label, label[side], low)
+            label = label[label]
+    held, waiting = [], 0
+    for pair in _candidates(a, b):
+        held.append(pair)
+        waiting += len(pair[0])
+        if waiting >= PAIRS_AT_ONCE:
+            settle(*(np.concatenate(x) for x in zip(*held)))
+            held, waiting = [], 0
+    if held:
+        settle(*(np.concatenate(x) for x in zip(*held)))
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    return count, list(zip(joined.tolist(), label[joined].tolist()))
+
+
+def _bits(sets: list[np.ndarray]) -> int:
+    """Width of the token bitmaps: about two bits a token of the largest set."""
+    return min(max(64, 1 << int(2 * max(len(s) for s in sets) - 1).bit_length()), 1 << 15)
+
+
+def _by_size(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    return part[np.argsort([len(sets[d]) for d in part], kind="stable")]
+
+
 def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that connect the documents ``left`` among themselves, or with
     ``right`` when given; pairs that are connected already are not tested."""
-    links = _Links(len(sets))
-    most = max(len(s) for s in sets)
-    bits = max(64, 1 << int(2 * most - 1).bit_length())
-    bits = min(bits, 1 << 15)
-    by_size = lambda part: part[np.argsort([len(sets[d]) for d in part], kind="stable")]
+    links, bits = _Links(len(sets)), _bits(sets)
     # Most members of a block of copies link with its first document.
     if right is None and len(left) > 2:
         for d in left[1:].tolist():
             if linked(sets[left[0]], sets[d]):
                 links.add(int(left[0]), d)
-    a = _Tree(sets, by_size(left), bits)
-    b = a if right is None else _Tree(sets, by_size(right), bits)
+    a = _Tree(sets, _by_size(sets, left), bits)
+    b = a if right is None else _Tree(sets, _by_size(sets, right), bits)
     _traverse(a, b, sets, links)
     return links.found
 
 
-def _block_task(table: pa.Table) -> pa.Table:
-    """Links of every block piece pair in one task's rows."""
-    table = table.sort_by([("pair", "ascending")])
-    pair = table.column("pair").to_numpy()
-    node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
-    tokens = table.column("tokens").to_pylist()
-    head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else []
-    out_a, out_b = [], []
-    for lo, hi in zip(head, np.append(head[1:], len(pair)) if len(pair) else []):
-        sets = [np.frombuffer(t, np.uint64) for t in tokens[lo:hi]]
-        sides = side[lo:hi]
-        left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        if not len(left):
-            continue
-        for a, b in block_links(sets, left, right if len(right) else None):
-            out_a.append(node[lo + a])
-            out_b.append(node[lo + b])
-    return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+def _block_task(count_links: bool):
+    """Links of every block piece pair in one task's rows: (a, b, 0) connect,
+    and with ``count_links`` (a, a, n) says that a has n links there."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pair", "ascending")])
+        pair = table.column("pair").to_numpy()
+        node, side, weight = (table.column(c).to_numpy() for c in ("node", "side", "weight"))
+        tokens = table.column("tokens").to_pylist()
+        head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else []
+        rows: list[tuple[int, int, int]] = []
+        for lo, hi in zip(head, np.append(head[1:], len(pair)) if len(pair) else []):
+            sets = [np.frombuffer(t, np.uint64) for t in tokens[lo:hi]]
+            left, right = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
+            if not len(left):
+                continue
+            if count_links:
+                count, found = block_counts(sets, weight[lo:hi], left, right if len(right) else None)
+                rows += [(int(node[lo + k]), int(node[lo + k]), int(count[k])) for k in np.flatnonzero(count).tolist()]
+            else:
+                found = block_links(sets, left, right if len(right) else None)
+            rows += [(int(node[lo + a]), int(node[lo + b]), 0) for a, b in found]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], names=["a", "b", "n"])
+    return run
 
 
 def _pivot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,19 +371,21 @@ def _blocks(sketch: DataFrame) -> DataFrame:
     return components(edges)
 
 
-def node_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect the nodes."""
+def node_links(docs: DataFrame, sketch: DataFrame, count_links: bool = False) -> DataFrame:
+    """(a, b, n): links that connect the nodes (n = 0) and, with
+    ``count_links``, parts of each node's number of links (a = b)."""
     spark = docs.sparkSession
     blocks = _blocks(sketch)
     # The text of one document per node that shares a block.
-    reps = sketch.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")) \
+    reps = sketch.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"),
+                                                     F.count("*").alias("weight")) \
         .join(blocks.withColumnRenamed("node", "b_node"), F.col("node") == F.col("b_node")) \
         .select(F.col("rep.doc_id").alias("r_doc"), F.col("rep.text_key").alias("r_key"), F.col("node").alias("r_node"),
-                F.col("comp").alias("block"))
+                F.col("comp").alias("block"), "weight")
     path = scratch_path(spark, "jaccard-sets")
     _one_each(_source(docs), reps, sketch, ["r_node"]) \
-        .select(F.col("r_node").alias("node"), "block", "text") \
-        .mapInArrow(_set_rows, "node long, block long, tokens binary").write.parquet(path)
+        .select(F.col("r_node").alias("node"), "block", "weight", "text") \
+        .mapInArrow(_set_rows, _SETS).write.parquet(path)
     sets = spark.read.parquet(path)
     sizes = sets.groupBy("block").agg(F.count("*").alias("size"))
     large = sizes.where(F.col("size") > BLOCK)
@@ -303,13 +396,37 @@ def node_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     n_small = sizes.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 0
     tasks = max(1, -(-n_small // BLOCK))
     links = small.select(F.pmod(F.xxhash64("block"), F.lit(tasks)).alias("task"), F.col("block").alias("pair"),
-                         "node", F.lit(0).alias("side"), "tokens") \
-        .groupBy("task").applyInArrow(_block_task, "a long, b long")
+                         "node", F.lit(0).alias("side"), "weight", "tokens") \
+        .groupBy("task").applyInArrow(_block_task(count_links), _FOUND)
     if n_large:
-        links = links.unionByName(_large_links(sets, large))
+        links = links.unionByName(_all_pieces(sets, large) if count_links else _large_links(sets, large))
     return links
 
 
+def _met(pieces: DataFrame, pairs: DataFrame, count_links: bool) -> DataFrame:
+    """Links of pairs (piece, other) of pieces, a task each."""
+    pairs = pairs.withColumn("pair", F.xxhash64("piece", "other"))
+    sides = pairs.select("pair", F.col("piece").alias("s_piece"), F.lit(0).alias("side")).unionByName(
+        pairs.where("piece <> other").select("pair", F.col("other").alias("s_piece"), F.lit(1).alias("side")))
+    return pieces.join(sides, F.col("piece") == F.col("s_piece")) \
+        .select(F.col("pair").alias("task"), "pair", "node", "side", "weight", "tokens") \
+        .groupBy("task").applyInArrow(_block_task(count_links), _FOUND)
+
+
+def _all_pieces(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """All pairs of nodes of blocks of more than BLOCK nodes, by pairs of
+    pieces.  Pairs inside a piece meet in the pair of the piece with itself
+    and nowhere else, so every pair of nodes is seen once."""
+    pieces = sets.join(large, "block").withColumn("piece", F.xxhash64("block", F.pmod(
+        F.xxhash64("node", F.lit(2)), F.ceil(F.col("size") / BLOCK))))
+    listed = pieces.select("block", "piece").distinct()
+    other = listed.select(F.col("block").alias("o_block"), F.col("piece").alias("other"))
+    pairs = listed.join(other, (F.col("block") == F.col("o_block")) & (F.col("piece") < F.col("other"))).select("piece", "other")
+    alone = listed.select("piece", F.col("piece").alias("other"))
+    inside, across = _met(pieces, alone, True), _met(pieces, pairs, True)
+    return inside.unionByName(across)
+
+
 def _large_links(sets: DataFrame, large: DataFrame) -> DataFrame:
     """Links of blocks of more than BLOCK nodes: pivots, then piece pairs."""
     mine = sets.join(large, "block")
@@ -340,34 +457,39 @@ def _large_links(sets: DataFrame, large: DataFrame) -> DataFrame:
                           F.col("piece").alias("other"))
     # Pieces of one block meet unless they belong to the same linked group.
     pairs = listed.join(other, (F.col("block") == F.col("o_block")) & (F.col("piece") <= F.col("other"))
-                        & ~F.coalesce(F.col("group") == F.col("o_group"), F.lit(False))) \
-        .select("piece", "other", F.xxhash64("piece", "other").alias("pair"))
-    sides = pairs.select("pair", F.col("piece").alias("s_piece"), F.lit(0).alias("side")).unionByName(
-        pairs.where("piece <> other").select("pair", F.col("other").alias("s_piece"), F.lit(1).alias("side")))
-    met = pieces.join(sides, F.col("piece") == F.col("s_piece")) \
-        .select(F.col("pair").alias("task"), "pair", "node", "side", "tokens") \
-        .groupBy("task").applyInArrow(_block_task, "a long, b long")
-    return stars.select("a", "b").unionByName(met)
+                        & ~F.coalesce(F.col("group") == F.col("o_group"), F.lit(False))).select("piece", "other")
+    return stars.select("a", "b", F.lit(0).cast("long").alias("n")).unionByName(_met(pieces, pairs, False))
 
 
-def _classes(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, sketch: DataFrame, count_links: bool = False) -> DataFrame:
     """The documents with words: doc_id, text_key, n, comp (a node of the
-    class) and component_id."""
-    links = components(node_links(docs, sketch)).select(F.col("node").alias("l_node"), "comp")
-    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    class), component_id and, with ``count_links``, n_links."""
+    found = node_links(docs, sketch, count_links)
+    if count_links:
+        path = scratch_path(docs.sparkSession, "jaccard-links")      # read for classes and for counts
+        found.write.parquet(path)
+        found = docs.sparkSession.read.parquet(path)
+    links = components(found.where("n = 0")).select(F.col("node").alias("l_node"), "comp")
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     named = nodes.join(links, F.col("node") == F.col("l_node"), "left") \
         .withColumn("comp", F.coalesce("comp", "node"))
+    if count_links:
+        counts = found.where("n > 0").groupBy(F.col("a").alias("n_node")).agg(F.sum("n").alias("n_links"))
+        named = named.join(counts, F.col("node") == F.col("n_node"), "left") \
+            .withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1)
     least = named.groupBy("comp").agg(F.min("least").alias("component_id")) \
         .withColumnRenamed("comp", "c_comp")
-    owner = named.select(F.col("node").alias("o_node"), "comp").join(least, F.col("comp") == F.col("c_comp")) \
-        .select("o_node", "comp", "component_id")
+    more = ["n_links"] if count_links else []
+    owner = named.select(F.col("node").alias("o_node"), "comp", *more).join(least, F.col("comp") == F.col("c_comp")) \
+        .select("o_node", "comp", "component_id", *more)
     return sketch.where("n > 0").join(owner, F.col("node") == F.col("o_node")) \
-        .select("doc_id", "text_key", "n", "comp", "component_id")
+        .select("doc_id", "text_key", "n", "comp", "component_id", *more)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
     """Every document row: doc_id, n_shingles, component_id (the smallest
-    doc_id reachable by links, itself included).
+    doc_id reachable by links, itself included) and, with ``count_links``,
+    n_links (documents that it links with, copies included).
 
     Texts without words have the empty set and link with nothing; a text of
     fewer than five words is one shingle.  Null doc_ids link like any other
@@ -375,9 +497,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are linked.  Very long texts are shingled whole.
     """
     sketch = sketches(docs)
-    full = _classes(docs, sketch).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    more = ["n_links"] if count_links else []
+    full = _classes(docs, sketch, count_links).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    none = [F.lit(0).cast("long").alias(c) for c in more]
     return full.unionByName(sketch.where("n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

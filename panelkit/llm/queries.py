@@ -149,8 +149,8 @@ def op8_secret_scan(spark, sf_dir):
 
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark, sf_dir):
-    """Near-duplicate class of every document."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    """Near-duplicate class and number of links of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
 
 
 @query("op10_lm_scoring")

@@ -69,6 +69,19 @@ def class_of(rows, num=75, den=100):
     return [root(i) for i in range(len(rows))]
 
 
+def link_counts(rows, num=75, den=100):
+    """Every row's number of links, in the rows' order."""
+    sets = [shingles(t) for _, t in rows]
+    out = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                out[i] += 1
+                out[j] += 1
+    return out
+
+
 def near_duplicates(rows):
     """[(doc_id, n_shingles, component_id)] in the rows' order."""
     classes, least = class_of(rows), {}

@@ -48,6 +48,46 @@ def test_near_duplicates(docs):
     assert sorted(got, key=key) == sorted(brute.near_duplicates(rows), key=key)
 
 
+def test_link_counts(docs):
+    """Links of every document, copies included, against all pairs."""
+    df, rows = docs
+    got = [tuple(r) for r in jaccard.near_duplicates(df, count_links=True).collect()]
+    want = [(*r, n) for r, n in zip(brute.near_duplicates(rows), brute.link_counts(rows))]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("block", [5, 2000])
+def test_link_counts_of_large_classes(spark, monkeypatch, block):
+    """Chains, copies and unlinked neighbours, with blocks cut into pieces
+    and in one; by pairs and by products."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}t{i}" for i in range(60)]
+        for _ in range(40):
+            ws = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                ws[int(rng.integers(60))] = f"u{rng.integers(10)}"
+            rows.append((len(rows), " ".join(ws)))
+            if rng.random() < 0.3:
+                rows.append((len(rows), " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((*r, n) for r, n in zip(brute.near_duplicates(rows), brute.link_counts(rows)))
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    assert max(w[3] for w in want) > 15 and min(w[3] for w in want) < 10
+    assert sorted(map(tuple, jaccard.near_duplicates(df, count_links=True).collect())) == want
+
+
+def test_overlaps_both_ways(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 400), dtype=np.uint64)) for _ in range(60)]
+    a, b = rng.integers(0, 60, 800), rng.integers(0, 60, 800)
+    want = [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)]
+    for cost in (0, 1 << 60):
+        monkeypatch.setattr(jaccard, "PAIR_COST", cost)
+        assert jaccard.overlaps(sets, a, b).tolist() == want
+
+
 def test_near_duplicates_large_blocks(spark, monkeypatch):
     """A block beyond BLOCK goes through pivots and piece pairs."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
