@@ -220,6 +220,45 @@ def test_profile_files_top_datasets(spark):
     assert set(every) == {"big", "small"} and every["small"] == 1
 
 
+def test_profile_files_equals_file_sizes(spark):
+    """Counts and bytes per dataset against the file system's own."""
+    import os
+    from panelkit.plans import registry
+    want = {}
+    for name in os.listdir(SF_SMALL):
+        path = os.path.join(SF_SMALL, name)
+        files = [path] if os.path.isfile(path) else [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs]
+        files = [f for f in files if f.endswith(".parquet")]
+        if files:
+            want[name] = (len(files), sum(map(os.path.getsize, files)))
+    rows = registry.QUERIES["profile_sources"](spark, SF_SMALL).collect()
+    assert {r.dataset: (r.n_files, r.total_bytes) for r in rows} == want
+    assert [r.total_bytes for r in rows] == sorted((b for _, b in want.values()), reverse=True)
+
+
+def test_plain_csv_equals_the_parser(spark):
+    import pytest
+    from panelkit import fixtures as fx
+    from panelkit.plans.storage import ITR_SCHEMA, MBS_SCHEMA, ITR_INC_SCHEMA
+    from panelkit.sources import readers
+    for view, schema in (("mbs", MBS_SCHEMA), ("itr", ITR_SCHEMA), ("itr_inc", ITR_INC_SCHEMA)):
+        path = scratch_path(spark, "plain-csv")
+        fx.view(spark, SF_SMALL, view).repartition(3).write.option("header", True).csv(path)
+        a, b = (f(spark, f"{path}/*.csv", schema) for f in (readers.read_csv, readers.read_plain_csv))
+        assert a.schema == b.schema
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and b.count() == fx.view(spark, SF_SMALL, view).count()
+    for text, fails in (("k,v\n1,x\n,\n2,\n", False), ('k,v\n1,"x"\n', True), ("k,v\n1,x,y\n", True), ("k,v\n1\n", True),
+                        ("k,v\noops,x\n", True), ("v,k\n1,x\n", True)):
+        path = scratch_path(spark, "plain-csv")
+        spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+        df = readers.read_plain_csv(spark, path, "k int, v string")
+        if fails:
+            with pytest.raises(Exception):
+                df.collect()
+        else:
+            assert [tuple(r) for r in df.collect()] == [(1, "x"), (None, None), (2, None)]
+
+
 def test_csv_fails_on_malformed_rows_unless_kept(spark):
     import pytest
     from panelkit.sources import readers
