@@ -360,6 +360,16 @@ def test_lm_scoring(docs):
     assert all(np.isfinite(g[6]) and g[6] < 0 for g in got)
 
 
+def test_lm_distinct_hashes():
+    rng = np.random.default_rng(1)
+    for bits, n in ((40, 5000), (63, 5000), (60, 10), (40, 0)):
+        keys = (rng.integers(0, 900, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) << np.uint64(64 - bits)
+        values, place = maxent._distinct(keys, bits)
+        want, inverse = np.unique(keys, return_inverse=True)
+        assert (values == want).all() and (place == inverse).all()
+    assert maxent.FEATURES * maxent.STEP_TOKENS < 1 << 32
+
+
 @pytest.mark.parametrize("rows", [[], [(2, "a b c")], [(2, "a b"), (7, None)], [(1, None)], [(1, "one text"), (None, "")]])
 def test_lm_small_inputs(spark, rows):
     """Empty tables, tables without training rows, and single texts."""
