@@ -175,17 +175,16 @@ def test_late_rows_find_their_place(spark):
     rng = random.Random(3)
     rows = [(rng.choice("abcd"), dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(200)), k,
              rng.choice(["x", "y", "z", None])) for k in range(400)]
-    drops: list = [[] for _ in range(5)]
+    drops: list = [[] for _ in range(4)]
     for r in rows:
         day = (r[1] - dt.date(2000, 1, 1)).days + rng.randrange(31)
-        drops[min(4, day // 46)].append(r)
+        drops[min(3, day // 57)].append(r)
     df = spark.createDataFrame(rows, ROWS).where("v IS NOT NULL")
     want = {tuple(r) for r in change_points(df, "person", ["day", "rec"], "v", "prev").collect()}
-    for chunk in (None, "auto"):
-        _, out = feed(spark, drops, 31, chunk)
-        assert out.where("late").count() == 0
-        got = [tuple(r)[:5] for r in out.collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    _, out = feed(spark, drops, 31, "auto")
+    assert out.where("late").count() == 0
+    got = [tuple(r)[:5] for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_later_than_allowed_is_flagged(spark):
