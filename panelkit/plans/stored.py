@@ -236,7 +236,7 @@ def _ten_batches(spark, sf, path: str):
 
 def _batch_rows(stp) -> int:
     """Rows of a file, so that a batch has several."""
-    return max(100, stp.count() // 40)
+    return max(100, stp.count() // 20)
 
 
 @query("append_reclustered", views=("stp",), sql="SELECT * FROM stp")
