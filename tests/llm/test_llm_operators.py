@@ -368,6 +368,11 @@ def test_lm_distinct_hashes():
         want, inverse = np.unique(keys, return_inverse=True)
         assert (values == want).all() and (place == inverse).all()
     assert maxent.FEATURES * maxent.STEP_TOKENS < 1 << 32
+    words = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for pool in (words, np.append(words, words[:5] ^ np.uint64(1)), words[:0]):      # with words that share the upper bits
+        h = rng.choice(pool, 4000) if len(pool) else pool
+        for got, want in zip(maxent._words(h), np.unique(h, return_index=True, return_inverse=True)):
+            assert (got == want).all()
 
 
 @pytest.mark.parametrize("rows", [[], [(2, "a b c")], [(2, "a b"), (7, None)], [(1, None)], [(1, "one text"), (None, "")]])
