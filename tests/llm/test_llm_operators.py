@@ -1,6 +1,7 @@
 """Every operator against its plain version, on the small tables and on odd
 rows (nulls, empty and long texts, ties, repeats, clashing columns)."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -402,6 +403,71 @@ def test_lm_counts_do_not_depend_on_buckets(spark, monkeypatch):
     assert np.allclose([r[4:6] for r in one], [r[4:6] for r in many])
 
 
+def test_lm_shares_are_fitted_on_every_training_token(spark, monkeypatch):
+    """Of a hundred buckets and more, none is left out of the fit, and stored
+    rows of a few tokens give the scores that whole buckets give."""
+    rng = np.random.default_rng(3)
+    rows = [(d, " ".join(rng.choice(["a", "b", "c", "dd", "ee"], 30))) for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, shares = [], maxent._shares
+
+    def noted(fitted):
+        seen.append({r.level: r.n for r in fitted.groupBy("level").agg(F.sum("weight").alias("n")).collect()})
+        return shares(fitted)
+    monkeypatch.setattr(maxent, "_shares", noted)
+    monkeypatch.setattr(maxent, "BUCKET_BYTES", 150)
+    got = maxent.score_documents(df).collect()
+    tokens = sum(r.n_tokens for r in got if not r.held_out)
+    assert seen == [dict.fromkeys(range(maxent.LEVELS), tokens)] and tokens == got[0].train_tokens
+    monkeypatch.setattr(maxent, "_shares", lambda fitted: np.full((maxent.LEVELS, maxent.BINS), 0.4))
+    whole = sorted(map(tuple, maxent.score_documents(df).collect()))
+    monkeypatch.setattr(maxent, "ROW_TOKENS", 1)
+    few = sorted(map(tuple, maxent.score_documents(df).collect()))
+    assert [r[:5] for r in whole] == [r[:5] for r in few] and np.allclose([r[5] for r in whole], [r[5] for r in few])
+
+
+def test_lm_scores_against_counts_by_hand(spark, monkeypatch):
+    """With untrained weights, two classes and given shares, every score
+    equals the one that counting by hand gives."""
+    share, classes = 0.4, np.minimum(np.arange(maxent.SUFFIXES), 1)
+    monkeypatch.setattr(maxent, "learn_classes", lambda docs: classes)
+    monkeypatch.setattr(maxent, "train", lambda docs, c: np.zeros((maxent.FEATURES, maxent.CLASSES), np.float32))
+    monkeypatch.setattr(maxent, "_shares", lambda fitted: np.full((maxent.LEVELS, maxent.BINS), share) * (np.arange(maxent.BINS) > 0))
+    monkeypatch.setattr(maxent, "SPARE_BITS", 44)
+    rng = np.random.default_rng(6)
+    texts = {d: " ".join(rng.choice(["a", "b", "c", "dd", "ee"], rng.integers(0, 9))) for d in range(120)} | {500: "a zz b"}
+    got = {r.doc_id: r.score for r in maxent.score_documents(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), F.col("doc_id") % 5 != 0).collect()}
+    tokens = {d: ["", "", *t.split(), ""] for d, t in texts.items()}
+    grams = [collections.Counter(), collections.Counter(), collections.Counter()]
+    past = [collections.Counter(), collections.Counter(), collections.Counter()]
+    count = collections.Counter()
+    places = {d: [((t[k - 2],), (t[k - 1],), (t[k - 2], t[k - 1])) for k in range(2, len(t))] for d, t in tokens.items()}
+    for d, t in tokens.items():
+        if d % 5:
+            count.update(t[2:])
+            for h, w in zip(places[d], t[2:]):
+                for k in range(3):
+                    grams[k][h[k], w] += 1
+                    past[k][h[k]] += 1
+    mass = {True: count[""], False: sum(c + 1 for w, c in count.items() if w)}
+    mass[True] += 1
+    mass[False] += 1
+    for d, t in tokens.items():
+        want, own = 0, int(d % 5 != 0)
+        for h, w in zip(places[d], t[2:]):
+            p = (count[w] + 1) / (mass[w == ""]) / maxent.CLASSES
+            for k in range(3):
+                seen = past[k][h[k]] - own
+                if seen > 0:
+                    p = share * (grams[k][h[k], w] - own) / seen + (1 - share) * p
+            want += np.log10(p)
+        assert np.isclose(got[d], want, atol=1e-5), (d, got[d], want)
+    for v in ([0, 1, 255, 1 << 33], [], [7, 7, (1 << 32) - 1]):
+        assert maxent._from_thin(maxent._thin(np.array(v, np.int64))).tolist() == v
+    assert maxent._unfolded(maxent._folded(np.array([0, -1, 5, -7]))).tolist() == [0, -1, 5, -7]
+
+
 def test_lm_beats_unigrams_on_held_out(spark):
     from pyspark.sql import SparkSession  # noqa: F401
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
