@@ -2,17 +2,20 @@
 tie-break, value)`` and emit a row whenever the value changes.
 
 ``lag`` is not available on streams, so the state is kept explicitly with
-``applyInPandasWithState``.  Per micro-batch each person's new rows are
-sorted by (time, tie-break) and compared with their predecessor, the first
-one with the stored last value.  Contract:
+``applyInPandasWithState``.  Its groups are ``BUCKETS`` hash buckets of people: a
+group costs some milliseconds of Spark and Python whatever it holds, which one
+group per person multiplies by millions.  Per micro-batch each person's new
+rows are sorted by (time, tie-break) and compared with their predecessor, the
+first one with the stored last value.  Contract:
 
 * rows at or before the stored last (time, tie-break) are late: they do
   not change state or emit switches (an ordered-stream operator cannot
   revise what it emitted) and are output once flagged ``late`` for counting;
 * NULL values neither emit nor update the state (filter them in the source
   view, as the batch job does);
-* per-person memory is bounded by the micro-batch size
-  (``maxFilesPerTrigger``), the state is three values per person.
+* a bucket's memory is bounded by the micro-batch size
+  (``maxFilesPerTrigger``), the state is the key and three values per person; a
+  micro-batch rewrites the state of the buckets it has rows of.
 
 Fed in time order (one batch or many), the output equals the batch
 ``lag`` change points.
@@ -24,9 +27,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Groups of people.  Fixed, as a checkpoint's state lies by bucket; a billion
+# people are 120,000 in a bucket.
+BUCKETS = 1 << 13
+
 STATE_SCHEMA = T.StructType([
     T.StructField("last_time", T.DateType()),
     T.StructField("last_tb", T.LongType()),
@@ -38,45 +46,82 @@ def _missing(x) -> bool:
     return x is None or x != x  # None or NaN
 
 
+def _compare(at: list[int], t: list, tb: list, v: list, last: tuple | None, switches: list, late: list) -> tuple | None:
+    """One person's new rows, at places ``at`` of the lists, against the
+    stored (time, tie-break, value).  Switches are added as (place, previous
+    value), late rows as places; returns the new last row's values."""
+    live, prev = [], None
+    if last is not None:
+        seen, prev = last[:2], last[2]
+    for i in at:
+        if _missing(v[i]):
+            continue
+        if last is not None and (t[i], tb[i]) <= seen:
+            late.append(i)
+        else:
+            live.append(i)
+    live.sort(key=lambda i: (t[i], tb[i]))
+    for i in live:
+        if prev is not None and v[i] != prev:
+            switches.append((i, prev))
+        prev = v[i]
+    if not live:
+        return last
+    return t[live[-1]], int(tb[live[-1]]), prev
+
+
+def _columns(pdfs: Iterator[pd.DataFrame], *names: str) -> tuple:
+    chunks = list(pdfs)
+    pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+    return pdf, *[pdf[c].tolist() for c in names]
+
+
+def _emitted(pdf: pd.DataFrame, switches: list, late: list, prev_col: str, out_cols: list[str]) -> Iterator[pd.DataFrame]:
+    if late:
+        # counted, not applied: emitted once with late = True
+        yield pdf.iloc[late].assign(**{prev_col: None, "late": True})[out_cols]
+    if switches:
+        at, prev = zip(*switches)
+        yield pdf.iloc[list(at)].assign(**{prev_col: prev, "late": False})[out_cols]
+
+
 def _detector(key_col: str, time_col: str, tb_col: str, value_col: str, prev_col: str,
               out_cols: list[str]):
-    """The per-person step.  A person's rows in one micro-batch are few, so
-    the comparison is a plain pass over lists; pandas frames are built only
+    """The step of a group that is one person; the state is the last row's
+    (time, tie-break, value)."""
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf, t, tb, v = _columns(pdfs, time_col, tb_col, value_col)
+        switches, late = [], []
+        old = tuple(state.get) if state.exists else None
+        last = _compare(range(len(v)), t, tb, v, old, switches, late)
+        if last != old:
+            state.update(last)
+        yield from _emitted(pdf, switches, late, prev_col, out_cols)
+    return fn
+
+
+def _bucket_detector(key_col: str, time_col: str, tb_col: str, value_col: str, prev_col: str,
+                     out_cols: list[str]):
+    """The step of a group that is a bucket of people; the state is four
+    lists: keys, and the fields of STATE_SCHEMA.  Pandas frames are built only
     for the rows that are emitted."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunks = list(pdfs)
-        pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
-        t = pdf[time_col].tolist()
-        tb = pdf[tb_col].tolist()
-        v = pdf[value_col].tolist()
+        pdf, who, t, tb, v = _columns(pdfs, key_col, time_col, tb_col, value_col)
+        people: dict = {}
+        for i, p in enumerate(who):
+            people.setdefault(None if _missing(p) else p, []).append(i)
+        last = {}
         if state.exists:
-            last_t, last_tb, prev = state.get
-            last = (last_t, last_tb)
-        else:
-            last, prev = None, None
-        live, late = [], []
-        for i in range(len(v)):
-            if _missing(v[i]):
-                continue
-            if last is not None and (t[i], tb[i]) <= last:
-                late.append(i)
-            else:
-                live.append(i)
-        live.sort(key=lambda i: (t[i], tb[i]))
-        switch, switch_prev = [], []
-        for i in live:
-            if prev is not None and v[i] != prev:
-                switch.append(i)
-                switch_prev.append(prev)
-            prev = v[i]
-        if live:
-            j = live[-1]
-            state.update((t[j], int(tb[j]), v[j]))
-        if late:
-            # counted, not applied: emitted once with late = True
-            yield pdf.iloc[late].assign(**{prev_col: None, "late": True})[out_cols]
-        if switch:
-            yield pdf.iloc[switch].assign(**{prev_col: switch_prev, "late": False})[out_cols]
+            keys, *fields = state.get
+            last = dict(zip(keys, zip(*fields)))
+        switches, late = [], []
+        for p, at in people.items():
+            found = _compare(at, t, tb, v, last.get(p), switches, late)
+            if found is not None:
+                last[p] = found
+        if last:
+            state.update((list(last), *map(list, zip(*last.values()))))
+        yield from _emitted(pdf, switches, late, prev_col, out_cols)
     return fn
 
 
@@ -89,9 +134,11 @@ def stream_change_points(stream: DataFrame, key: str, time_col: str, tb_col: str
     out_fields = list(stream.schema.fields) + [T.StructField(prev_col, T.StringType()),
                                                T.StructField("late", T.BooleanType())]
     out_schema = T.StructType(out_fields)
-    fn = _detector(key, time_col, tb_col, value_col, prev_col, [f.name for f in out_fields])
-    return stream.groupBy(key).applyInPandasWithState(
-        fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    fn = _bucket_detector(key, time_col, tb_col, value_col, prev_col, [f.name for f in out_fields])
+    lists = [T.StructField("keys", T.ArrayType(stream.schema[key].dataType))] \
+        + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in STATE_SCHEMA]
+    return stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket") \
+        .applyInPandasWithState(fn, out_schema, T.StructType(lists), "append", GroupStateTimeout.NoTimeout)
 
 
 # --------------------------------------------------- state kept as a table

@@ -56,6 +56,34 @@ def test_stream_detector_carries_state_and_drops_late_rows():
     assert st.get == (D(2021, 1, 5), 5, "A")
 
 
+def test_stream_detector_calls_python_per_bucket(spark, monkeypatch):
+    """More people than buckets are a group per bucket and not per person, and
+    switches and late rows stay those of the table form."""
+    from panelkit.streaming import switches as S
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    rows = [(None if p == 7 else f"p{p}", D(2021, 1, 1) + dt.timedelta(days=(p + 3 * k) % 20), 100 * p + k, "XYZ"[(p + k // 2) % 3] if k != 4 else None)
+            for p in range(40) for k in range(9)]
+    df = spark.createDataFrame(rows, "p string, t date, tb long, v string")
+    root, found = scratch_path(spark, "buckets"), []
+    for part in (df.where("t >= '2021-01-08' AND p != 'p3'"), df.where("t < '2021-01-08' OR p = 'p3' OR p IS NULL")):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{root}/in")
+        q = (S.stream_change_points(stream, "p", "t", "tb", "v", "prev").writeStream.format("parquet")
+             .option("path", f"{root}/out").option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start())
+        q.awaitTermination()
+        found.append(sum(o.numRowsTotal for o in q.lastProgress.stateOperators))
+        S.run_change_points_tables(stream, "p", "t", "tb", "v", "prev", f"{root}/out2", f"{root}/state", f"{root}/chk2")
+    assert found[-1] == 3                               # state rows: one a bucket
+    known = F.col("p").isNotNull()                      # the table form joins by key, without null
+
+    def got(path):
+        return sorted((r.p, r.tb, str(r.prev), r.late) for r in spark.read.parquet(path).where(known).collect())
+    assert got(f"{root}/out") == got(f"{root}/out2") and {r[3] for r in got(f"{root}/out")} == {True, False}
+    alone = [r for r in rows if r[0] is None and r[3]]
+    alone.sort(key=lambda r: (r[1], r[2]))
+    assert spark.read.parquet(f"{root}/out").where(~known).count() == sum(a[3] != b[3] for a, b in zip(alone, alone[1:]))
+
+
 def test_auto_chunk_only_for_hot_keys(spark):
     rows = [("hot", D(2020, 1, 1) + dt.timedelta(days=i), i, "AB"[(i // 3) % 2]) for i in range(40)]
     rows += [("cold", D(2020, 1, 1), 100, "A"), ("cold", D(2020, 2, 1), 101, "B")]
