@@ -128,3 +128,14 @@ def test_lookups_reach_the_scan_as_values(spark):
 
 def test_stored_surrogate_is_not_hashed_again(spark):
     assert "xxhash64" not in plan(Q["join_intkey"](spark, SF_SMALL))
+
+
+def test_layouts_join_the_claims_once(spark, monkeypatch):
+    plans, write = [], layout.write_parquet
+
+    def noted(df, path, **kw):
+        plans.append(plan(df))
+        return write(df, path, **kw)
+    monkeypatch.setattr(layout, "write_parquet", noted)
+    assert Q["layout_compare"](spark, SF_SMALL).count() == 4
+    assert ["Join" in p for p in plans] == [True, False, False, False]
