@@ -19,6 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TASK_ROWS = 1 << 19      # rows a task sums, about 250 MB of groups where all differ
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: a fixed number's memory grows with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def _measures(measure: str | dict[str, str]) -> dict[str, str]:
     return {"total": measure} if isinstance(measure, str) else dict(measure)
 
@@ -49,17 +57,23 @@ def run_rollup(stream: DataFrame, out: str, checkpoint: str, key: str, ts: str,
         if batch_id > 0:
             # Raises when an earlier batch's clock is missing.
             before = spark.read.schema("latest timestamp").parquet(
-                f"{out}/clock/batch_id={batch_id - 1}").first()["latest"]
+                f"{out}/clock/batch_id={batch_id - 1}").select(F.unix_micros("latest")).first()[0]
         at = F.col(ts).cast("timestamp")
-        late = (at < F.lit(before) - F.expr(f"INTERVAL {lateness}")) if before else F.lit(False)
-        (batch.groupBy(key, F.col(ts).cast("date").alias("day"))
-         .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(late, 1)).alias("n_late"),
-              *[F.sum(c).alias(n) for n, c in names.items()])
-         .write.mode("overwrite").parquet(f"{out}/part/batch_id={batch_id}"))
-        latest = batch.agg(F.max(at).alias("latest"))
-        if before:
-            latest = latest.select(F.greatest("latest", F.lit(before)).alias("latest"))
-        latest.write.mode("overwrite").parquet(clock)
+        late = (at < F.timestamp_micros(F.lit(before)) - F.expr(f"INTERVAL {lateness}")) if before is not None else F.lit(False)
+        found = batch.agg(F.unix_micros(F.max(at)).alias("latest"), F.count(F.lit(1)).alias("rows")).first()
+        # The session is the stream's own copy.
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", _tasks(spark, found["rows"]))
+        try:
+            (batch.groupBy(key, F.col(ts).cast("date").alias("day"))
+             .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(late, 1)).alias("n_late"),
+                  *[F.sum(c).alias(n) for n, c in names.items()])
+             .write.mode("overwrite").parquet(f"{out}/part/batch_id={batch_id}"))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
+        latest = max((t for t in (found["latest"], before) if t is not None), default=None)
+        spark.range(0, 1, 1, 1).select(F.timestamp_micros(F.lit(latest).cast("long")).alias("latest")) \
+            .write.mode("overwrite").parquet(clock)
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -67,8 +81,10 @@ def run_rollup(stream: DataFrame, out: str, checkpoint: str, key: str, ts: str,
 
 
 def read_rollup(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """(key, day, n, n_late, sums) over all batches."""
+    """(key, day, n, n_late, sums) over all batches, dealt by key: a roll-up
+    of a key's days needs no further exchange."""
     rows = spark.read.parquet(f"{out}/part").drop("batch_id")
+    rows = rows.repartition(_tasks(spark, rows.count()), key)
     sums = [c for c in rows.columns if c not in (key, "day")]
     return rows.groupBy(key, "day").agg(*[F.sum(c).alias(c) for c in sums])
 

@@ -314,6 +314,29 @@ def test_rollup_is_complete_for_any_file_count(spark):
     assert late[0] == 0 and late[2] > 0
 
 
+def test_rollup_tasks_grow_with_the_rows(spark, monkeypatch):
+    """The number of tasks follows the rows of a batch and of what is stored,
+    not only the session's setting, which stays as it is."""
+    import glob
+    from panelkit.streaming import rollup
+    monkeypatch.setattr(rollup, "TASK_ROWS", 100)
+    df = spark.range(4000).selectExpr("id AS k", "timestamp'2024-01-01' + make_interval(0, 0, 0, id % 9) AS ts", "1.5D AS v")
+    root, usual = scratch_path(spark, "rollup-tasks"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part in (df.where("k < 3000"), df.where("k >= 3000")):
+            part.write.mode("append").parquet(f"{root}/in")
+            rollup.run_rollup(spark.readStream.schema(df.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/chk", "k", "ts", "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{root.removeprefix('file:')}/out/part/batch_id=0/*.parquet")) == 30
+    assert spark.conf.get("spark.sql.shuffle.partitions") == usual and int(usual) < 30
+    days = rollup.read_rollup(spark, f"{root}/out", "k")
+    plan = rollup.monthly_from_daily(days, "k", ["total"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 40), REPARTITION_BY_NUM" in plan
+    assert days.count() == 4000 and days.agg(F.sum("total")).first()[0] == 6000
+
+
 def test_lost_state_version_raises(spark):
     import pytest
     from panelkit.streaming import switches as S
